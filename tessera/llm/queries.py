@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, phrase_dedup, quality, suffix_dedup, token_counts
+from tessera.llm import line_dedup, minhash, mixing, phrase_dedup, quality, suffix_dedup, token_counts
 from tessera.session import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    real = lambda c: F.when(F.col(c) < minhash.NAMELESS, F.col(c))
+    return out.select(real("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), real("_component").alias("component_id"), "kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.copies(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -39,5 +45,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op5_token_counts, op7_suffix_dedup, op8_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_mixing, op4_quality, op5_token_counts, op7_suffix_dedup, op8_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
