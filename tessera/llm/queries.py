@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, minhash, mixing, phrase_dedup, quality, suffix_dedup, token_counts
+from tessera.llm import decontaminate, line_dedup, minhash, mixing, phrase_dedup, quality, suffix_dedup, token_counts
 from tessera.session import table
 
 
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_histogram(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -45,5 +49,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_mixing, op4_quality, op5_token_counts, op7_suffix_dedup, op8_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_mixing, op4_quality, op5_token_counts, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
