@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, minhash, mixing, phrase_dedup, quality, suffix_dedup, token_counts
+from tessera.llm import decontaminate, licenses, line_dedup, minhash, mixing, phrase_dedup, quality, secrets, suffix_dedup, token_counts
 from tessera.session import table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept good_probability".split()
@@ -44,10 +48,28 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrase_dedup.remove_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_mixing, op4_quality, op5_token_counts, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash,
+        op2_mixing,
+        op3_licenses,
+        op4_quality,
+        op5_token_counts,
+        op6_decontamination,
+        op7_suffix_dedup,
+        op8_line_dedup,
+        op9_secrets,
+        op10_substring_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
