@@ -9,7 +9,8 @@ same anchor form a fragment, the run of units that they cover together.
 2. Of the rest, collect distinct fragments with their counts. An anchor with one distinct fragment needs no bytes.
 3. Fetch the bytes of one copy of each other fragment, group them by anchor and let a solver say which windows
    of each fragment also occur elsewhere. An anchor with more than HOT distinct fragments isn't a group: its
-   windows are counted one by one, by hash, with partial sums.
+   fragments are cut into blocks of neighbouring windows and grouped anew by what all windows of a block share,
+   which is nearly a window. What is hot still is counted window by window, by hash, with partial sums.
 4. Carry the result back to every copy and collect the covered runs by document.
 
 Documents are told apart by id and text hash; rows equal in both repeat each other's windows, as any copies do.
@@ -42,6 +43,8 @@ class Unit:
         if not 1 <= k <= window < 1024:
             raise ValueError("1 <= k <= window < 1024")
         self.kind, self.window, self.k = kind, window, k
+        #: Windows in a block of a hot fragment.
+        self.block = max(1, round((window - k + 1) ** 0.5))
 
     def canonical(self, text: bytes | None) -> bytes:
         return (text or b"") if self.kind == "bytes" else b" ".join((text or b"").split())
@@ -136,20 +139,21 @@ def _fetch(unit: Unit):
                     lo, n, off = x["_at"] >> 20, x["_at"] >> 10 & 1023, x["_at"] & 1023
                     rows.append((x["_anchor"], x["_f"], x["_n"], off, n, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
                     if len(rows) >= 4000:
-                        yield _fragment_batch(rows)
+                        yield _rows_batch(rows, _FRAGMENT)
                         rows = []
-            yield _fragment_batch(rows)
+            yield _rows_batch(rows, _FRAGMENT)
 
     return run
 
 
+_FRAGMENT = ["_anchor", "_f", "_n", "_off", "_wins", "_bytes"]
 FRAGMENT = "_anchor long, _f long, _n long, _off long, _wins long, _bytes binary"
+_OFFSETS = "_anchor long, _f long, _o1 long, _o2 long"
 
 
-def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_anchor", "_f", "_n", "_off", "_wins", "_bytes"])
+def _rows_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "_bytes" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
 
 def _solve(solver: Solver):
@@ -162,18 +166,13 @@ def _solve(solver: Solver):
         for x in solver(rows(batches)):
             found.append(x)
             if len(found) >= 20_000:
-                yield _solved(found)
+                yield _rows_batch(found, ["_anchor", "_f", "_o1", "_o2"])
                 found = []
-        yield _solved(found)
+        yield _rows_batch(found, ["_anchor", "_f", "_o1", "_o2"])
 
     return run
 
 
-def _solved(found: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*found, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_anchor", "_f", "_o1", "_o2"])
-
-
 def grouped(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
     """Runs of rows with one anchor, each fragment once."""
     group: dict[int, tuple] = {}
@@ -188,6 +187,30 @@ def grouped(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield list(group.values())
 
 
+def _blocks(unit: Unit):
+    """Hot fragments cut by the anchor's offset: rows of parent, new group, fragment; the group is the hash of what all windows of a block share."""
+    width = unit.block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_pa", "_pf", *_FRAGMENT]
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, f, n, off, wins, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                spans = unit.spans(data)
+                for b in range((off - wins + 1) // width, off // width + 1):
+                    lo, hi = max(b * width, off - wins + 1), min(b * width + width - 1, off)
+                    core = unit.cut(data, spans, off - b * width, off - b * width + unit.window - width + 1)
+                    own = unit.cut(data, spans, off - hi, off - lo + unit.window)
+                    key = xxhash.xxh3_64_intdigest(core, (anchor * 31 + b) % 2**64) - 2**63
+                    out.append((anchor, f, key, xxhash.xxh3_64_intdigest(own, hi) - 2**63, n, hi, hi - lo + 1, own))
+                if len(out) >= 4000:
+                    yield _rows_batch(out, names)
+                    out = []
+            yield _rows_batch(out, names)
+
+    return run
+
+
 def _windows(unit: Unit):
     """Of hot fragments, a row for each window."""
 
@@ -199,16 +222,38 @@ def _windows(unit: Unit):
                 for w in range(wins):
                     out.append((anchor, f, off - w, xxhash.xxh3_64_intdigest(unit.cut(data, spans, w, w + unit.window)) - 2**63, n))
                 if len(out) >= 50_000:
-                    yield _window_batch(out)
+                    yield _rows_batch(out, ["_anchor", "_f", "_o", "_w", "_n"])
                     out = []
-            yield _window_batch(out)
+            yield _rows_batch(out, ["_anchor", "_f", "_o", "_w", "_n"])
 
     return run
 
 
-def _window_batch(out: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_anchor", "_f", "_o", "_w", "_n"])
+def _solve_all(parts: DataFrame, unit: Unit, solver: Solver, blocks: bool) -> DataFrame:
+    """_anchor, _f and offsets _o1 to _o2 that repeat, of staged distinct fragments with their copies."""
+    hot = stage(parts.groupBy("_anchor").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_anchor"), "hot")
+    some_hot = not hot.isEmpty()
+    cool = parts.join(hot, "_anchor", "left_anti") if some_hot else parts
+    solved = cool.repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(_solve(solver), _OFFSETS)
+    if not some_hot:
+        return solved
+    left = parts.join(hot, "_anchor", "left_semi")
+    if not blocks:
+        windows = stage(left.mapInArrow(_windows(unit), "_anchor long, _f long, _o long, _w long, _n long"), "windows")
+        counts = windows.groupBy("_anchor", "_o", "_w").agg(F.sum("_n").alias("_c")).where("_c > 1").drop("_c")
+        repeats = windows.join(stage(counts, "repeats"), ["_anchor", "_o", "_w"])
+        return solved.unionByName(repeats.select("_anchor", "_f", F.col("_o").alias("_o1"), F.col("_o").alias("_o2")))
+    cut = stage(left.mapInArrow(_blocks(unit), f"_pa long, _pf long, {FRAGMENT}"), "blocks")
+    counts = cut.groupBy("_anchor", "_f").agg(F.sum("_n").alias("_n"), F.min("_off").alias("_off"), F.min("_wins").alias("_wins"))
+    counts = stage(counts, "counts")
+    shared = stage(counts.groupBy("_anchor").agg(F.count("*").alias("_m")).where("_m > 1").select("_anchor"), "shared")
+    # Blocks with one content repeat as a whole; the bytes of the others are fetched once for each content.
+    whole = counts.where("_n > 1").select("_anchor", "_f", (F.col("_off") - F.col("_wins") + 1).alias("_o1"), F.col("_off").alias("_o2"))
+    inner = cut.join(shared, "_anchor", "left_semi").groupBy("_anchor", "_f")
+    inner = inner.agg(F.sum("_n").alias("_n"), F.first("_off").alias("_off"), F.first("_wins").alias("_wins"), F.first("_bytes").alias("_bytes"))
+    found = stage(whole.unionByName(_solve_all(stage(inner.select(*_FRAGMENT), "fragments"), unit, solver, False)).distinct(), "solved")
+    back = cut.select("_pa", "_pf", "_anchor", "_f").join(found, ["_anchor", "_f"])
+    return solved.unionByName(back.select(F.col("_pa").alias("_anchor"), F.col("_pf").alias("_f"), "_o1", "_o2"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solver: Solver) -> DataFrame:
@@ -222,15 +267,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solve
     distinct = again.where("_multi").groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
     asked = distinct.groupBy("_from._id", "_from._th").agg(F.collect_list(F.struct(F.col("_from._at").alias("_at"), "_anchor", "_f", "_n")).alias("_asked"))
     parts = stage(base.join(asked, ["_id", "_th"]).select("_text", "_asked").mapInArrow(_fetch(unit), FRAGMENT), "fragments")
-    hot = stage(parts.groupBy("_anchor").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_anchor"), "hot")
-    some_hot = not hot.isEmpty()
-    cool = parts.join(hot, "_anchor", "left_anti") if some_hot else parts
-    solved = cool.repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(_solve(solver), "_anchor long, _f long, _o1 long, _o2 long")
-    if some_hot:
-        windows = stage(parts.join(hot, "_anchor", "left_semi").mapInArrow(_windows(unit), "_anchor long, _f long, _o long, _w long, _n long"), "windows")
-        counts = windows.groupBy("_anchor", "_o", "_w").agg(F.sum("_n").alias("_c")).where("_c > 1").drop("_c")
-        repeats = windows.join(stage(counts, "repeats"), ["_anchor", "_o", "_w"])
-        solved = solved.unionByName(repeats.select("_anchor", "_f", F.col("_o").alias("_o1"), F.col("_o").alias("_o2")))
+    solved = _solve_all(parts, unit, solver, unit.block > 1)
     ranges = stage(solved.groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges")), "solved")
     lo, n, off = F.shiftright("_at", 20), F.shiftright("_at", 10).bitwiseAND(F.lit(1023)), F.col("_at").bitwiseAND(F.lit(1023))
     whole = again.where("not _multi").select("_id", "_th", F.array(F.struct(lo.alias("s"), (lo + n - 1 + F.lit(unit.window)).alias("e"))).alias("_runs"))
