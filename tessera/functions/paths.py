@@ -16,7 +16,7 @@ def segments(path: Column) -> Column:
 
 def sanitized(folder: Column) -> Column:
     """Without empty and .. segments, each trimmed; root if nothing is left."""
-    parts = F.filter(F.transform(segments(clean(folder)), F.btrim), lambda p: (p != "") & (p != ".."))
+    parts = F.filter(F.transform(segments(clean(folder)), lambda p: F.btrim(p)), lambda p: (p != "") & (p != ".."))
     return F.when(F.size(parts) > 0, F.array_join(parts, "/")).otherwise(F.lit("root"))
 
 

@@ -19,7 +19,7 @@ def hashtags(text: Column) -> Column:
     """Tokens that start with #, without marks at both ends; one of each spelling regardless of case, the first."""
     marked = F.filter(F.split(text, r"\s+"), lambda w: w.startswith("#"))
     bare = F.transform(marked, lambda w: F.regexp_replace(w, f"^[{ASCII_MARKS}]+|[{ASCII_MARKS}]+$", ""))
-    return first_wins(F.filter(bare, lambda w: w != ""), F.lower)
+    return first_wins(F.filter(bare, lambda w: w != ""), lambda w: F.lower(w))
 
 
 def words(text: Column) -> Column:

@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 # Patterns of what pages hold.
@@ -59,7 +60,7 @@ def normalized(raw: Column) -> Column:
     return F.btrim(out, F.lit("\"'\\ "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _joined(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for base, target in pairs:
         yield pd.Series([None if b is None or t is None else urljoin(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
@@ -135,7 +136,7 @@ def players(url: Column, html: Column) -> Column:
 
 def posters(url: Column, html: Column) -> Column:
     """Poster images: of video elements, of meta tags, of player settings; once each in that order."""
-    settings = F.filter(F.transform(found_all(html, "json_poster"), normalized), lambda t: t.startswith("http") | t.startswith("/"))
+    settings = F.filter(F.transform(found_all(html, "json_poster"), lambda t: normalized(t)), lambda t: t.startswith("http") | t.startswith("/"))
     every = F.concat(found_all(html, "video_poster"), found_all(html, "meta_poster"), settings)
     return F.array_distinct(F.transform(every, lambda t: resolved(url, t)))
 

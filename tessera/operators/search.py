@@ -35,11 +35,10 @@ def parse(text: str) -> Query:
 
 
 def _has(tokens: Column, terms: tuple[str, ...]) -> Column:
+    """Tokens hold no spaces, so a phrase is a piece of them joined by spaces, found in one pass."""
     if len(terms) == 1:
         return F.array_contains(tokens, terms[0])
-    spots = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    return F.exists(spots, lambda i: F.slice(tokens, i, len(terms)) == wanted)
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(" " + " ".join(terms) + " ")
 
 
 def matches(tokens: Column, query: Query) -> Column:

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.plans import feed, ingest, library
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plans in (feed, library, ingest):
+    QUERIES |= _plans.QUERIES
+    ORACLE_SQL |= _plans.ORACLE_SQL
