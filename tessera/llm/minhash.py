@@ -8,6 +8,10 @@ Documents with equal shingle sets are one vertex. In each bucket the members are
 the one whose buckets are the fullest, so a large group of copies of one text costs a pair for each copy. Where a
 bucket then still holds members of different components, all pairs across components follow whose signatures
 leave a chance of a link.
+
+Buckets with many members of different components would make pairs by the square of their size. Documents that
+meet in such buckets form families; parts of a family are compared exactly as matrices of shingles, two parts in
+a task, and a task emits no more links than join its components.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ from tessera.llm.graph import components
 UNIVERSE = 1 << 20
 BANDS, ROWS = 26, 5
 COORDINATES = BANDS * ROWS
-#: Members of one bucket that a task compares with each other; larger buckets are dealt as pairs of parts.
-PART = 400
+#: Members of an open bucket of which pairs are made; those of larger ones form families.
+CROWD = 64
+#: Members of a family that a task compares with as many others.
+PART = 500
+#: Shingles that are columns of one matrix.
+COLUMNS = 8192
 #: Documents without an id get one above all others, made from the text.
 NAMELESS = 1 << 62
 
@@ -141,54 +149,118 @@ def _confirm(size: int, percent: int):
 
 
 def _across(percent: int):
-    """Pairs across components within a bucket, or between two parts of it, whose signatures leave a chance."""
+    """Pairs across components within a bucket whose signatures leave a chance; pairs of one family are left to it."""
     p = percent / 100
     least = int(COORDINATES * p - 6 * (COORDINATES * p * (1 - p)) ** 0.5)
 
-    def pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int]]:
-        a = np.frombuffer(b"".join(x[2] for x in left), np.uint8).reshape(-1, COORDINATES)
-        la = np.array([x[1] for x in left])
-        b, lb = (a, la) if right is None else (np.frombuffer(b"".join(x[2] for x in right), np.uint8).reshape(-1, COORDINATES), np.array([x[1] for x in right]))
-        for i in range(len(a)):
-            others = slice(i + 1, None) if right is None else slice(None)
-            hit = np.flatnonzero(((a[i] == b[others]).sum(1) >= least) & (lb[others] != la[i]))
-            for j in hit.tolist():
-                yield left[i][0], (left[i + 1 + j] if right is None else right[j])[0]
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(x[3] for x in rows), np.uint8).reshape(-1, COORDINATES)
+        label, family = np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+        for i in range(len(rows) - 1):
+            ok = (label[i + 1 :] != label[i]) & ((family[i + 1 :] != family[i]) | (family[i] < 0))
+            for j in np.flatnonzero(ok & ((sig[i] == sig[i + 1 :]).sum(1) >= least)).tolist():
+                yield rows[i][0], rows[i + 1 + j][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, ([], [])
-        out: list[tuple[int, int]] = []
+        key, rows, out = None, [], []
+        for batch in batches:
+            for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != key:
+                    out.extend(pairs(rows))
+                    key, rows = k, []
+                rows.append(row)
+            if len(out) > 20_000:
+                yield _pair_batch(out)
+                out = []
+        out.extend(pairs(rows))
+        yield _pair_batch(out)
+
+    return run
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products of 0-1 matrices over blocks of columns."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    every, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    both = np.zeros(len(every), bool)
+    in_a = np.zeros(len(every), bool)
+    in_a[at[rows < len(a)]] = True
+    both[at[rows >= len(a)]] = True
+    both &= in_a
+    column = np.cumsum(both) - 1
+    use = both[at]
+    rows, cols = rows[use], column[at[use]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for lo in range(0, int(both.sum()), COLUMNS):
+        i, j = np.searchsorted(cols, [lo, lo + COLUMNS])
+        m = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        m[rows[i:j], cols[i:j] - lo] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _families(percent: int):
+    """Links across components between two parts of a family, as many as join them."""
+
+    def links(a: list[tuple], b: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = [[np.frombuffer(x[2], np.uint64) for x in side] for side in (a, b)]
+        sizes = [np.array([len(x) for x in side]) for side in sets]
+        shared = shared_counts(*sets).astype(np.int64)
+        label = [np.array([x[1] for x in side]) for side in (a, b)]
+        hit = (100 * shared >= percent * (sizes[0][:, None] + sizes[1][None] - shared)) & (label[0][:, None] != label[1][None])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+            x, y = find(int(label[0][i])), find(int(label[1][j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield a[i][0], b[j][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, out = None, ([], []), []
 
         def finish() -> None:
-            if sides[0] or sides[1]:
-                same = key is not None and key[1] == key[2]
-                out.extend(pairs(sides[0], None if same else sides[1]) if same or (sides[0] and sides[1]) else ())
+            if key is not None and sides[0]:
+                out.extend(links(sides[0], sides[0] if key[1] == key[2] else sides[1]) if key[1] == key[2] or sides[1] else ())
 
         for batch in batches:
-            for k, p1, p2, own, v, label, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (k, p1, p2) != key:
+            for f, p1, p2, own, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (f, p1, p2) != key:
                     finish()
-                    key, sides = (k, p1, p2), ([], [])
-                sides[0 if own == p1 else 1].append((v, label, sig))
-            if len(out) > 20_000:
-                yield _pair_batch(out)
-                out.clear()
+                    key, sides = (f, p1, p2), ([], [])
+                sides[0 if own == p1 else 1].append(row)
         finish()
         yield _pair_batch(out)
 
     return run
 
 
+def _set_bytes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch, "_text")
+            for i, j in chunks(texts, 4 * CHUNK):
+                sets = [x.tobytes() for x in shingle_sets(texts[i:j], size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["v", "_set"])
+
+    return run
+
+
 def _pair_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that are links."""
-    asked = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = stage(docs.join(asked, "_id", "left_semi"), "texts")
-    one = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b")
-    two = one.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    one = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")).hint("merge"), "b")
+    two = one.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
     return stage(two.mapInArrow(_confirm(size, percent), "a long, b long"), "links")
 
 
@@ -218,21 +290,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = members.join(stage(score, "scores"), "v")
     hubs = stage(scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("v")).alias("v"))).alias("h")).select("key", (-F.col("h.v")).alias("hub")), "hubs")
     star = members.join(hubs, "key").where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    links = _links(stage(star, "pairs"), base, size, percent)
+    # The texts that can be asked for are fetched once; they are joined by sorting at any size, as they are what is large.
+    texts = stage(base.join(members.select(F.col("v").alias("_id")).distinct().hint("merge"), "_id", "left_semi"), "texts")
+    links = _links(stage(star, "pairs"), texts, size, percent)
     # Texts of one id are one document.
     first = of.groupBy("_id").agg(F.min("v").alias("a"))
     links = links.unionByName(of.join(first, "_id").where("v <> a").select("a", F.col("v").alias("b")))
     label = stage(components(links).withColumnRenamed("component", "label"), "labels")
-    named = members.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    named = stage(named, "named")
-    open_ = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m")).where("l1 < l2")
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    left = named.drop("c").join(stage(open_.select("key", "m"), "open"), "key").withColumn("own", F.pmod(F.xxhash64("v"), parts).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "v", "label")
-    dealt = dealt.join(vertices.select("v", "_sig"), "v").select("key", "p1", "p2", "own", "v", "label", "_sig")
-    across = dealt.repartition("key", "p1", "p2").sortWithinPartitions("key", "p1", "p2").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = _links(stage(across, "pairs"), base, size, percent)
+    named = stage(members.drop("c").join(label, "v", "left").withColumn("label", F.coalesce("label", "v")), "named")
+    spread = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m"), F.min("v").alias("hub"))
+    spread = stage(spread.where("l1 < l2").select("key", "m", "hub"), "open")
+    crowds = named.join(spread.where(F.col("m") > CROWD), "key")
+    family = stage(components(crowds.select(F.col("v").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family"), "families")
+    small = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(family, "v", "left").join(vertices.select("v", "_sig"), "v")
+    small = small.select("key", "v", "label", F.coalesce("family", F.lit(-1)).alias("family"), "_sig")
+    across = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
+    more = _links(stage(across, "pairs"), texts, size, percent)
+    if not family.isEmpty():
+        sizes = stage(family.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
+        dealt = family.join(sizes, "family").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("family", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "v", "label")
+        own_sets = texts.join(family.select(F.col("v").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(_set_bytes(size), "v long, _set binary")
+        rows = dealt.join(stage(own_sets, "family_sets"), "v").select("family", "p1", "p2", "own", "v", "label", "_set")
+        whole = rows.repartition("family", "p1", "p2").sortWithinPartitions("family", "p1", "p2").mapInArrow(_families(percent), "a long, b long")
+        more = more.unionByName(stage(whole, "links"))
     if not more.isEmpty():
         label = stage(components(links.unionByName(more)).withColumnRenamed("component", "label"), "labels")
     group = of.join(label, "v", "left").groupBy("_id").agg(F.min(F.coalesce("label", "v")).alias("_component"))

@@ -85,15 +85,20 @@ def brute_components(rows, percent=85):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("part", [400, 2])
-def test_near_duplicates(spark, docs, rows, monkeypatch, part):
+@pytest.mark.parametrize("crowd,part,columns", [(64, 500, 8192), (1, 3, 16), (2, 500, 8192)])
+def test_near_duplicates(spark, docs, rows, monkeypatch, crowd, part, columns):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     monkeypatch.setattr(minhash, "PART", part)
+    monkeypatch.setattr(minhash, "COLUMNS", columns)
     got = {r._id: (r._n, r._component) for r in minhash.near_duplicates(docs, percent=85).collect()}
     assert got == brute_components(rows)
 
 
-def test_near_duplicates_of_a_family_without_a_centre(spark):
+@pytest.mark.parametrize("crowd,part", [(64, 500), (1, 3)])
+def test_near_duplicates_of_a_family_without_a_centre(spark, monkeypatch, crowd, part):
     """A chain: neighbours are linked, ends aren't."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    monkeypatch.setattr(minhash, "PART", part)
     base = [f"w{i}" for i in range(400)]
     rows = []
     for i in range(12):
