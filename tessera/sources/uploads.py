@@ -9,9 +9,15 @@ from tessera.functions.media import extension_of_mime
 
 
 def staged_files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files as rows: path, length, content hash; empty ones are marked."""
+    """Uploaded files as rows: path, length, content hash. Spark's file sources leave out empty files."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), (F.col("length") == 0).alias("is_empty"))
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def rejected(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """Announced uploads (file_name) of which no file with content was staged, as error items."""
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name")).distinct()
+    return expected.join(named, "file_name", "left_anti").withColumn("status", F.lit("error"))
 
 
 def incomplete(chunks: DataFrame) -> DataFrame:
