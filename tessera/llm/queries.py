@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, licenses, line_dedup, minhash, mixing, phrase_dedup, quality, secrets, suffix_dedup, token_counts
+from tessera.llm.oracle import ORACLE_SQL
 from tessera.session import table
 
 
@@ -72,4 +73,5 @@ QUERIES = {
         op10_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
