@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage
 
 
-def _with_least(pairs: DataFrame, label: str) -> DataFrame:
+#: Rows of one file of an edge table: a small graph isn't spread over all partitions.
+FILE_ROWS = 200_000
+
+
+def _with_least(pairs: DataFrame, label: str, files: int) -> DataFrame:
     """pairs of (u, v): adds m, the least of u and all its v. Both sides are plain tables, so a hot u can be split."""
-    pairs = stage(pairs.distinct(), label)
-    least = stage(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "_u"), label)
+    pairs = stage(pairs.distinct().coalesce(files), label)
+    least = stage(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "_u").coalesce(files), label)
     return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
@@ -22,14 +26,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     vertices need about log(n) rounds, and a star is done in one.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rows = now.count()
     for _ in range(rounds):
+        files = 1 + rows // FILE_ROWS
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _with_least(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = _with_least(large.where("u <> v"), "small")
+        large = _with_least(both, "large", files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = _with_least(large.where("u <> v"), "small", files)
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        new = stage(small.where("a <> b").distinct(), "edges")
+        new = stage(small.where("a <> b").distinct().coalesce(files), "edges")
         # A fixed point is a set of stars: the same edges again.
-        if new.count() == now.count() and new.join(now, ["a", "b"], "left_anti").isEmpty():
+        left, rows = rows, new.count()
+        if rows == left and new.join(now, ["a", "b"], "left_anti").isEmpty():
             break
         now = new
     else:

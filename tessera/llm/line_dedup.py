@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, given, id_key, others, quoted, stage, texts_of
+from tessera.llm.common import column, id_key, others, quoted, stage, texts_of
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: A filter is dealt in blocks of 2**BLOCK bits; a hash stays within one.
