@@ -73,7 +73,7 @@ def resolved(base: Column, target: Column) -> Column:
     """
     t = normalized(target)
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.concat(origin, F.regexp_extract(F.concat(F.regexp_replace(F.substr(base, F.length(origin) + 1), "[?#].*$", ""), F.lit("")), r"^(.*/)", 1))
+    folder = F.concat(origin, F.regexp_extract(F.regexp_replace(F.substr(base, F.length(origin) + 1), "[?#].*$", ""), r"^(.*/)", 1))
     folder = F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder)
     return (
         F.when(t.rlike("^https?://"), t)
@@ -111,7 +111,7 @@ def post_links(url: Column, html: Column, need_post_path: bool = True) -> Column
 
 def next_page(url: Column, html: Column) -> Column:
     """The next page: a link, its attributes reversed, an anchor by relation or class, or the page number plus one if the page mentions that."""
-    links = [F.nullif(resolved(url, found(html, n)), F.lit(None).cast("string")) for n in ("link_next", "link_next_reversed")]
+    links = [resolved(url, found(html, n)) for n in ("link_next", "link_next_reversed")]
     anchors = [F.when(resolved(url, found(html, n)) != url, resolved(url, found(html, n))) for n in ("anchor_next", "anchor_class_next")]
     number = r"[?&](page|p|pg)=(\d+)(?:&|#|$)"
     key, value = F.regexp_extract(url, number, 1), F.nullif(F.regexp_extract(url, number, 2), F.lit("")).cast("int") + 1

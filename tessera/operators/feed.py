@@ -29,7 +29,7 @@ def shuffle_key(id_: Column, seed: int) -> Column:
     return F.when(value >= 2**31, value - 2**32).otherwise(value)
 
 
-def after_shuffle(df: DataFrame, cursor_id: object, seed: int) -> Column:
+def after_shuffle(cursor_id: object, seed: int) -> Column:
     """What follows a row in shuffled order, whatever became of the row itself."""
     key, at = shuffle_key(F.col("id"), seed), shuffle_key(F.lit(cursor_id), seed)
     return (key > at) | ((key == at) & (F.col("id") > F.lit(cursor_id)))
@@ -39,7 +39,7 @@ def page(df: DataFrame, req: FeedRequest) -> DataFrame:
     """A page with one row more than the limit, which tells that more follow. Planned as a top-k per partition, then of those."""
     limit = clamp_limit(req.limit)
     if req.sort == "random":
-        out = df if req.cursor_id is None else df.where(after_shuffle(df, req.cursor_id, req.seed))
+        out = df if req.cursor_id is None else df.where(after_shuffle(req.cursor_id, req.seed))
         return out.withColumn("shuffle", shuffle_key(F.col("id"), req.seed)).orderBy("shuffle", "id").limit(limit + 1)
     return df.where(after_timeline(req.cursor_captured_at, req.cursor_id)).orderBy(*timeline_order()).limit(limit + 1)
 
