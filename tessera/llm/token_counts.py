@@ -47,9 +47,11 @@ def _lengths(vocabulary: str):
 def token_lengths(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), vocabulary: str = VOCABULARY) -> DataFrame:
     """The encoded length of every whole text (null: 0) as n_tokens, with the columns in keep."""
     keep = tuple(c for c in keep if c != "n_tokens")
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).cast("string").alias("_text"))
-    fields = ", ".join([f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long"])
-    return rows.mapInArrow(_lengths(vocabulary), fields)
+    held = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(quoted(c)).alias(k) for c, k in zip(keep, held, strict=True)], F.col(quoted(text_col)).cast("string").alias("_text"))
+    fields = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in held] + ["n_tokens long"])
+    out = rows.mapInArrow(_lengths(vocabulary), fields)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, held, strict=True)], "n_tokens")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
