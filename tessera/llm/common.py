@@ -28,16 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
-    Survives lost executors, as the files are in shared storage. They stay until the folder is emptied.
+    Survives lost executors, as the files are in shared storage. They stay until clear_staged(), which is for
+    when the results that read them have been written.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Delete what this process has staged; returns how many tables that were."""
+    n, hadoop = len(_staged), spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, graph, licenses, line_dedup, minhash, mixing, passages, phrase_dedup, quality, secrets, suffix_dedup, token_counts
+from tessera.llm import common, decontaminate, graph, licenses, line_dedup, minhash, mixing, passages, phrase_dedup, quality, secrets, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -489,6 +489,17 @@ def test_secret_tagger_held_out():
     assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed)
 
 
+# --- staging ---
+
+
+def test_staged_tables_are_read_back_and_cleared(spark):
+    df = common.stage(spark.range(5), "numbers")
+    path = common._staged[-1]
+    assert df.count() == 5 and common.clear_staged(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 # --- pipeline ---
 
 
