@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
-
 #: Rows of one file of an edge table: a small graph isn't spread over all partitions.
 FILE_ROWS = 200_000
 
 
 def _with_least(pairs: DataFrame, label: str, files: int) -> DataFrame:
-    """pairs of (u, v): adds m, the least of u and all its v. Both sides are plain tables, so a hot u can be split."""
-    pairs = stage(pairs.distinct().coalesce(files), label)
+    """pairs of (u, v), read from staged tables: adds m, the least of u and all its v. Both sides of the join are plain tables, so a hot u can be split."""
     least = stage(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "_u").coalesce(files), label)
     return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
 
@@ -27,11 +25,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     rows = now.count()
-    for _ in range(rounds):
+    for _ in range(rounds if rows else 0):
         files = 1 + rows // FILE_ROWS
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _with_least(both, "large", files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = _with_least(large.where("u <> v"), "small", files)
+        large = _with_least(both, "large", files).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = _with_least(stage(large.coalesce(files), "large"), "small", files)
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         new = stage(small.where("a <> b").distinct().coalesce(files), "edges")
         # A fixed point is a set of stars: the same edges again.
@@ -40,6 +38,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         now = new
     else:
-        raise RuntimeError("components did not converge")
-    tops = now.groupBy("b").agg(F.count("*")).select(F.col("b").alias("v"), F.col("b").alias("component"))
+        if rows:
+            raise RuntimeError("components did not converge")
+    tops = now.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "v").unionByName(tops)
