@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash fingerprints of item-sized windows.
 
-Documents are read in windows as long as an item, in words. Windows that hold no shingle of any item have
-similarity 0 and are passed over; of the others a 64-bit SimHash is made from the window's shingles. An index over
+Documents are read in windows as long as an item, in words. A window and an item of n shingles each that are
+similar by t share 2 n t / (1 + t) of them at least; windows with fewer shingles of items of that length are passed
+over. Of the others a 64-bit SimHash is made from the window's shingles. An index over
 eight blocks of the items' fingerprints finds every item within the radius: of blocks that differ in RADIUS bits
 together, one differs in RADIUS // 8 at most. What it finds is verified by the exact weighted Jaccard similarity
 of the shingles, the weight of a shingle being how often it occurs.
@@ -67,6 +68,7 @@ class Items:
                 self.by_length[len(own)].append((item, prints, Counter(own.tolist())))
                 grams.append(own)
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.of_length = {n: set().union(*(c for _, _, c in own)) for n, own in self.by_length.items()}
         near = [[v for v in range(256) if _ONES[v ^ w] <= RADIUS // BLOCKS] for w in range(256)]
         self.index: dict[int, list[dict[int, list[int]]]] = {}
         for n, items in self.by_length.items():
@@ -104,14 +106,16 @@ def _similarity(a: Counter, b: Counter) -> float:
 def matches(items: Items, text: bytes, grams: np.ndarray, hits: np.ndarray, least: float) -> list[tuple[int, int, int, int, float]]:
     """Of one document, its best window for each item it holds: item, first word, words, distance, similarity."""
     best: dict[int, tuple] = {}
+    spots = list(zip(hits.tolist(), grams[hits].tolist(), strict=True))
     for n, own in items.by_length.items():
-        if len(grams) < n:
+        held = [i for i, g in spots if g in items.of_length[n]]
+        need = 2 * n * least / (1 + least) - 1e-9
+        if len(grams) < n or len(held) < need:
             continue
-        # Windows with a shingle of an item in them.
-        edge = np.zeros(len(grams) + 1, np.int64)
-        np.add.at(edge, np.maximum(hits - n + 1, 0), 1)
-        np.add.at(edge, hits + 1, -1)
-        first = np.flatnonzero(np.cumsum(edge)[: len(grams) - n + 1] > 0)
+        flags = np.zeros(len(grams) + 1, np.int64)
+        flags[np.array(held) + 1] = 1
+        sums = np.cumsum(flags)
+        first = np.flatnonzero(sums[n:] - sums[:-n] >= need)
         for part in np.split(first, np.flatnonzero(np.diff(first) > 1) + 1):
             for lo in range(0, len(part), 4096):
                 at = part[lo : lo + 4096]
