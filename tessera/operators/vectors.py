@@ -155,20 +155,69 @@ def cluster_online(
     return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_} {kinds[id_]}, cluster long, similarity double")
 
 
-def lsh_similar(vectors: DataFrame, query: Sequence[float], id_: str, vector: str, least: float, limit: int, planes: int = 8, tables: int = 16, seed: int = 5) -> DataFrame:
-    """Approximate search: only vectors that share a random-hyperplane bucket with the query are compared."""
-    q = np.asarray(query, float)
-    directions = np.random.default_rng(seed).standard_normal((tables, planes, len(q)))
-    wanted = ["".join("1" if s > 0 else "0" for s in d @ q) for d in directions]
+def lsh_codes(vectors: np.ndarray, planes: int, tables: int, seed: int) -> np.ndarray:
+    """The bucket of each vector in each table: the signs against random hyperplanes as bits."""
+    directions = np.random.default_rng(seed).standard_normal((tables * planes, vectors.shape[1]))
+    signs = (vectors @ directions.T > 0).reshape(len(vectors), tables, planes)
+    return (signs << np.arange(planes)).sum(2)
 
-    @F.pandas_udf("boolean")
-    def shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            if not len(s):
-                yield pd.Series([], dtype=bool)
-                continue
-            signs = np.einsum("tpd,nd->ntp", directions, np.stack([np.asarray(v, float) for v in s])) > 0
-            target = np.array([[c == "1" for c in w] for w in wanted])
-            yield pd.Series((signs == target).all(2).any(1))
-
-    return similar_to(vectors.where(F.size(vector) == len(q)).where(shares(vector)), query, id_, vector, least, limit)
+
+def lsh_neighbours(
+    vectors: DataFrame, queries: DataFrame, id_: str, vector: str, least: float, limit: int, planes: int = 4, tables: int = 32, seed: int = 5, max_bytes: int = 16 << 20
+) -> DataFrame:
+    """Approximate search for many queries: query_id, id, similarity of the most similar vectors of each above a threshold.
+
+    Only vectors that share a random-hyperplane bucket with the query in one of the tables are compared. The queries
+    go to every task in blocks of max_bytes; a task keeps the best limit vectors of each query only. The default
+    planes and tables find 0.9 of the true neighbours at a similarity of 0.24 and more. A vector of another length than
+    the query is never similar; a query that is stored finds itself.
+    """
+    given = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("i"), doubles(F.col(vector)).alias("v"))
+    dims = given.select(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
+    blocks = max(1, -(-(dims["n"] * (dims["d"] or 1) * 8) // max_bytes))
+    kind = vectors.schema[id_].dataType.simpleString()
+
+    def search(sent):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by_size: dict[int, list[tuple]] = {}
+            for i, v in sent.value:
+                by_size.setdefault(len(v), []).append((i, v))
+            known = {}
+            for d, own in by_size.items():
+                m = np.array([v for _, v in own], float)
+                unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                known[d] = np.array([i for i, _ in own]), unit, lsh_codes(m, planes, tables, seed)
+            order = {"by": ["query_id", "similarity", id_], "ascending": [True, False, True]}
+            found, n = [], 0
+            for pdf in batches:
+                sizes = pdf[vector].map(len)
+                for d, (ids, unit, codes) in known.items():
+                    part = pdf[sizes == d]
+                    for lo in range(0, len(part), 1024):
+                        at = part[id_].to_numpy()[lo : lo + 1024]
+                        m = np.array(part[vector].tolist()[lo : lo + 1024], float)
+                        own = lsh_codes(m, planes, tables, seed)
+                        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                        for q in range(0, len(ids), 4096):
+                            shares = np.zeros((len(unit[q : q + 4096]), len(m)), bool)
+                            for k in range(tables):
+                                shares |= codes[q : q + 4096, k, None] == own[None, :, k]
+                            sims = unit[q : q + 4096] @ m.T
+                            i, j = np.nonzero(shares & (sims >= least))
+                            found.append(pd.DataFrame({"query_id": ids[q + i], id_: at[j], "similarity": sims[i, j]}))
+                            n += len(i)
+                        if n > 2_000_000:
+                            found, n = [pd.concat(found).sort_values(**order).groupby("query_id").head(limit)], 0
+            if found:
+                yield pd.concat(found).sort_values(**order).groupby("query_id").head(limit)
+
+        return run
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(id_, vector)
+    found = None
+    for b in range(blocks):
+        own = given.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+        sent = vectors.sparkSession.sparkContext.broadcast([(r.i, r.v) for r in own.toLocalIterator()])
+        one = rows.mapInPandas(search(sent), f"query_id {kind}, {id_} {kind}, similarity double")
+        found = one if found is None else found.unionByName(one)
+    return exemplars(found, "query_id", [F.desc("similarity"), F.col(id_)], limit).drop("rank")

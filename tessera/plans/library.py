@@ -45,8 +45,8 @@ def search_by_vector(spark, sf):
 
 @query()
 def search_by_vector_lsh(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").head()[0]
-    return vectors.lsh_similar(table(spark, sf, "embeddings"), q, "vec_id", "embedding", 0.24, 50)
+    e = table(spark, sf, "embeddings")
+    return vectors.lsh_neighbours(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.24, 50)
 
 
 MEANS = f"(SELECT label, pos, avg(x) AS x, count(*) AS n FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM {EMB}) GROUP BY label, pos)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dates, media, paths, text, urls
 from tessera.operators import detect, feed, filters, folders, items, jobs, mutations, people, search, vectors
 from tessera.operators.filters import FeedRequest
-from tessera.plans import ingest, views
+from tessera.plans import ingest, library, views
 from tessera.sources import pages, social, uploads
 
 ASSETS = "id string, user_id int, captured_at timestamp_ntz, duration_seconds double, deleted_at timestamp_ntz, folder_path string, is_favorite boolean, city string, camera_model string"
@@ -276,3 +276,24 @@ def test_media_scalars(spark):
     assert df.limit(1).select(media.video_mime_of_url(F.lit("a.M3U8?x"))).first()[0] == "application/x-mpegURL"
     with pytest.raises(Exception, match="not a boolean"):
         df.select(text.lenient_flag(F.col("n"))).collect()
+
+
+@pytest.mark.parametrize("max_bytes", [16 << 20, 2000])
+def test_lsh_recall(spark, max_bytes):
+    """The hyperplane search against the exact one, for each query; blocks of queries change nothing."""
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = {}
+    out = library.search_by_vector_lsh(spark, sf) if max_bytes > 2000 else vectors.lsh_neighbours(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.24, 50, max_bytes=max_bytes)
+    for r in out.collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.similarity
+    rows = e.orderBy("vec_id").collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
+    for q, found in got.items():
+        sims = v @ v[np.flatnonzero(ids == q)[0]]
+        want = [i for i in np.lexsort((ids, -sims))[:50] if sims[i] >= 0.24]
+        assert len(found) <= 50 and all(abs(s - sims[ids == i][0]) < 1e-9 for i, s in found.items())
+        assert sum(int(ids[i]) in found for i in want) >= 0.9 * len(want)
