@@ -263,7 +263,16 @@ def tagged(e: np.ndarray, t: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-_EDGES = b"\"'`,;:()[]{}<>.!?"
+_EDGES = b"\"'`,;:()[]{}<>.!? \t\n\x0b\x0c\r"
+
+
+def trimmed(buf: np.ndarray, s: int, e: int) -> tuple[int, int]:
+    """A span without the marks and white space at its edges."""
+    while s < e and buf[s] in _EDGES:
+        s += 1
+    while e > s and buf[e - 1] in _EDGES:
+        e -= 1
+    return s, e
 
 
 def scan(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -288,12 +297,15 @@ def scan(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) -> lis
             runs.append([k])
     for run in runs:
         s, e, d = int(starts[run[0]]), int(ends[run[-1]]), int(doc[run[0]])
-        while s < e and buf[s] in _EDGES:
-            s += 1
-        while e > s and buf[e - 1] in _EDGES:
-            e -= 1
-        if e - s >= 8 and not any(bs < e and s < be for _, bs, be in base[d]):
-            added[d].append(("token", s, e))
+        s, e = trimmed(buf, s, e)
+        if e - s < 8:
+            continue
+        # What the base spans leave of the run, however little.
+        for _, bs, be in [*sorted((x for x in base[d] if x[1] < e and s < x[2]), key=lambda x: x[1]), ("", e, e)]:
+            lo, hi = trimmed(buf, s, bs)
+            if lo < hi:
+                added[d].append(("token", lo, hi))
+            s = max(s, be)
     order = lambda x: (x[1], KINDS.index(x[0]))
     out = []
     for i in range(len(texts)):
@@ -329,7 +341,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", **training: int) -> Da
     """The columns of docs without the text, and n_assign, n_access, n_hex, base_sha256 and spans of every whole text.
 
     spans lists kind:start:end in code points, end exclusive, by start and then kind; kind "token" is what the
-    field adds, apart from any base span. A null text is empty. Ids aren't used; input columns named like the
+    field adds: of each run it tags, the parts outside all base spans. A null text is empty. Ids aren't used; input columns named like the
     results are replaced. An empty table gives an empty result.
     """
     names = [c for c in others(docs, *MADE) if c != text_col]

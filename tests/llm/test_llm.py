@@ -489,6 +489,30 @@ def test_secret_tagger_held_out():
     assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed)
 
 
+def test_secrets_after_a_base_span_are_kept(monkeypatch):
+    """Of a tagged run, every byte but marks at edges is in a span: base spans take theirs, the rest are tokens."""
+    lead, one, two = "password=a8Kd9fJ2kLm4Qw7Zx1Cv5Bn3Rt6", "Zx1Cv5Bn3Rt6Yu0Io9Pa8" * 3, "Qw7Zx1Cv5+n3Rt6Yu0/o9Pa8" * 3
+    hexes = "Xy9#0123456789abcdef#Kq"
+    text = f"é now {lead} {one}\n{two} plain {hexes} words".encode()
+    labels = [0, 0, 1, 2, 2, 0, 1, 0]
+    monkeypatch.setattr(secrets, "tagged", lambda e, t, doc: np.array(labels, np.int8))
+    base, every = secrets.scan([text], secrets.trained())[0]
+    spans = [(k, text.decode()[s:e]) for k, s, e in every]
+    assert spans == [("assign", lead), ("token", f"{one}\n{two}"), ("token", "Xy9#"), ("hex", "0123456789abcdef"), ("token", "#Kq")]
+    assert [k for k, _, _ in base] == ["assign", "hex"]
+
+
+def test_assigned_secret_over_more_lines(spark):
+    """The generator's own case, with the trained field: an assigned secret that goes on for three lines of 64 characters."""
+    rng = np.random.default_rng(3)
+    more = [secrets._draw(rng, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 64) for _ in range(3)]
+    text = "some words before password=" + secrets._draw(rng, "abcdefghABCDEFGH0123456789", 40) + "\n" + "\n".join(more) + "\nand words after it"
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    covered = {i for s in row.spans.split(",") for i in range(int(s.split(":")[1]), int(s.split(":")[2]))}
+    assert row.n_assign == 1
+    assert all(set(range(text.index(m), text.index(m) + 64)) <= covered for m in more)
+
+
 # --- staging ---
 
 
