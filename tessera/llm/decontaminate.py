@@ -2,7 +2,8 @@
 
 Documents are read in windows as long as an item, in words. A window and an item of n shingles each that are
 similar by t share 2 n t / (1 + t) of them at least; windows with fewer shingles of items of that length are passed
-over. Of the others a 64-bit SimHash is made from the window's shingles. An index over
+over. A document of m shingles, fewer than the item's, is one window as a whole, with a bound of (n + m) t / (1 + t).
+Of the others a 64-bit SimHash is made from the window's shingles. An index over
 eight blocks of the items' fingerprints finds every item within the radius: of blocks that differ in RADIUS bits
 together, one differs in RADIUS // 8 at most. What it finds is verified by the exact weighted Jaccard similarity
 of the shingles, the weight of a shingle being how often it occurs.
@@ -109,23 +110,24 @@ def matches(items: Items, text: bytes, grams: np.ndarray, hits: np.ndarray, leas
     spots = list(zip(hits.tolist(), grams[hits].tolist(), strict=True))
     for n, own in items.by_length.items():
         held = [i for i, g in spots if g in items.of_length[n]]
-        need = 2 * n * least / (1 + least) - 1e-9
-        if len(grams) < n or len(held) < need:
+        size = min(n, len(grams))
+        need = (n + size) * least / (1 + least) - 1e-9
+        if len(held) < need:
             continue
         flags = np.zeros(len(grams) + 1, np.int64)
         flags[np.array(held) + 1] = 1
         sums = np.cumsum(flags)
-        first = np.flatnonzero(sums[n:] - sums[:-n] >= need)
+        first = np.flatnonzero(sums[size:] - sums[:-size] >= need)
         for part in np.split(first, np.flatnonzero(np.diff(first) > 1) + 1):
             for lo in range(0, len(part), 4096):
                 at = part[lo : lo + 4096]
-                region = grams[at[0] : at[-1] + n]
-                prints = simhashes(region, at - at[0], n)
+                region = grams[at[0] : at[-1] + size]
+                prints = simhashes(region, at - at[0], size)
                 for w, i, distance in items.within(n, prints):
                     start = int(at[w])
-                    sim = _similarity(own[i][2], Counter(grams[start : start + n].tolist()))
+                    sim = _similarity(own[i][2], Counter(grams[start : start + size].tolist()))
                     if sim >= least:
-                        row = (-sim, start, n + SHINGLE - 1, distance)
+                        row = (-sim, start, size + SHINGLE - 1, distance)
                         item = own[i][0]
                         if item not in best or row < best[item]:
                             best[item] = row
@@ -164,7 +166,7 @@ def benchmark_matches(
 
     Words have A-Z lower-cased and ASCII punctuation taken as space; shingles are of five words, and an item
     under five words never matches. A row for each item and each row of docs with a window of the item's length
-    of that similarity, for its best and then first window. Ids may be null or repeat. Null texts and empty
+    of that similarity, for its best and then first window; a document shorter than the item is one window. Ids may be null or repeat. Null texts and empty
     tables match nothing. The benchmark is sent to all tasks in parts of ITEM_BYTES at most.
     """
     spark = docs.sparkSession

@@ -342,6 +342,34 @@ def test_decontamination(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    """An item without its last or first words, alone in a document, against brute force over the whole document."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 60)))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        docs += [(10 * i, " ".join(w[:-1])), (10 * i + 1, " ".join(w[rng.randint(1, 3) :])), (10 * i + 2, " ".join([*w[:-3], "other"])), (10 * i + 3, " ".join(w[: len(w) // 2]))]
+    shingle = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for i, text in items:
+        g = shingle(text.split())
+        for d, body in docs:
+            s = shingle(body.split())
+            assert len(s) < len(g) or d // 10 != i
+            for at in range(max(0, len(s) - len(g)) + 1):
+                a, b = Counter(g), Counter(s[at : at + len(g)])
+                sim = (a & b).total() / (a | b).total()
+                if sim >= 0.8 and sim > want.get((d, i), (0,))[0]:
+                    want[d, i] = (sim, at, len(body.split()) if len(s) < len(g) else len(text.split()))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontaminate.benchmark_matches(df, bench).collect()}
+    assert got == want and len(want) > 60
+    clean = {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_decontamination_parts_and_odd(spark, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 40)
     text = "alpha beta gamma delta epsilon zeta eta theta"
