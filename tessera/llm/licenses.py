@@ -2,7 +2,8 @@
 
 Compared are the segments of a text that can be a notice: each line, each paragraph of several lines, and the
 whole text. A segment with x distinct bigrams can reach a coefficient c only with templates of between
-x * c / (2 - c) and x * (2 - c) / c; templates outside these bounds are never compared.
+x * c / (2 - c) and x * (2 - c) / c; templates outside these bounds are never compared. A segment is left as soon as
+it has more distinct bigrams than go with the largest template, however many words it has.
 """
 
 from __future__ import annotations
@@ -71,6 +72,18 @@ def bigrams(text: str) -> frozenset[tuple[str, str]]:
     return frozenset(zip(["^", *words], [*words, "$"], strict=True)) if words else frozenset()
 
 
+def few_bigrams(text: str, most: int) -> frozenset[tuple[str, str]]:
+    """The bigrams of a text, or none if there are more than most."""
+    out, last = set(), "^"
+    for m in _WORD.finditer(text.lower()):
+        out.add((last, last := m[0]))
+        if len(out) > most:
+            return frozenset()
+    if out:
+        out.add((last, "$"))
+    return frozenset(out) if len(out) <= most else frozenset()
+
+
 class Templates:
     """Templates ordered by size."""
 
@@ -80,11 +93,11 @@ class Templates:
         self.rows = [x for x in made if x[0]]
         self.sizes = [len(b) for b, _ in self.rows]
         self.known = frozenset().union(*(b for b, _ in self.rows))
-        self.longest = int(max(self.sizes, default=0) * (2 - least) / least)
+        self.longest = int(max(self.sizes, default=0) * (2 - least) / least + 1e-9)
 
     def best(self, segment: str) -> dict[str, float]:
         """The licence with the highest coefficient, if that reaches the threshold; of equal ones all."""
-        own = bigrams(segment)
+        own = few_bigrams(segment, self.longest) if segment.count(" ") > self.longest else bigrams(segment)
         x, found = len(own), {}
         if not x or own.isdisjoint(self.known):
             return found
@@ -113,11 +126,9 @@ class Templates:
             segments.append((0, text))
         out: dict[str, tuple[float, int, int]] = {}
         for at, segment in segments:
-            # A word has a character at least, and a space or mark follows all but the last.
-            if segment.count(" ") <= self.longest or len(_WORD.findall(segment)) <= self.longest:
-                for name, dice in self.best(segment).items():
-                    was = out.get(name, (0.0, at, 0))
-                    out[name] = (max(dice, was[0]), min(at, was[1]), was[2] + 1)
+            for name, dice in self.best(segment).items():
+                was = out.get(name, (0.0, at, 0))
+                out[name] = (max(dice, was[0]), min(at, was[1]), was[2] + 1)
         return out
 
 

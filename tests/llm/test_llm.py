@@ -231,6 +231,24 @@ def test_license_size_bounds_lose_nothing():
         assert known.best(" ".join(words)) == {n: d for n, d in every.items() if d == top}
 
 
+def test_license_scan_counts_distinct_bigrams():
+    """Long lines of repeated notices have many words and few distinct bigrams; one at the largest bound counts too."""
+    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+    line = " ".join(["Released under the MIT License."] * 30)
+    own, notice = licenses.bigrams(line), licenses.bigrams("Released under the MIT License.")
+    want = 2 * len(own & notice) / (len(own) + len(notice))
+    assert want > 0.9 and known.scan(line) == {"MIT": (want, 0, 1)}
+    assert known.scan("prose\n" + line + "\nprose")["MIT"][:2] == (want, 1)
+    big, name = known.rows[-1]
+    text = next(t for t in licenses.TEMPLATES[name] if licenses.bigrams(t) == big)
+    for extra in range(28, 36):
+        words = f"{text} " + " ".join(f"extra{i}" for i in range(extra))
+        for segment in (words, words + " x" * 200):
+            own = licenses.bigrams(segment)
+            assert (name in known.scan(segment)) == (2 * len(own & big) / (len(own) + len(big)) >= 0.8)
+            assert licenses.few_bigrams(segment, len(own)) == own and not licenses.few_bigrams(segment, len(own) - 1)
+
+
 # --- 4 ---
 
 
