@@ -530,6 +530,10 @@ def _run(spark, stream, mode: str = "append"):
     name = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         return queues.to_table(stream, f"{name}/out", f"{name}/state")
+    if mode == "complete":
+        # Each batch has the whole result, also the windows that the watermark hasn't closed; the last one stays.
+        queues.run_available(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{name}/out"), f"{name}/state", mode)
+        return spark.read.parquet(f"{name}/out")
     queues.run_available(stream, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{name}/out"), f"{name}/state", mode)
     return spark.read.parquet(f"{name}/out")
 
@@ -541,12 +545,12 @@ def stream_dedup(spark, sf):
 
 @query()
 def stream_window_counts(spark, sf):
-    return _run(spark, queues.window_counts(_stream(spark, sf), "1 day", ["event_type"]))
+    return _run(spark, queues.window_counts(_stream(spark, sf), "1 day", ["event_type"]), "complete")
 
 
 @query()
 def stream_session_counts(spark, sf):
-    return _run(spark, queues.session_counts(_stream(spark, sf), "30 minutes", ["user_id"]))
+    return _run(spark, queues.session_counts(_stream(spark, sf), "30 minutes", ["user_id"]), "complete")
 
 
 @query(f"SELECT job_id, faces AND clip AS done FROM (SELECT {JOB_ID} AS job_id, bool_or(event_type = 'click') AS faces, bool_or(event_type = 'view') AS clip FROM events GROUP BY 1)")

@@ -261,6 +261,16 @@ def test_streams_equal_batches(spark):
     assert whole.count() - out.count() <= 10  # windows that the watermark hasn't closed
 
 
+def test_streams_leave_no_window_open(spark):
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    rests = e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
+    rests = rests.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
+    for out, whole in ((ingest.stream_window_counts(spark, sf), days), (ingest.stream_session_counts(spark, sf), rests)):
+        assert out.columns == whole.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_plans_are_what_is_wanted(spark):
     sf = "/root/testdata/sf0.01"
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
