@@ -6,12 +6,12 @@ hash. Equal windows have equal anchors at equal offsets, so they meet in one gro
 same anchor form a fragment, the run of units that they cover together.
 
 1. Count anchors; those found once have no repeated window. Partial sums keep very common ones cheap.
-2. Of the rest, collect distinct fragments with their counts. An anchor with one distinct fragment needs no bytes.
-3. Fetch the bytes of one copy of each other fragment, group them by anchor and let a solver say which windows
-   of each fragment also occur elsewhere. An anchor with more than HOT distinct fragments isn't a group: its
-   fragments are cut into blocks of neighbouring windows and grouped anew by what all windows of a block share,
-   which is nearly a window. What is hot still is counted window by window, by hash, with partial sums.
-4. Carry the result back to every copy and collect the covered runs by document.
+2. Of the rest, list the fragments by document, and mark one place of each distinct fragment.
+3. Fetch the bytes of each distinct fragment once, with the number of its copies, group them by anchor and let a
+   solver say which windows of each fragment also occur elsewhere, in a copy or in another fragment. An anchor
+   with more than HOT distinct fragments is split: its fragments are cut into blocks of neighbouring windows and
+   grouped anew by what all windows of a block share, which is nearly a window; what is hot still, into single
+   windows. The same solver takes the groups of every level.
 
 Documents are told apart by id and text hash; rows equal in both repeat each other's windows, as any copies do.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import _BYTE, CHUNK, chunks, column, id_key, joined, quoted, range_hash, stage, texts_of, word_hashes, word_spans
 
-#: Distinct fragments of one anchor that a task takes as a group.
+#: Distinct fragments of one anchor that a task takes as a group; those of larger groups are split by content.
 HOT = 200
 _POS = np.uint64((1 << 28) - 1)
 
@@ -98,6 +98,12 @@ def _pieces(unit: Unit, texts: list[bytes]) -> Iterator[tuple]:
             yield part, np.clip(starts, a, b) - a, np.clip(ends, a, b) - a, whole, spans, a, i, starts
 
 
+def anchor_counts(unit: Unit, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of canonical texts and how many fragments have each."""
+    found = [unit.runs(codes, starts, ends)[3] for codes, starts, ends, *_ in _pieces(unit, texts)]
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+
+
 def fragments(unit: Unit, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """Of canonical texts, arrays of document, first window, number of windows, the anchor's offset from the first, anchor and content hash of all fragments."""
     digest = xxhash.xxh3_64_intdigest
@@ -115,33 +121,59 @@ def fragments(unit: Unit, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]
         yield doc + doc0, lo + base - begun[doc], hi - lo + 1, pos - lo, anchors, np.array(content, np.uint64)
 
 
+def _parts(unit: Unit, batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts that windows are taken from: whole canonical texts, or the runs in _within; with the row and the first unit of each."""
+    texts = [unit.canonical(t) for t in texts_of(batch, "_text")]
+    if "_within" not in batch.schema.names:
+        return texts, np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    runs = [(i, r["s"], r["e"]) for i, own in enumerate(column(batch, "_within")) for r in own or ()]
+    return [texts[i][s:e] for i, s, e in runs], np.array([i for i, _, _ in runs], np.int64), np.array([s for _, s, _ in runs], np.int64)
+
+
+def _anchors(unit: Unit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, counts = anchor_counts(unit, _parts(unit, batch)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(counts, pa.int64())], ["_anchor", "_c"])
+
+    return run
+
+
 def _occurrences(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("_id")).to_numpy(zero_copy_only=False)
             ths = batch.column(batch.schema.get_field_index("_th")).to_numpy(zero_copy_only=False)
-            texts = [unit.canonical(t) for t in texts_of(batch, "_text")]
+            texts, rows, first = _parts(unit, batch)
             for doc, lo, n, off, anchor, content in fragments(unit, texts):
-                cols = [ids[doc], ths[doc], (lo << 20) | (n << 10) | off, anchor.view(np.int64), content.view(np.int64)]
+                cols = [ids[rows[doc]], ths[rows[doc]], ((lo + first[doc]) << 20) | (n << 10) | off, anchor.view(np.int64), content.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "_th", "_at", "_anchor", "_f"])
 
     return run
 
 
+def place(at: int) -> tuple[int, int, int]:
+    """First unit, number of windows and the anchor's offset of a fragment."""
+    return at >> 20, at >> 10 & 1023, at & 1023
+
+
 def _fetch(unit: Unit):
+    """The bytes of the fragments that are marked with a number of copies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, asked in zip(texts_of(batch, "_text"), column(batch, "_asked"), strict=True):
-                text = unit.canonical(text)
-                spans = unit.spans(text)
+                asked = [x for x in asked if x["_n"]]
+                text = unit.canonical(text) if asked else b""
+                spans = unit.spans(text) if asked else None
                 for x in asked:
-                    lo, n, off = x["_at"] >> 20, x["_at"] >> 10 & 1023, x["_at"] & 1023
+                    lo, n, off = place(x["_at"])
                     rows.append((x["_anchor"], x["_f"], x["_n"], off, n, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
                     if len(rows) >= 4000:
-                        yield _rows_batch(rows, _FRAGMENT)
+                        yield rows_batch(rows, _FRAGMENT)
                         rows = []
-            yield _rows_batch(rows, _FRAGMENT)
+            yield rows_batch(rows, _FRAGMENT)
 
     return run
 
@@ -151,24 +183,26 @@ FRAGMENT = "_anchor long, _f long, _n long, _off long, _wins long, _bytes binary
 _OFFSETS = "_anchor long, _f long, _o1 long, _o2 long"
 
 
-def _rows_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def rows_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of longs, and of bytes where a name is _bytes."""
     cols = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "_bytes" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
 
-def _solve(solver: Solver):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+def row_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
 
+def _solve(solver: Solver):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        for x in solver(rows(batches)):
+        for x in solver(row_tuples(batches)):
             found.append(x)
             if len(found) >= 20_000:
-                yield _rows_batch(found, ["_anchor", "_f", "_o1", "_o2"])
+                yield rows_batch(found, ["_anchor", "_f", "_o1", "_o2"])
                 found = []
-        yield _rows_batch(found, ["_anchor", "_f", "_o1", "_o2"])
+        yield rows_batch(found, ["_anchor", "_f", "_o1", "_o2"])
 
     return run
 
@@ -187,15 +221,14 @@ def grouped(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield list(group.values())
 
 
-def _blocks(unit: Unit):
-    """Hot fragments cut by the anchor's offset: rows of parent, new group, fragment; the group is the hash of what all windows of a block share."""
-    width = unit.block
+def _blocks(unit: Unit, width: int):
+    """Hot fragments cut by the anchor's offset into blocks of width windows: rows of parent, new group, fragment; the group is the hash of what all windows of a block share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_pa", "_pf", *_FRAGMENT]
         for batch in batches:
             out: list[tuple] = []
-            for anchor, f, n, off, wins, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for anchor, f, n, off, wins, data in row_tuples(iter([batch])):
                 spans = unit.spans(data)
                 for b in range((off - wins + 1) // width, off // width + 1):
                     lo, hi = max(b * width, off - wins + 1), min(b * width + width - 1, off)
@@ -204,76 +237,65 @@ def _blocks(unit: Unit):
                     key = xxhash.xxh3_64_intdigest(core, (anchor * 31 + b) % 2**64) - 2**63
                     out.append((anchor, f, key, xxhash.xxh3_64_intdigest(own, hi) - 2**63, n, hi, hi - lo + 1, own))
                 if len(out) >= 4000:
-                    yield _rows_batch(out, names)
-                    out = []
-            yield _rows_batch(out, names)
-
-    return run
-
-
-def _windows(unit: Unit):
-    """Of hot fragments, a row for each window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for anchor, f, n, off, wins, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                spans = unit.spans(data)
-                for w in range(wins):
-                    out.append((anchor, f, off - w, xxhash.xxh3_64_intdigest(unit.cut(data, spans, w, w + unit.window)) - 2**63, n))
-                if len(out) >= 50_000:
-                    yield _rows_batch(out, ["_anchor", "_f", "_o", "_w", "_n"])
+                    yield rows_batch(out, names)
                     out = []
-            yield _rows_batch(out, ["_anchor", "_f", "_o", "_w", "_n"])
+            yield rows_batch(out, names)
 
     return run
 
 
-def _solve_all(parts: DataFrame, unit: Unit, solver: Solver, blocks: bool) -> DataFrame:
-    """_anchor, _f and offsets _o1 to _o2 that repeat, of staged distinct fragments with their copies."""
-    hot = stage(parts.groupBy("_anchor").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_anchor"), "hot")
-    some_hot = not hot.isEmpty()
+def solve(parts: DataFrame, unit: Unit, solver: Solver, widths: tuple[int, ...]) -> DataFrame:
+    """_anchor, _f and offsets _o1 to _o2 that repeat, of staged distinct fragments with their copies; hot anchors are split into blocks of each of the widths in turn."""
+    some_hot = False
+    if widths:
+        hot = stage(parts.groupBy("_anchor").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_anchor"), "hot")
+        some_hot = not hot.isEmpty()
     cool = parts.join(hot, "_anchor", "left_anti") if some_hot else parts
     solved = cool.repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(_solve(solver), _OFFSETS)
     if not some_hot:
         return solved
-    left = parts.join(hot, "_anchor", "left_semi")
-    if not blocks:
-        windows = stage(left.mapInArrow(_windows(unit), "_anchor long, _f long, _o long, _w long, _n long"), "windows")
-        counts = windows.groupBy("_anchor", "_o", "_w").agg(F.sum("_n").alias("_c")).where("_c > 1").drop("_c")
-        repeats = windows.join(stage(counts, "repeats"), ["_anchor", "_o", "_w"])
-        return solved.unionByName(repeats.select("_anchor", "_f", F.col("_o").alias("_o1"), F.col("_o").alias("_o2")))
-    cut = stage(left.mapInArrow(_blocks(unit), f"_pa long, _pf long, {FRAGMENT}"), "blocks")
-    counts = cut.groupBy("_anchor", "_f").agg(F.sum("_n").alias("_n"), F.min("_off").alias("_off"), F.min("_wins").alias("_wins"))
-    counts = stage(counts, "counts")
-    shared = stage(counts.groupBy("_anchor").agg(F.count("*").alias("_m")).where("_m > 1").select("_anchor"), "shared")
-    # Blocks with one content repeat as a whole; the bytes of the others are fetched once for each content.
-    whole = counts.where("_n > 1").select("_anchor", "_f", (F.col("_off") - F.col("_wins") + 1).alias("_o1"), F.col("_off").alias("_o2"))
-    inner = cut.join(shared, "_anchor", "left_semi").groupBy("_anchor", "_f")
+    cut = stage(parts.join(hot, "_anchor", "left_semi").mapInArrow(_blocks(unit, widths[0]), f"_pa long, _pf long, {FRAGMENT}"), "blocks")
+    inner = cut.groupBy("_anchor", "_f")
     inner = inner.agg(F.sum("_n").alias("_n"), F.first("_off").alias("_off"), F.first("_wins").alias("_wins"), F.first("_bytes").alias("_bytes"))
-    found = stage(whole.unionByName(_solve_all(stage(inner.select(*_FRAGMENT), "fragments"), unit, solver, False)).distinct(), "solved")
+    found = stage(solve(stage(inner.select(*_FRAGMENT), "fragments"), unit, solver, widths[1:]).distinct(), "solved")
     back = cut.select("_pa", "_pf", "_anchor", "_f").join(found, ["_anchor", "_f"])
     return solved.unionByName(back.select(F.col("_pa").alias("_anchor"), F.col("_pf").alias("_f"), "_o1", "_o2"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solver: Solver) -> DataFrame:
-    """For documents with repeated windows: _id, _th and _runs, the covered runs of units as [start, end), unsorted and overlapping."""
-    base = keyed(docs, id_col, text_col)
-    found = base.mapInArrow(_occurrences(unit), "_id long, _th long, _at long, _anchor long, _f long")
-    anchors = found.groupBy("_anchor").agg(F.count("*").alias("_c"), F.min("_f").alias("_f1"), F.max("_f").alias("_f2"))
-    # Tables joined to on hot keys are staged: a join of plain exchanges is one that Spark can split.
-    anchors = stage(anchors.where("_c > 1").select("_anchor", (F.col("_f1") != F.col("_f2")).alias("_multi")), "anchors")
-    again = stage(found.join(anchors, "_anchor"), "occurrences")
-    distinct = again.where("_multi").groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
-    asked = distinct.groupBy("_from._id", "_from._th").agg(F.collect_list(F.struct(F.col("_from._at").alias("_at"), "_anchor", "_f", "_n")).alias("_asked"))
-    parts = stage(base.join(asked, ["_id", "_th"]).select("_text", "_asked").mapInArrow(_fetch(unit), FRAGMENT), "fragments")
-    solved = _solve_all(parts, unit, solver, unit.block > 1)
-    ranges = stage(solved.groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges")), "solved")
-    lo, n, off = F.shiftright("_at", 20), F.shiftright("_at", 10).bitwiseAND(F.lit(1023)), F.col("_at").bitwiseAND(F.lit(1023))
-    whole = again.where("not _multi").select("_id", "_th", F.array(F.struct(lo.alias("s"), (lo + n - 1 + F.lit(unit.window)).alias("e"))).alias("_runs"))
-    place = lambda r: F.struct((lo + off - r["_o2"]).alias("s"), (lo + off - r["_o1"] + F.lit(unit.window)).alias("e"))
-    parted = again.where("_multi").join(ranges, ["_anchor", "_f"]).select("_id", "_th", F.transform("_ranges", place).alias("_runs"))
-    return whole.unionByName(parted).groupBy("_id", "_th").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+class Repeats:
+    """Staged tables of the fragments whose anchor is found again.
+
+    base has _id, _th, _text, and _within (runs of units as [s, e)) where windows are taken from these only.
+    again lists every place of such a fragment: _id, _th, _at, _anchor, _f. texts has the documents with such
+    places, _asked being the places, with the number of copies where a place is the one its fragment is fetched
+    from. parts has every distinct fragment once with that number and its bytes.
+    """
+
+    def __init__(self, base: DataFrame, unit: Unit):
+        counts = base.select(*[c for c in base.columns if c in ("_text", "_within")]).mapInArrow(_anchors(unit), "_anchor long, _c long")
+        # Tables joined to on hot keys are staged: a join of plain exchanges is one that Spark can split.
+        anchors = stage(counts.groupBy("_anchor").agg(F.sum("_c").alias("_c")).where("_c > 1").select("_anchor"), "anchors")
+        found = base.mapInArrow(_occurrences(unit), "_id long, _th long, _at long, _anchor long, _f long")
+        self.again = stage(found.join(anchors, "_anchor").select("_id", "_th", "_at", "_anchor", "_f"), "occurrences")
+        distinct = self.again.groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
+        places = self.again.select("_id", "_th", "_at", "_anchor", "_f", F.lit(0).cast("long").alias("_n"))
+        places = places.unionByName(distinct.select("_from.*", "_anchor", "_f", "_n"))
+        asked = places.groupBy("_id", "_th").agg(F.collect_set(F.struct("_at", "_anchor", "_f", "_n")).alias("_asked"))
+        self.texts = stage(base.select("_id", "_th", "_text").join(asked, ["_id", "_th"]), "texts")
+        self.parts = stage(self.texts.select("_text", "_asked").mapInArrow(_fetch(unit), FRAGMENT), "fragments")
+        self.unit = unit
+
+    def solved(self, solver: Solver) -> DataFrame:
+        widths = (self.unit.block, 1) if self.unit.block > 1 else (1,)
+        return solve(self.parts, self.unit, solver, widths)
+
+    def runs(self, solver: Solver) -> DataFrame:
+        """For documents with repeated windows: _id, _th and _runs, the covered runs of units as [s, e), unsorted and overlapping."""
+        ranges = stage(self.solved(solver).groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges")), "solved")
+        lo, off = F.shiftright("_at", 20), F.col("_at").bitwiseAND(F.lit(1023))
+        run = lambda r: F.struct((lo + off - r["_o2"]).alias("s"), (lo + off - r["_o1"] + F.lit(self.unit.window)).alias("e"))
+        found = self.again.join(ranges, ["_anchor", "_f"]).select("_id", "_th", F.transform("_ranges", run).alias("_runs"))
+        return found.groupBy("_id", "_th").agg(F.flatten(F.collect_set("_runs")).alias("_runs"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: object) -> DataFrame:

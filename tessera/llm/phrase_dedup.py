@@ -1,85 +1,150 @@
 """Removal of word passages that repeat anywhere, located with Aho-Corasick automata.
 
-Passages that recur are confirmed first: a task counts the windows of the fragments that share an anchor (see
-passages.py), each weighted with its copies, and joins consecutive recurring ones to passages. The passages of a
-shard, some thousands at a time, are compiled into an automaton over word numbers, and the fragments of the shard
-stream through it; each match is an occurrence of a recurring passage. As fragments carry all places of all
-documents where an anchor of the shard stands, every occurrence is met.
+1. Passages that recur are confirmed: a task counts the windows of the fragments that share an anchor (passages.py
+   says what these are), each weighted with its copies, and joins consecutive recurring ones to passages.
+2. The passages are dealt to shards by anchor, and each shard is compiled into an automaton over word numbers.
+3. All documents stream through the automata: every place of every document where an anchor found twice stands is
+   sent to that anchor's shard, so a document meets only the shards that can hold a passage of it. What the
+   automata report is what goes; the counts of the first step only say which passages they are made of.
+
+A shard that many documents stream through is compiled in several tasks, which share them out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, others, quoted, texts_of
-from tessera.llm.passages import Unit, grouped, keyed, merged, repeated_runs
+from tessera.llm.common import column, others, quoted, stage, texts_of
+from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged, place, row_tuples, rows_batch
 
 #: Words of the passages compiled into one automaton, about: it takes some 60 bytes for each.
 SHARD_WORDS = 400_000
+#: Words that one task streams through an automaton, about.
+STREAM_WORDS = 4_000_000
 
 
-def recurring(group: list[tuple], words: list[list[int]], window: int) -> list[tuple[int, ...]]:
-    """Passages made of windows that occur twice or more in the fragments of one anchor, copies counted."""
-    counts: dict[tuple[int, ...], int] = {}
+def recurring(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """For fragments of one anchor, (anchor, f, copies, offset, windows, bytes) each, offsets of the anchor in windows that occur twice or more, copies counted."""
+    counts: dict[tuple[bytes, ...], int] = {}
     keys = []
-    for x, w in zip(group, words, strict=True):
+    for x in group:
+        if len(group) == 1:
+            if x[2] > 1:
+                yield x[0], x[1], x[3] - x[4] + 1, x[3]
+            return
+        w = x[5].split(b" ")
         own = [tuple(w[i : i + window]) for i in range(x[4])]
         keys.append(own)
         for key in own:
             counts[key] = counts.get(key, 0) + x[2]
-    out = set()
-    for w, own in zip(words, keys, strict=True):
+    for x, own in zip(group, keys, strict=True):
         begin = None
         for i, key in enumerate([*own, None]):
             if key is not None and counts[key] > 1:
                 begin = i if begin is None else begin
             elif begin is not None:
-                out.add(tuple(w[begin : i - 1 + window]))
+                yield x[0], x[1], x[3] - (i - 1), x[3] - begin
                 begin = None
-    return list(out)
-
-
-def located(shard: list[tuple[list[tuple], list[list[int]], list[tuple[int, ...]]]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Compile the passages of a shard and stream its fragments through the automaton."""
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for _, _, passages in shard:
-        for p in passages:
-            automaton.add_word(p)
-    if not len(automaton):
-        return
-    automaton.make_automaton()
-    for group, words, _ in shard:
-        for x, w in zip(group, words, strict=True):
-            for end, size in automaton.iter(tuple(w)):
-                first, last = end + 1 - size, end + 1 - window  # windows of the fragment that the passage covers
-                yield x[0], x[1], x[3] - last, x[3] - first
 
 
 def _solver(window: int):
     def solve(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        numbers: dict[bytes, int] = {}
-        shard, size = [], 0
         for group in grouped(rows):
-            words = [[numbers.setdefault(w, len(numbers)) for w in x[5].split(b" ")] for x in group]
-            if passages := recurring(group, words, window):
-                shard.append((group, words, passages))
-                size += sum(map(len, passages))
-            if size >= SHARD_WORDS:
-                yield from located(shard, window)
-                shard, size = [], 0
-                numbers.clear()
-        yield from located(shard, window)
+            yield from recurring(group, window)
 
     return solve
 
 
+def _passages(unit: Unit):
+    """Of fragments with their recurring offsets, the passages: consecutive recurring windows together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, words = [], []
+            for anchor, off, data, ranges in zip(*(column(batch, n) for n in ("_anchor", "_off", "_bytes", "_ranges")), strict=True):
+                spans = unit.spans(data)
+                # Windows i to j - 1 of the fragment, as runs of neighbours.
+                for i, j in merged([{"s": off - r["_o2"], "e": off - r["_o1"] + 1} for r in ranges]):
+                    out.append((anchor, unit.cut(data, spans, i, j - 1 + unit.window)))
+                    words.append(j - i - 1 + unit.window)
+            made = rows_batch(out, ["_anchor", "_bytes"])
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array(words, pa.int64())], ["_anchor", "_bytes", "_words"])
+
+    return run
+
+
+def _streamed(unit: Unit):
+    """The words of every place where a known anchor stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_anchor", "_id", "_th", "_lo", "_bytes"]
+        for batch in batches:
+            out = []
+            for i, th, text, asked in zip(column(batch, "_id"), column(batch, "_th"), texts_of(batch, "_text"), column(batch, "_asked"), strict=True):
+                text = unit.canonical(text)
+                spans = unit.spans(text)
+                for x in asked:
+                    if not x["_n"]:
+                        lo, n, _ = place(x["_at"])
+                        out.append((x["_anchor"], i, th, lo, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
+                if len(out) >= 4000:
+                    yield rows_batch(out, names)
+                    out = []
+            yield rows_batch(out, names)
+
+    return run
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard, its passages first: compile these, then stream the others and report where passages stand."""
+    import ahocorasick
+
+    key, passage, numbers, automaton, out = None, True, {}, None, []
+    for shard, salt, streamed, i, th, lo, data in row_tuples(batches):
+        if (shard, salt) != key:
+            key, passage, numbers = (shard, salt), True, {}
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        words = data.split(b" ")
+        if not streamed:
+            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]))
+            continue
+        if passage:
+            passage = False
+            automaton.make_automaton()
+        if len(automaton):
+            found = [{"s": end + 1 - size, "e": end + 1} for end, size in automaton.iter(tuple([numbers.get(w, 0) for w in words]))]
+            out.extend((i, th, lo + s, lo + e) for s, e in merged(found))
+        if len(out) >= 20_000:
+            yield rows_batch(out, ["_id", "_th", "s", "e"])
+            out = []
+    yield rows_batch(out, ["_id", "_th", "s", "e"])
+
+
+def located(repeats: Repeats, window: int) -> DataFrame:
+    """For documents with recurring passages: _id, _th and _runs, the runs of words that automata found, unsorted and overlapping."""
+    ranges = repeats.solved(_solver(window)).groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges"))
+    cut = repeats.parts.join(ranges, ["_anchor", "_f"]).select("_anchor", "_off", "_bytes", "_ranges")
+    passages = stage(cut.mapInArrow(_passages(repeats.unit), "_anchor long, _bytes binary, _words long").distinct(), "passages")
+    shards = 1 + (passages.agg(F.sum("_words")).first()[0] or 0) // SHARD_WORDS
+    shard = lambda a: F.pmod(F.xxhash64(a), F.lit(shards)).alias("_shard")
+    size = F.shiftright("_at", 10).bitwiseAND(F.lit(1023)) - 1 + F.lit(window)
+    load = repeats.again.groupBy(shard("_anchor")).agg(F.ceil(F.sum(size) / STREAM_WORDS).cast("int").alias("_salts"))
+    load = stage(load, "shards")
+    none = F.lit(0).cast("long")
+    known = passages.select(shard("_anchor"), "_bytes").join(load, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    known = known.select("_shard", "_salt", F.lit(False).alias("_streamed"), none.alias("_id"), none.alias("_th"), none.alias("_lo"), "_bytes")
+    stream = repeats.texts.mapInArrow(_streamed(repeats.unit), "_anchor long, _id long, _th long, _lo long, _bytes binary")
+    stream = stream.select("*", shard("_anchor")).join(load, "_shard")
+    stream = stream.select("_shard", F.pmod(F.xxhash64("_id", "_th", "_lo"), "_salts").alias("_salt"), F.lit(True).alias("_streamed"), "_id", "_th", "_lo", "_bytes")
+    rows = known.unionByName(stream).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_streamed")
+    found = rows.mapInArrow(_locate, "_id long, _th long, s long, e long")
+    return found.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
+
+
 def _remove(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,29 +174,10 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_removed; columns of those names are replaced. Ids may be null or repeat: rows equal in id and text are
     copies like any others and lose what they share. An empty table gives an empty result.
     """
-    runs = repeated_runs(docs, id_col, text_col, Unit("words", window, anchor), _solver(window))
+    runs = located(Repeats(keyed(docs, id_col, text_col), Unit("words", window, anchor)), window)
     names = [c for c in others(docs, "kept", "n_words", "n_removed") if c != text_col]
     rows = keyed(docs, id_col, text_col, *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)])
     held = [f"_c{i}" for i in range(len(names))]
     fields = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in held] + ["kept string, n_words long, n_removed long"])
     out = rows.join(runs, ["_id", "_th"], "left").mapInArrow(_remove(held), fields)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "kept", "n_words", "n_removed")
-
-
-def brute_force(texts: dict[int, bytes], window: int) -> dict[int, tuple[int, int, bytes]]:
-    """The same from every window of every text, for tests."""
-    words = {d: t.split() for d, t in texts.items()}
-    starts: dict[tuple[bytes, ...], int] = {}
-    for w in words.values():
-        for i in range(len(w) - window + 1):
-            key = tuple(w[i : i + window])
-            starts[key] = starts.get(key, 0) + 1
-    out = {}
-    for d, w in words.items():
-        gone = np.zeros(len(w), bool)
-        for i in range(len(w) - window + 1):
-            if starts[tuple(w[i : i + window])] > 1:
-                gone[i : i + window] = True
-        left = [x for x, g in zip(w, gone, strict=True) if not g]
-        out[d] = (len(w), int(gone.sum()), b" ".join(left))
-    return out

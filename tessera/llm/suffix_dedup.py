@@ -4,12 +4,15 @@ Only suffixes at anchors are sorted (passages.py says what these are and how the
 anchor, the suffixes from it and the reversed prefixes before it are each sorted: multikey quicksort to a shallow
 depth past what all have in common, then blind tries for the groups that are still equal there. The common prefix
 of any two is the least of the neighbouring ones between them, so from both orders follows, for each pair, how far
-they agree to the left and to the right, and with that which windows of a fragment occur in another.
+they agree to the left and to the right, and with that which windows of a fragment occur in another. Copies of a
+fragment are one string with a number, its neighbour in the order being itself.
+
+Two lengths are asked for. What repeats for the shorter one is found first; the longer strings that repeat lie
+within runs of it, so only those runs are looked at again.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, others, quoted, texts_of
-from tessera.llm.passages import Unit, grouped, keyed, merged, repeated_runs
+from tessera.llm.common import column, others, quoted, stage, texts_of
+from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged
 
 #: Bytes past the common prefix that quicksort looks at before blind tries take over.
 SHALLOW = 6
@@ -133,50 +136,62 @@ def _agreement(i: int, order: np.ndarray, rank: np.ndarray, shared: np.ndarray)
 
 
 def repeated_offsets(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """For fragments of one anchor, offsets of the anchor in windows that occur in another one or a copy."""
-    once = [i for i, x in enumerate(group) if x[2] == 1]
-    for x in group:
-        if x[2] > 1:
-            yield x[0], x[1], x[3] - x[4] + 1, x[3]
-    if not once or len(group) < 2:
-        return
+    """For fragments of one anchor, (anchor, f, copies, offset, windows, bytes) each, offsets of the anchor in windows that occur in another one or a copy."""
     right, left = [x[5][x[3] :] for x in group], [x[5][: x[3]][::-1] for x in group]
-    if len(group) == 2:
-        rights, lefts = common_prefix(*right), common_prefix(*left)
-        for i in once:
-            lo, hi = max(window - rights, group[i][3] - group[i][4] + 1), min(lefts, group[i][3])
-            if lo <= hi:
-                yield group[i][0], group[i][1], lo, hi
-        return
     forward, backward = _neighbours(right), _neighbours(left)
-    for i in once:
-        first, last = group[i][3] - group[i][4] + 1, group[i][3]
-        lo = np.maximum(window - _agreement(i, *forward), first)
-        hi = np.minimum(_agreement(i, *backward), last)
+    for i, x in enumerate(group):
+        first, last = x[3] - x[4] + 1, x[3]
+        rights, lefts = _agreement(i, *forward), _agreement(i, *backward)
+        if x[2] > 1:
+            rights[i], lefts[i] = len(right[i]), len(left[i])
+        lo, hi = np.maximum(window - rights, first), np.minimum(lefts, last)
         ok = lo <= hi
-        ok[i] = False
+        ok[i] &= x[2] > 1
         if ok.any():
             marks = np.zeros(window + 2, np.int64)
             np.add.at(marks, lo[ok], 1)
             np.add.at(marks, hi[ok] + 1, -1)
             edges = np.flatnonzero(np.diff(np.append(0, np.cumsum(marks) > 0).astype(np.int8)))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                yield group[i][0], group[i][1], a, b - 1
+                yield x[0], x[1], a, b - 1
+
+
+def pair_offsets(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """repeated_offsets for one or two fragments, whose order needs no sorting: the neighbour is the copy or the other one."""
+    rights, lefts = (common_prefix(*[x[5][x[3] :] for x in group]), common_prefix(*[x[5][: x[3]][::-1] for x in group])) if len(group) == 2 else (-1, -1)
+    for x in group:
+        first, last = x[3] - x[4] + 1, x[3]
+        lo, hi = (first, last) if x[2] > 1 else (max(window - rights, first), min(lefts, last))
+        if lo <= hi:
+            yield x[0], x[1], lo, hi
 
 
 def _solver(window: int):
     def solve(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int, int]]:
         for group in grouped(rows):
-            yield from repeated_offsets(group, window)
+            yield from (repeated_offsets if len(group) > 2 else pair_offsets)(group, window)
 
     return solve
 
 
+def _long_runs(least: int):
+    """Keeps documents with covered runs of least units or more, and these runs as _within."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        for batch in batches:
+            within = [[{"s": s, "e": e} for s, e in merged(runs) if e - s >= least] for runs in column(batch, "_runs")]
+            cols = [batch.column(batch.schema.get_field_index(n)) for n in ("_id", "_th", "_text")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(within, kind)], ["_id", "_th", "_text", "_within"]).filter(pa.array([bool(w) for w in within], pa.bool_()))
+
+    return run
+
+
 def _remove(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, removed, spans = [], [], [], []
-            for text, runs in zip(texts_of(batch, "_text"), column(batch, "_runs"), strict=True):
+            kept, sizes, removed, spans, short = [], [], [], [], []
+            for text, runs, more in zip(texts_of(batch, "_text"), column(batch, "_runs"), column(batch, "_shorter"), strict=True):
                 text, gone = text or b"", merged(runs)
                 out, at = [], 0
                 for s, e in gone:
@@ -186,44 +201,41 @@ def _remove(names: list[str]):
                 sizes.append(len(text))
                 removed.append(sum(e - s for s, e in gone))
                 spans.append(len(gone))
+                short.append(sum(e - s for s, e in merged(more)))
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            cols += [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)]]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            cols += [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans, short)]]
+            yield pa.RecordBatch.from_arrays(cols, [*names, *MADE])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, anchor: int = 64) -> DataFrame:
+MADE = ("kept", "n_bytes", "n_removed", "n_spans", "n_shared")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, anchor: int = 64, shorter: int = 200) -> DataFrame:
     """Remove every byte covered by a string of window bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents and are judged on the input. Returns the
     columns of docs without the text, and kept (binary: the remaining bytes, which can break within a character),
-    n_bytes, n_removed and n_spans; columns of those names are replaced. Ids may be null or repeat: rows equal in
-    id and text are copies like any others and lose what they share. An empty table gives an empty result.
+    n_bytes, n_removed, n_spans and n_shared; columns of those names are replaced. n_shared is the number of bytes
+    covered by strings of shorter bytes (at most window) that repeat: it tells of passages too short to be
+    removed. Ids may be null or repeat: rows equal in id and text are copies like any others and lose what they
+    share. An empty table gives an empty result.
     """
-    unit = Unit("bytes", window, anchor)
-    runs = repeated_runs(docs, id_col, text_col, unit, _solver(window))
-    names = [c for c in others(docs, "kept", "n_bytes", "n_removed", "n_spans") if c != text_col]
+    if not 0 < shorter <= window:
+        raise ValueError("0 < shorter <= window")
+    base = keyed(docs, id_col, text_col)
+    k = max(1, min(anchor, shorter * anchor // window))
+    short = stage(Repeats(base, Unit("bytes", shorter, k)).runs(_solver(shorter)), "shorter")
+    runs = short
+    if shorter < window:
+        fields = "_id long, _th long, _text string, _within array<struct<s: long, e: long>>"
+        within = stage(base.join(short, ["_id", "_th"]).select("_id", "_th", "_text", "_runs").mapInArrow(_long_runs(window), fields), "within")
+        runs = Repeats(within, Unit("bytes", window, anchor)).runs(_solver(window))
+    both = short.select("_id", "_th", F.col("_runs").alias("_shorter")).join(runs.select("_id", "_th", "_runs"), ["_id", "_th"], "left")
+    names = [c for c in others(docs, *MADE) if c != text_col]
     rows = keyed(docs, id_col, text_col, *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)])
     held = [f"_c{i}" for i in range(len(names))]
-    fields = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in held] + ["kept binary, n_bytes long, n_removed long, n_spans long"])
-    out = rows.join(runs, ["_id", "_th"], "left").mapInArrow(_remove(held), fields)
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "kept", "n_bytes", "n_removed", "n_spans")
-
-
-def brute_force(texts: dict[int, bytes], window: int) -> dict[int, tuple[int, int, int, str]]:
-    """The same from every window of every text, for tests."""
-    starts: dict[bytes, int] = {}
-    for t in texts.values():
-        for i in range(len(t) - window + 1):
-            starts[t[i : i + window]] = starts.get(t[i : i + window], 0) + 1
-    out = {}
-    for d, t in texts.items():
-        gone = np.zeros(len(t), bool)
-        for i in range(len(t) - window + 1):
-            if starts[t[i : i + window]] > 1:
-                gone[i : i + window] = True
-        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
-        spans = int((np.diff(np.append(0, gone.astype(np.int8))) == 1).sum())
-        out[d] = (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
-    return out
+    fields = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in held] + ["kept binary", *[f"{c} long" for c in MADE[1:]]])
+    out = rows.join(both, ["_id", "_th"], "left").mapInArrow(_remove(held), fields)
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], *MADE)

@@ -402,24 +402,81 @@ def test_decontamination_parts_and_odd(spark, empty, monkeypatch):
 # --- 7 and 10 ---
 
 
-@pytest.mark.parametrize("hot,window,anchor", [(200, 60, 16), (2, 60, 16), (200, 25, 24), (200, 20, 1)])
-def test_suffix_dedup(spark, docs, rows, monkeypatch, hot, window, anchor):
+def brute_repeats(texts: dict[int, bytes], window: int) -> dict[int, tuple[int, int, int, str]]:
+    """What remove_repeats gives, from every window of every text."""
+    starts: dict[bytes, int] = {}
+    for t in texts.values():
+        for i in range(len(t) - window + 1):
+            starts[t[i : i + window]] = starts.get(t[i : i + window], 0) + 1
+    out = {}
+    for d, t in texts.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - window + 1):
+            if starts[t[i : i + window]] > 1:
+                gone[i : i + window] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        spans = int((np.diff(np.append(0, gone.astype(np.int8))) == 1).sum())
+        out[d] = (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def brute_phrases(texts: dict[int, bytes], window: int) -> dict[int, tuple[int, int, bytes]]:
+    """What remove_phrases gives, from every window of every text."""
+    words = {d: t.split() for d, t in texts.items()}
+    starts: dict[tuple[bytes, ...], int] = {}
+    for w in words.values():
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            starts[key] = starts.get(key, 0) + 1
+    out = {}
+    for d, w in words.items():
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - window + 1):
+            if starts[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = True
+        left = [x for x, g in zip(w, gone, strict=True) if not g]
+        out[d] = (len(w), int(gone.sum()), b" ".join(left))
+    return out
+
+
+@pytest.mark.parametrize("hot,window,anchor,shorter", [(200, 60, 16, 30), (2, 60, 16, 60), (1, 25, 24, 12), (200, 20, 1, 20)])
+def test_suffix_dedup(spark, docs, rows, monkeypatch, hot, window, anchor, shorter):
     monkeypatch.setattr(passages, "HOT", hot)
-    want = suffix_dedup.brute_force({r[0]: (r[1] or "").encode() for r in rows}, window)
-    out = suffix_dedup.remove_repeats(docs, window=window, anchor=anchor)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect()}
+    texts = {r[0]: (r[1] or "").encode() for r in rows}
+    want, less = brute_repeats(texts, window), brute_repeats(texts, shorter)
+    out = suffix_dedup.remove_repeats(docs, window=window, anchor=anchor, shorter=shorter).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out}
     assert got == want
+    assert {r.doc_id: r.n_shared for r in out} == {d: x[1] for d, x in less.items()}
 
 
-@pytest.mark.parametrize("hot,window,anchor,shard", [(200, 8, 3, 400_000), (2, 8, 3, 400_000), (200, 5, 5, 10)])
-def test_phrase_dedup(spark, docs, rows, monkeypatch, hot, window, anchor, shard):
+@pytest.mark.parametrize("hot,window,anchor,shard,stream", [(200, 8, 3, 400_000, 4_000_000), (1, 8, 3, 400_000, 50), (200, 5, 5, 10, 50)])
+def test_phrase_dedup(spark, docs, rows, monkeypatch, hot, window, anchor, shard, stream):
     monkeypatch.setattr(passages, "HOT", hot)
     monkeypatch.setattr(phrase_dedup, "SHARD_WORDS", shard)
-    want = phrase_dedup.brute_force({r[0]: (r[1] or "").encode() for r in rows}, window)
+    monkeypatch.setattr(phrase_dedup, "STREAM_WORDS", stream)
+    want = brute_phrases({r[0]: (r[1] or "").encode() for r in rows}, window)
     out = phrase_dedup.remove_phrases(docs, window=window, anchor=anchor)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept.encode()) for r in out.collect()} == want
 
 
+def test_what_goes_is_what_sorting_and_automata_say(spark, docs, monkeypatch):
+    """Without the solver that sorts, or without the automata, nothing is removed: neither copies nor hot groups have another way."""
+    monkeypatch.setattr(passages, "HOT", 2)
+    repeats = passages.Repeats(passages.keyed(docs, "doc_id", "text"), passages.Unit("words", 8, 3))
+    nothing = lambda rows: ((0, 0, 0, 0) for _ in rows if False)
+    assert repeats.runs(nothing).count() == 0
+    assert phrase_dedup.located(repeats, 8).count() > 10
+
+    def none_found(batches):
+        for _ in batches:
+            pass
+        yield passages.rows_batch([], ["_id", "_th", "s", "e"])
+
+    monkeypatch.setattr(phrase_dedup, "_locate", none_found)
+    assert phrase_dedup.located(repeats, 8).count() == 0
+
+
 def test_passages_in_pieces(spark, monkeypatch):
     """Texts longer than a piece, cut within repeated passages."""
     rng = random.Random(2)
