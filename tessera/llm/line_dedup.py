@@ -1,10 +1,12 @@
 """Line de-duplication across documents with a pair of Bloom filters.
 
-A first pass puts the hashes of line keys into two filters of one geometry: the first holds what was seen
-once, the second what was found in the first already. A second pass lets only lines that hit the second
-filter shuffle, as suspected repeats; their keys are compared exactly and the smallest doc_id keeps its
-lines. A hash that a task has put into its own second filter needs no further sending: its bits are there
-already, so a very common line leaves each task twice at most.
+The hashes of line keys go into two filters of one geometry: the first holds what was seen once, the second what
+was found in the first already. Then only lines that hit the second filter shuffle, as suspected repeats; their
+keys are compared exactly and the smallest doc_id keeps its lines.
+
+The filters are dealt in blocks, each made by one task from the distinct hashes that other tasks send it. While
+the second filter is small it is broadcast; a larger one stays dealt, and the 8-byte hashes of the lines are sent to
+its blocks, which return the suspects. A block that a very common line makes hot is sent out several times.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, id_key, others, quoted, stage, texts_of
+from tessera.llm.common import NO_ID, column, id_key, others, quoted, stage, texts_of
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: A filter is dealt in blocks of 2**BLOCK bits; a hash stays within one.
 BLOCK = 17
 PROBES = 4
+#: Hashes that a task holds before it sends the distinct ones on.
+HELD = 1 << 20
+#: Lines that one task looks up in a block, about.
+LOOKUPS = 2_000_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -42,98 +48,179 @@ def _bits(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pair:
-    """A once-seen and a twice-seen filter over the blocks that occur."""
-
-    def __init__(self, n_blocks: int):
-        self.n_blocks, self.blocks = n_blocks, {}
-
-    def add(self, hashes: np.ndarray, twice: np.ndarray) -> np.ndarray:
-        """Take distinct hashes; twice marks those known to repeat. Returns 0 (nothing new), 1 (new) or 2 (new to the second filter)."""
-        out = np.zeros(len(hashes), np.int8)
-        block, probes = _bits(hashes, self.n_blocks)
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else []:
-            once, again = self.blocks.setdefault(int(block[rows[0]]), (np.zeros(1 << BLOCK, bool), np.zeros(1 << BLOCK, bool)))
-            p = probes[rows]
-            seen, known = once[p].all(1), again[p].all(1)
-            repeat = seen | twice[rows]
-            out[rows] = np.where(known, 0, np.where(repeat, 2, 1))
-            once[p.ravel()] = True
-            again[p[repeat].ravel()] = True
-        return out
-
-
-def _hashes(texts: list[bytes | None], min_chars: int) -> np.ndarray:
-    out = []
-    for text in texts:
-        keys = {k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars)) is not None}
-        out.extend(map(xxhash.xxh3_64_intdigest, keys))
-    return np.array(out, np.uint64)
+    """One block of the once-seen and of the twice-seen filter."""
+
+    def __init__(self):
+        self.once, self.again = np.zeros(1 << BLOCK, bool), np.zeros(1 << BLOCK, bool)
+
+    def add(self, hashes: np.ndarray, twice: np.ndarray) -> None:
+        """Take hashes; twice marks those known to repeat. Distinct ones of a call are looked up before any is put in."""
+        order = np.argsort(hashes, kind="stable")
+        first = np.append(True, hashes[order][1:] != hashes[order][:-1]) if len(order) else np.zeros(0, bool)
+        at = np.flatnonzero(first)
+        if not len(at):
+            return
+        repeat = (np.diff(np.append(at, len(order))) > 1) | np.logical_or.reduceat(twice[order], at)
+        _, p = _bits(hashes[order][at], 1)
+        repeat |= self.once[p].all(1)
+        self.once[p.ravel()] = True
+        self.again[p[repeat].ravel()] = True
+
+
+def _keys(text: bytes | None, min_chars: int) -> set[bytes]:
+    return {k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars)) is not None}
+
+
+def _hash(keys: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, keys)), np.uint64)
 
 
 def _emit(n_blocks: int, min_chars: int):
+    """Distinct hashes of a task's lines, and whether more of its documents hold one."""
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+        block, _ = _bits(hashes, n_blocks)
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(hashes.view(np.int64)), pa.array(counts > 1)], ["block", "hash", "twice"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(n_blocks)
+        held, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            hashes, counts = np.unique(_hashes(texts_of(batch, "_text"), min_chars), return_counts=True)
-            state = pair.add(hashes, counts > 1)
-            keep = state > 0
-            block, _ = _bits(hashes[keep], n_blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(hashes[keep].view(np.int64)), pa.array(state[keep] == 2)], ["block", "hash", "twice"]
-            )
+            for text in texts_of(batch, "_text"):
+                held.append(_hash(list(_keys(text, min_chars))))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield sent(held)
+                    held, size = [np.zeros(0, np.uint64)], 0
+        yield sent(held)
 
     return run
 
 
-def _merge(n_blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(n_blocks)
-        for batch in batches:
-            hashes = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            twice = batch.column(2).to_numpy(zero_copy_only=False)
-            order = np.argsort(hashes, kind="stable")
-            first = np.ones(len(order), bool)
-            first[1:] = hashes[order][1:] != hashes[order][:-1]
-            at = np.flatnonzero(first)
-            if len(at):
-                counts = np.diff(np.append(at, len(order)))
-                pair.add(hashes[order][at], (counts > 1) | np.logical_or.reduceat(twice[order], at))
-        found = [(b, np.packbits(again).tobytes()) for b, (_, again) in pair.blocks.items() if again.any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "bits"]
-        )
+def _by_block(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of sorted batches with one block each."""
+    for batch in batches:
+        block = batch.column(at).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j:
+                yield int(block[i]), batch.slice(i, j - i)
 
-    return run
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The twice-seen filter of each block, of rows sorted by block."""
+    now, pair = None, Pair()
+
+    def made() -> pa.RecordBatch:
+        some = now is not None and pair.again.any()
+        bits = [np.packbits(pair.again).tobytes()] if some else []
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["block", "bits"])
+
+    for block, rows in _by_block(batches):
+        if block != now:
+            yield made()
+            now, pair = block, Pair()
+        pair.add(rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64), rows.column(2).to_numpy(zero_copy_only=False))
+    yield made()
+
+
+def _opened(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
 
 
 def _suspects(bits, n_blocks: int, min_chars: int):
-    """bits: a broadcast of the twice-seen blocks, or None to suspect every line."""
+    """Lines that hit the broadcast blocks of the twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = None if bits is None else {b: np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for b, x in bits.value.items()}
+        blocks = {b: _opened(x) for b, x in bits.value.items()}
         for batch in batches:
-            ids, keys = [], []
-            for i, text in zip(column(batch, "_id"), texts_of(batch, "_text"), strict=True):
-                own = {k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars)) is not None}
+            ids, ths, keys = [], [], []
+            for i, th, text in zip(column(batch, "_id"), column(batch, "_th"), texts_of(batch, "_text"), strict=True):
+                own = _keys(text, min_chars)
                 ids.extend([i] * len(own))
+                ths.extend([th] * len(own))
                 keys.extend(own)
-            if blocks is not None and keys:
-                hashes = np.array(list(map(xxhash.xxh3_64_intdigest, keys)), np.uint64)
-                block, probes = _bits(hashes, n_blocks)
-                hit = np.zeros(len(keys), bool)
-                for b in np.unique(block):
-                    if (again := blocks.get(int(b))) is not None:
-                        rows = np.flatnonzero(block == b)
-                        hit[rows] = again[probes[rows]].all(1)
-                at = np.flatnonzero(hit).tolist()
-                ids, keys = [ids[x] for x in at], [keys[x] for x in at]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["_id", "_key"])
+            block, probes = _bits(_hash(keys), n_blocks)
+            hit = np.zeros(len(keys), bool)
+            for b in np.unique(block):
+                if (again := blocks.get(int(b))) is not None:
+                    rows = np.flatnonzero(block == b)
+                    hit[rows] = again[probes[rows]].all(1)
+            at = np.flatnonzero(hit).tolist()
+            yield _suspect_batch([(ids[x], ths[x], keys[x]) for x in at])
 
     return run
 
 
+def _suspect_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["_id", "_th", "_key"])
+
+
+def _lookups(n_blocks: int, min_chars: int):
+    """The hash of each distinct line of a document, with its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_hash(list(_keys(t, min_chars))) for t in texts_of(batch, "_text")]
+            hashes, n = np.concatenate([np.zeros(0, np.uint64), *own]), [len(x) for x in own]
+            cols = [np.repeat(np.array(column(batch, c), np.int64), n) for c in ("_id", "_th")]
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(hashes, n_blocks)[0]), *map(pa.array, cols), pa.array(hashes.view(np.int64))], ["block", "_id", "_th", "hash"])
+
+    return run
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block and salt, the filter's row first: the lines that hit it."""
+    key, again = None, None
+    for block, rows in _by_block(batches):
+        salts, lines = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+        cuts = [0, *[i for i in range(1, len(salts)) if salts[i] != salts[i - 1]], len(salts)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if (block, salts[i]) != key:
+                key, again = (block, salts[i]), None
+            if not lines[i]:
+                again, i = _opened(rows.column(6)[i].as_py()), i + 1
+            if again is not None and i < j:
+                part = rows.slice(i, j - i)
+                _, probes = _bits(part.column(5).to_numpy(zero_copy_only=False).view(np.uint64), 1)
+                yield part.select(["_id", "_th", "hash"]).filter(pa.array(again[probes].all(1)))
+
+
+def _named(min_chars: int):
+    """The keys of the lines of a document that have one of the suspected hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, th, text, asked in zip(column(batch, "_id"), column(batch, "_th"), texts_of(batch, "_text"), column(batch, "_hashes"), strict=True):
+                asked, keys = set(asked), list(_keys(text, min_chars))
+                out.extend((i, th, k) for k, h in zip(keys, _hash(keys).view(np.int64).tolist(), strict=True) if h in asked)
+            yield _suspect_batch(out)
+
+    return run
+
+
+def suspected(base: DataFrame, n_bits: int, min_chars: int, max_filter_bits: int) -> DataFrame:
+    """_id, _th, _key of the lines that hit the twice-seen filter of n_bits; base has _id, _th and _text."""
+    n_blocks = max(1, n_bits >> BLOCK)
+    sent = base.select("_text").mapInArrow(_emit(n_blocks, min_chars), "block long, hash long, twice boolean")
+    blocks = sent.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block long, bits binary")
+    if n_bits <= max_filter_bits:
+        bits = base.sparkSession.sparkContext.broadcast({r.block: bytes(r.bits) for r in blocks.toLocalIterator()})
+        return base.mapInArrow(_suspects(bits, n_blocks, min_chars), "_id long, _th long, _key binary")
+    lines = base.mapInArrow(_lookups(n_blocks, min_chars), "block long, _id long, _th long, hash long")
+    load = stage(lines.groupBy("block").agg(F.ceil(F.count("*") / LOOKUPS).cast("int").alias("salts")), "loads")
+    none = F.lit(0).cast("long")
+    filters = blocks.join(load, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    filters = filters.select("block", "salt", F.lit(False).alias("line"), none.alias("_id"), none.alias("_th"), none.alias("hash"), "bits")
+    asked = lines.join(load, "block").withColumn("salt", F.pmod(F.xxhash64("_id", "_th"), "salts"))
+    asked = asked.select("block", "salt", F.lit(True).alias("line"), "_id", "_th", "hash", F.lit(None).cast("binary").alias("bits"))
+    rows = filters.unionByName(asked).repartition("block", "salt").sortWithinPartitions("block", "salt", "line")
+    hits = rows.mapInArrow(_probe, "_id long, _th long, hash long").groupBy("_id", "_th").agg(F.collect_set("hash").alias("_hashes"))
+    return base.join(stage(hits, "suspects"), ["_id", "_th"]).mapInArrow(_named(min_chars), "_id long, _th long, _key binary")
+
+
 def _drop_lines(min_chars: int, text_name: str, keep_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,30 +253,28 @@ def dedup_lines(
     Rows of one id are one document: they keep a common line together. A null id counts as the largest. A
     null text is one empty line and stays null. An empty table gives an empty result.
 
-    The twice-seen filter is broadcast; it has at most max_filter_bits (32 MB). Where bits_per_line bits for
-    every line would be more than that, no filter is used and all keys are aggregated, which is as exact.
+    Both filters are used at every size. A twice-seen filter of at most max_filter_bits (32 MB) is broadcast; for a
+    larger one the lines' hashes are sent to its blocks.
     """
-    spark = docs.sparkSession
     keep = [c for c in others(docs, "n_lines", "n_dropped") if c != text_col]
-    base = docs.select(id_key(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
-    n_lines = base.agg(F.sum(F.coalesce(F.regexp_count("_text", F.lit("\n")), F.lit(0)) + 1)).first()[0] or 0
+    text = F.col(quoted(text_col)).cast("string")
+    # Rows without an id are told apart by their text, so that no list holds the lines of all of them.
+    at = [id_key(quoted(id_col)).alias("_id"), F.when(id_key(quoted(id_col)) == F.lit(NO_ID), F.xxhash64(text)).otherwise(F.lit(0).cast("long")).alias("_th")]
+    base = docs.select(*at, text.alias("_text"))
+    breaks = F.octet_length("_text") - F.octet_length(F.replace(F.col("_text"), F.lit("\n"), F.lit("")))
+    n_lines = base.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
     n_bits = 1 << max(BLOCK, int(n_lines * bits_per_line).bit_length())
-    bits, n_blocks = None, max(1, min(n_bits, max_filter_bits) >> BLOCK)
-    if n_bits <= max_filter_bits:
-        sent = base.select("_text").mapInArrow(_emit(n_blocks, min_chars), "block long, hash long, twice boolean")
-        blocks = sent.repartition("block").mapInArrow(_merge(n_blocks), "block long, bits binary")
-        bits = spark.sparkContext.broadcast({r.block: bytes(r.bits) for r in blocks.toLocalIterator()})
-    suspects = stage(base.mapInArrow(_suspects(bits, n_blocks, min_chars), "_id long, _key binary"), "lines")
+    suspects = stage(suspected(base, n_bits, min_chars, max_filter_bits), "lines")
     ends = suspects.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
     # Staged, as a join of two plain exchanges is one that Spark can split where a key is hot.
     repeats = stage(ends.where("_first < _last").drop("_last"), "repeats")
-    drop = suspects.join(repeats, "_key").where("_id > _first").groupBy("_id").agg(F.collect_list("_key").alias("_drop"))
+    drop = suspects.join(repeats, "_key").where("_id > _first").groupBy("_id", "_th").agg(F.collect_set("_key").alias("_drop"))
     rows = docs.select(
         *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(keep)],
-        F.col(quoted(text_col)).cast("string").alias("_text"),
-        id_key(quoted(id_col)).alias("_id"),
+        text.alias("_text"),
+        *at,
     )
-    whole = rows.join(drop, "_id", "left").drop("_id")
+    whole = rows.join(drop, ["_id", "_th"], "left").drop("_id", "_th")
     fields = ", ".join([f"_c{i} {rows.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["_text string, n_lines long, n_dropped long"])
     out = whole.mapInArrow(_drop_lines(min_chars, "_text", [f"_c{i}" for i in range(len(keep))]), fields)
     back = {c: F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)} | {text_col: F.col("_text").alias(text_col)}

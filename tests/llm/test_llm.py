@@ -314,6 +314,15 @@ def test_token_histogram(spark, docs, rows, monkeypatch):
     assert q[0.5] == sorted(lengths)[-(-len(lengths) // 2) - 1] and q[1.0] == max(lengths)
 
 
+def test_texts_are_encoded_once(spark, docs, monkeypatch):
+    """Encoding is in one job, and a long run without a break is encoded in a time that doesn't get out of hand."""
+    plan = token_counts.token_histogram(docs)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+    long = spark.createDataFrame([("x" * 200_000,), ("word " * 100_000,)], "text string")
+    encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
+    assert sorted(r.n_tokens for r in token_counts.token_lengths(long).collect()) == sorted([len(encode("x" * 200_000)), len(encode("word " * 100_000))])
+
+
 def test_token_histogram_empty(spark, empty):
     assert token_counts.token_histogram(empty).count() == 0
     assert token_counts.token_lengths(odd(spark).withColumn("n_tokens", F.lit(1)), keep=("doc_id", "n_tokens")).columns == ["doc_id", "n_tokens"]
@@ -537,7 +546,7 @@ def test_line_dedup(spark, docs, rows, bits):
 
 
 def test_line_filters_lose_nothing_when_full():
-    pair = line_dedup.Pair(1)
+    pair = line_dedup.Pair()
     rng = np.random.default_rng(0)
     seen = Counter()
     for _ in range(50):
@@ -546,7 +555,25 @@ def test_line_filters_lose_nothing_when_full():
         seen.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
     again = np.array([h for h, c in seen.items() if c > 1], np.uint64)
     _, probes = line_dedup._bits(again, 1)
-    assert pair.blocks[0][1][probes].all()
+    assert pair.again[probes].all()
+
+
+@pytest.mark.parametrize("most,lookups", [(1 << 28, 2_000_000), (0, 2_000_000), (0, 7)])
+def test_only_suspected_lines_shuffle(spark, monkeypatch, most, lookups):
+    """Broadcast or dealt, with hot blocks or not, the filter leaves the lines of one document only behind, all but a few."""
+    monkeypatch.setattr(line_dedup, "LOOKUPS", lookups)
+    rows = [(i, 0, f"a common line\nline number {i} of its kind\nshared by two {i // 2}") for i in range(3000)]
+    base = spark.createDataFrame(rows, "_id long, _th long, _text string").repartition(3)
+    found = {(r._id, bytes(r._key)) for r in line_dedup.suspected(base, 1 << 18, 10, most).collect()}
+    due = {(i, k.encode()) for i, _, t in rows for k in t.split("\n") if not k.startswith("line")}
+    assert due <= found and len(found) - len(due) < 100
+
+
+def test_lines_of_rows_without_id_arent_one_list(spark):
+    """Rows without an id are told apart by their text when lines are collected; they keep what only they hold."""
+    rows = [(1, "a common line")] + [(None, f"a common line\nheld by all without id\nown line {i}") for i in range(40)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.text for r in out if r.doc_id is None} == {f"held by all without id\nown line {i}" for i in range(40)}
 
 
 def test_line_dedup_odd(spark, empty):
@@ -619,6 +646,25 @@ def test_assigned_secret_over_more_lines(spark):
 # --- staging ---
 
 
+def test_staging_without_a_folder_of_the_cluster():
+    """A local session has a default; a cluster has to name its folder."""
+
+    class Context:
+        master = "local[2]"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    assert common.shared_dir(Session()) == "file://" + common.LOCAL_DIR
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        Context.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert common.shared_dir(Session()) == "hdfs://shared"
+
+
 def test_staged_tables_are_read_back_and_cleared(spark):
     df = common.stage(spark.range(5), "numbers")
     path = common._staged[-1]
