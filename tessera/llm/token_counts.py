@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, quoted
+from tessera.llm.common import column, quoted, stage
 
 #: Where the public vocabularies are by default; a parameter of every function that encodes.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -61,9 +61,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     docs_before (shorter ones), truncated_total (tokens left if every text is cut to n_tokens: the shorter
     ones whole, the others n_tokens each) and total (all tokens). An empty input gives no rows.
 
-    The sums over lengths are made by block of lengths, then within each block, so no task holds all of them.
+    The sums over lengths are made by block of lengths, then within each block, so no task holds all of them. The
+    counts by length are staged, so the lengths are made once.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    hist = stage(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     hist = hist.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
