@@ -11,12 +11,14 @@ then within each block, so that no source is ever in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_words, quoted
+from tessera.llm.common import chunks, joined, quoted, stage, texts_of, word_spans
 
 #: Documents of one block of the order, about.
 BLOCK_ROWS = 50_000
@@ -52,6 +54,27 @@ def _offset(seed: int, source: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(source, F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
+def _sized(keep_text: bool):
+    """Adds size, the number of words of _text; _text goes unless it is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = texts_of(batch, "_text"), []
+            for i, j in chunks(texts):
+                buf, offsets = joined(texts[i:j])
+                counts.append(np.diff(np.searchsorted(word_spans(buf)[0], offsets)))
+            names = [n for n in batch.schema.names if keep_text or n != "_text"]
+            size = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), size], [*names, "size"])
+
+    return run
+
+
+def _with_size(rows: DataFrame, keep_text: bool) -> DataFrame:
+    names = [c for c in rows.columns if keep_text or c != "_text"]
+    return rows.mapInArrow(_sized(keep_text), ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), "size long"]))
+
+
 def copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -70,23 +93,34 @@ def copies(
     drawn like others of their source. The same rows and seed give the same copies in any layout; among rows
     equal in id, text and source it is not said which gets a copy more, as they are the same.
     """
-    base = docs.select(
+    own = [
         F.col(quoted(id_col)).cast("long").alias("doc_id"),
         F.col(quoted(source_col)).cast("string").alias("_source"),
-        n_words(F.col(quoted(text_col))).alias("size"),
         F.xxhash64(F.lit(seed), F.col(quoted(id_col)), F.col(quoted(text_col))).alias("_mix"),
-        *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)],
-    )
-    sizes = base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+        F.col(quoted(text_col)).cast("string").alias("_text"),
+    ]
+    # Staged without the texts: sums and places are made of this, and the texts are counted once.
+    narrow = base = stage(_with_size(docs.select(*own), False), "sizes")
+    if carry:
+        base = _with_size(docs.select(*own, *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry) if c != text_col]), text_col in carry)
+        if text_col in carry:
+            base = base.withColumn(f"_c{list(carry).index(text_col)}", F.col("_text").cast(docs.schema[text_col].dataType)).drop("_text")
+    sizes = narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = source_targets(sizes, weights, share, most)
     sources = sources.select(F.col("_source").alias("_src"), "source_size", "target", "n_docs", _offset(seed, F.col("_source")).alias("_offset"))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     # Eight classes an octave; the buckets within a class follow the source's number of documents.
     size_class = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
     bucket = F.pmod(F.shiftright("_mix", 20), F.ceil(F.col("n_docs") / BLOCK_ROWS)).cast("int")
-    ranked = base.join(sources, F.col("_source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_e", expected)
-    ranked = ranked.withColumn("_class", size_class).withColumn("_bucket", bucket)
-    blocks = ranked.groupBy("_source", "_class", "_bucket").agg(F.sum("_e").alias("_sum"), F.count("*").alias("_n"))
+    # One row for each source, read twice.
+    sources = stage(sources, "sources")
+
+    def ranked_of(rows: DataFrame) -> DataFrame:
+        out = rows.join(sources, F.col("_source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_e", expected)
+        return out.withColumn("_class", size_class).withColumn("_bucket", bucket)
+
+    ranked = ranked_of(base)
+    blocks = ranked_of(narrow).groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("_n"))
     along = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         F.col("_source").alias("_bs"), F.col("_class").alias("_bc"), F.col("_bucket").alias("_bb"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before")
