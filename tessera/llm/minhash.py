@@ -10,8 +10,11 @@ bucket then still holds members of different components, all pairs across compon
 leave a chance of a link.
 
 Buckets with many members of different components would make pairs by the square of their size. Documents that
-meet in such buckets form families; parts of a family are compared exactly as matrices of shingles, two parts in
-a task, and a task emits no more links than join its components.
+meet in such buckets form families, and a family is dealt anew by shingles that are rare in it: of a set of n
+shingles, ordered from the rarest, one of the first n - ceil(n * threshold) + 1 is among those of any set that similar.
+Texts that have a template in common, and each its own rest, have no rare shingle in common and meet nowhere.
+Where many members of different components share even a rare one, parts of them are compared exactly as matrices
+of shingles, two parts in a task, and a task emits no more links than join its components.
 """
 
 from __future__ import annotations
@@ -253,6 +256,15 @@ def _set_bytes(size: int):
     return run
 
 
+def _set_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set, with the set's size."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        n = [len(x) for x in sets]
+        rows = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["family", "v", "n", "key"])
+
+
 def _pair_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
 
@@ -264,6 +276,62 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return stage(two.mapInArrow(_confirm(size, percent), "a long, b long"), "links")
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """Of family, v, _set: key, v for the shingles of the set that a similar set of its family must share one of."""
+    tokens = stage(sets.select("family", "v", "_set").mapInArrow(_set_tokens, "family long, v long, n long, key long"), "family_tokens")
+    often = stage(tokens.groupBy("family", "key").agg(F.count("*").alias("df")).where("df > 1"), "family_counts")
+    # Shingles of one set only come first in the order and meet nothing.
+    own = tokens.join(often, ["family", "key"]).groupBy("family", "v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("_own"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - (F.col("n") - F.size("_own"))
+    kept = own.select("v", "family", F.explode(F.slice("_own", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("_t"))
+    return kept.select(F.xxhash64("family", "_t.key").alias("key"), "v")
+
+
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    return members.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Of key, v, label: the buckets with members of different components, their size and a member."""
+    spread = members.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m"), F.min("v").alias("hub"))
+    return spread.where("l1 < l2").select("key", "m", "hub")
+
+
+def _families_of(members: DataFrame, spread: DataFrame) -> DataFrame:
+    """v, family of the members of crowded open buckets."""
+    crowds = members.join(spread.where(F.col("m") > CROWD), "key")
+    return stage(components(crowds.select(F.col("v").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family"), "families")
+
+
+def _within_families(family: DataFrame, label: DataFrame, links: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of families that are in different components."""
+    own_sets = texts.join(family.select(F.col("v").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(_set_bytes(size), "v long, _set binary")
+    own_sets = stage(own_sets, "family_sets")
+    members = stage(rare_shingles(own_sets.join(family, "v"), percent), "rare")
+    named = stage(_labelled(members, label), "named")
+    spread = stage(_open(named), "open")
+    small = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(vertices.select("v", "_sig"), "v")
+    small = small.select("key", "v", "label", F.lit(-1).cast("long").alias("family"), "_sig")
+    across = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
+    more = _links(stage(across, "pairs"), texts, size, percent)
+    if spread.where(F.col("m") > CROWD).isEmpty():
+        return more
+    if not more.isEmpty():
+        label = stage(components(links.unionByName(more)).withColumnRenamed("component", "label"), "labels")
+        named = stage(_labelled(members, label), "named")
+        spread = stage(_open(named), "open")
+    dense = _families_of(named, spread)
+    if dense.isEmpty():
+        return more
+    sizes = stage(dense.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
+    dealt = _labelled(dense.join(sizes, "family"), label)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "v", "label")
+    rows = stage(dealt, "dealt").join(own_sets, "v").select("family", "p1", "p2", "own", "v", "label", "_set")
+    whole = rows.repartition("family", "p1", "p2").sortWithinPartitions("family", "p1", "p2").mapInArrow(_families(percent), "a long, b long")
+    return more.unionByName(stage(whole, "links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, seed: int = 1) -> DataFrame:
     """The near-duplicate group of every row: _id, _n (set size) and _component, and kept.
 
@@ -297,24 +365,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = of.groupBy("_id").agg(F.min("v").alias("a"))
     links = links.unionByName(of.join(first, "_id").where("v <> a").select("a", F.col("v").alias("b")))
     label = stage(components(links).withColumnRenamed("component", "label"), "labels")
-    named = stage(members.drop("c").join(label, "v", "left").withColumn("label", F.coalesce("label", "v")), "named")
-    spread = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m"), F.min("v").alias("hub"))
-    spread = stage(spread.where("l1 < l2").select("key", "m", "hub"), "open")
-    crowds = named.join(spread.where(F.col("m") > CROWD), "key")
-    family = stage(components(crowds.select(F.col("v").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family"), "families")
+    named = stage(_labelled(members.drop("c"), label), "named")
+    spread = stage(_open(named), "open")
+    family = _families_of(named, spread)
     small = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(family, "v", "left").join(vertices.select("v", "_sig"), "v")
     small = small.select("key", "v", "label", F.coalesce("family", F.lit(-1)).alias("family"), "_sig")
     across = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
     more = _links(stage(across, "pairs"), texts, size, percent)
     if not family.isEmpty():
-        sizes = stage(family.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
-        dealt = family.join(sizes, "family").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("family", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "v", "label")
-        own_sets = texts.join(family.select(F.col("v").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(_set_bytes(size), "v long, _set binary")
-        rows = dealt.join(stage(own_sets, "family_sets"), "v").select("family", "p1", "p2", "own", "v", "label", "_set")
-        whole = rows.repartition("family", "p1", "p2").sortWithinPartitions("family", "p1", "p2").mapInArrow(_families(percent), "a long, b long")
-        more = more.unionByName(stage(whole, "links"))
+        more = more.unionByName(_within_families(family, label, links, vertices, texts, size, percent))
     if not more.isEmpty():
         label = stage(components(links.unionByName(more)).withColumnRenamed("component", "label"), "labels")
     group = of.join(label, "v", "left").groupBy("_id").agg(F.min(F.coalesce("label", "v")).alias("_component"))

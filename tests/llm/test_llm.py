@@ -110,6 +110,29 @@ def test_near_duplicates_of_a_family_without_a_centre(spark, monkeypatch, crowd,
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_a_template_family_grows_in_proportion(spark, monkeypatch):
+    """Texts with a template in common and each its own rest: twice as many give twice the rows, and none is compared with all."""
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    monkeypatch.setattr(minhash, "PART", 3)
+    template = [f"t{i}" for i in range(160)]
+    counts = []
+    for n in (40, 80):
+        made = Counter()
+
+        def counted(df, label, made=made):
+            out = common.stage(df, label)
+            made[label] += out.count()
+            return out
+
+        monkeypatch.setattr(minhash, "stage", counted)
+        rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(60)]), "en", "a", 0) for i in range(n)] + [(1000, " ".join(template + [f"own7x{k}" for k in range(58)]), "en", "a", 0)]
+        got = {r._id: r._component for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=85).collect()}
+        assert got == {i: 7 if i == 1000 else i for i in got} and len(got) == n + 1
+        counts.append(made)
+    assert counts[0]["families"] > 30 and 1.8 < counts[1]["family_tokens"] / counts[0]["family_tokens"] < 2.2
+    assert not counts[1]["dealt"] and counts[1]["rare"] <= 2 * counts[0]["rare"] and counts[1]["pairs"] < 4 * 80
+
+
 def test_near_duplicates_odd(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
     out = minhash.near_duplicates(odd(spark)).collect()
