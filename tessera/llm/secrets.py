@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
 The field tags every token (run without ASCII white space) as outside, begin or inside of a secret from its shape,
-its neighbours and features of the file, decoded by Viterbi. It is trained here, on token sequences drawn from a
-generator with a fixed seed. Emission scores are linear in the features and made for all tokens of a batch at once.
+the words before it and features of the file, decoded by Viterbi. It is trained here, on token sequences drawn from
+a generator with a fixed seed. A part of the field is fixed: tokens under 8 bytes and those without a digit or a
+capital after a small letter are outside. So shapes and neighbours are looked at for the few others only, and
+emission scores, linear in the features, are made for all of these in a batch at once.
 
 Decoding skips what can't matter: replacing a token's label by "outside" changes two transitions, so where
 "outside" leads the other labels by more than twice the spread of the transition scores, the best path is outside.
@@ -26,7 +28,8 @@ from tessera.llm.common import CHUNK, chunks, joined, others, quoted, texts_of,
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-CUE = re.compile(rb"passw|secret|token|api_?key|credential|private|auth|bearer|access|key", re.IGNORECASE)
+CUES = (b"passw", b"secret", b"token", b"credential", b"private", b"auth", b"bearer", b"access", b"key")
+LEAST = 8
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -42,9 +45,9 @@ def hex_runs(buf: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     return starts[ok], ends[ok]
 
 
-def base_spans(text: bytes) -> list[tuple[str, int, int]]:
-    """The fixed patterns' matches in a UTF-8 text, in bytes: leftmost, non-overlapping within a kind."""
-    low, out = text.lower(), []
+def base_spans(text: bytes, low: bytes) -> list[tuple[str, int, int]]:
+    """The fixed patterns' matches in a UTF-8 text, given in lower case too, in bytes: leftmost, non-overlapping within a kind. hex_runs finds the others."""
+    out = []
     if any(w in low for w in (b"passw", b"secret", b"token", b"api")):
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if b"AKIA" in text:
@@ -61,13 +64,13 @@ for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
 _CLASS[list(b"+/_-=.")] = 4
 _CLASS[128:] = 6
 FEATURES = (
-    "bias len8 len12 len16 len20 len32 len64 digits10 digits30 upper20 mixed letters_only lower_only upper_only digits_only "
-    "marks_enc marks_odd accents changes25 changes45 hexish cue_before cue_two_before cue_own assign_before assign_own quoted distinct60 file_cues file_code"
+    "bias len12 len16 len20 len32 len64 digits10 digits30 upper20 mixed lower_digits upper_digits digits_only marks_enc marks_odd accents "
+    "changes25 changes45 hexish varied steady assign_own quoted link path date cue_before cue_two_before cue_own assign_before file_cues file_code"
 ).split()
 
 
-def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_cues: np.ndarray, file_code: np.ndarray, cues: np.ndarray) -> np.ndarray:
-    """Rows of 0 and 1 for the tokens of a buffer. cues marks tokens with a cue word; the file flags are by token."""
+def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Flags of the tokens of a buffer from their own bytes."""
     kind = _CLASS[buf]
     n = (ends - starts).astype(np.float32)
 
@@ -82,41 +85,61 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_cues: n
     changes = per(change)
     hexes = per(_HEX[buf])
     first, last = buf[starts], buf[ends - 1]
-    sign = (buf == 58) | (buf == 61)
-    signs = per(sign)
-    core = lower + upper + digit + enc
-
-    def before(x: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros(len(x), bool)
-        out[k:] = x[:-k] if k < len(x) else []
-        return out
-
-    # Distinct neighbouring byte pairs are costly; how often the byte differs from the one two before is close.
-    alt = np.zeros(len(buf), bool)
+    signs = per((buf == 58) | (buf == 61))
+    slashes, ats, dashes = per(buf == 47), per(buf == 64), per(buf == 45)
+    # How many different bytes there are is costly; how often the byte differs from the one two before is close.
+    alt, same = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
     alt[2:] = buf[2:] != buf[:-2]
-    cols = [
-        np.ones(len(n), bool), n >= 8, n >= 12, n >= 16, n >= 20, n >= 32, n >= 64, digit > 0.1 * n, digit > 0.3 * n, upper > 0.2 * n,
-        (lower > 0) & (upper > 1) & (digit > 0), digit + enc + odd + high == 0, lower + enc + odd >= n, upper + enc + odd >= n, digit + enc + odd >= n,
+    same[1:] = buf[1:] == buf[:-1]
+    return [
+        np.ones(len(n), bool), n >= 12, n >= 16, n >= 20, n >= 32, n >= 64, digit > 0.1 * n, digit > 0.3 * n, upper > 0.2 * n,
+        (lower > 0) & (upper > 1) & (digit > 0), lower + digit >= n, upper + digit >= n, digit + enc + odd >= n,
         enc > 0.05 * n, odd > 0.2 * n, high > 0, changes > 0.25 * n, changes > 0.45 * n, (hexes >= 0.9 * n) & (digit > 0.15 * n),
-        before(cues, 1), before(cues, 2), cues, before((signs > 0) & (n <= 2) | np.isin(last, (58, 61)), 1), (signs > 0) & (n > 4),
-        ((first == 34) | (first == 39)) & (n > 2), per(alt) > 0.85 * n, file_cues, file_code,
+        per(alt) > 0.85 * n, per(same) > 0.3 * n, (signs > 0) & (n > 4), ((first == 34) | (first == 39)) & (n > 2),
+        (ats > 0) | (slashes > 1) & (signs > 0), slashes > 1, (digit > 0.6 * n) & (dashes > 0),
     ]
-    return np.stack(cols, 1).astype(np.float32)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, document and features of all tokens of joined texts."""
+def tokens(buf: np.ndarray, low: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of joined texts (low: in lower case), the tokens that can be secrets: number, start, end, document and features of each; and the number of the first token of each document, with that of all at the end."""
     starts, ends = word_spans(buf)
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    cues = np.zeros(len(starts), bool)
-    found = np.array([m.start() for m in CUE.finditer(buf.tobytes())], np.int64)
-    if len(found):
-        cues[np.searchsorted(starts, found, "right") - 1] = True
-    n_docs = len(offsets) - 1
-    size = np.maximum(np.bincount(doc, minlength=n_docs), 1)
-    file_cues = np.bincount(doc[cues], minlength=n_docs) > 0
-    marks = np.bincount(doc, np.isin(buf[ends - 1], list(b";{}()=")), n_docs) > 0.05 * size
-    return starts, ends, doc, features(buf, starts, ends, file_cues[doc], marks[doc], cues)
+    edges = np.searchsorted(starts, offsets)
+    doc_ends = edges[1:]
+    long = np.flatnonzero(ends - starts >= LEAST)
+    # A digit, or a capital after a small letter.
+    kind = _CLASS[buf]
+    mark = kind == 3
+    mark[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+    at = np.append(np.flatnonzero(mark), len(buf))
+    own = long[at[np.searchsorted(at, starts[long])] < ends[long]]
+    s, e = starts[own], ends[own]
+    doc = np.searchsorted(doc_ends, own, "right")
+    begin = np.append(0, doc_ends[:-1])[doc]
+    size = np.diff(np.append(0, doc_ends))
+    code = np.zeros(len(offsets) - 1, bool)
+    cue = np.zeros((3, len(own)), bool)
+    sign = np.zeros(len(own), bool)
+    cued = np.zeros(len(offsets) - 1, bool)
+    for d in np.unique(doc).tolist():
+        cued[d] = any(w in low[offsets[d] : offsets[d + 1]] for w in CUES)
+        last = buf[ends[doc_ends[d] - size[d] : doc_ends[d]] - 1]
+        code[d] = np.isin(last, list(b";{}()=")).sum() > 0.05 * size[d]
+    for i in np.flatnonzero(cued[doc]).tolist():
+        for back in range(min(3, int(own[i] - begin[i]) + 1)):
+            a, b = starts[own[i] - back], ends[own[i] - back]
+            cue[back, i] = any(w in low[a:b] for w in CUES)
+    before = np.flatnonzero(own > begin)
+    a, b = starts[own[before] - 1], ends[own[before] - 1]
+    final = buf[b - 1]
+    sign[before] = (final == 58) | (final == 61)
+    # The shapes are made on a buffer of these tokens alone.
+    width = e - s
+    place = np.cumsum(width + 1) - width - 1
+    small = np.full(int((width + 1).sum()), 32, np.uint8)
+    inside = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+    small[np.repeat(place, width) + inside] = buf[np.repeat(s, width) + inside]
+    cols = [*shapes(small, place, place + width), cue[1], cue[2], cue[0], sign, cued[doc], code[doc]] if len(own) else [np.zeros(0, bool)] * len(FEATURES)
+    return own, s, e, doc, np.stack(cols, 1).astype(np.float32), edges
 
 
 # --- training ---------------------------------------------------------------------------------------------------
@@ -129,46 +152,57 @@ def _draw(rng: np.random.Generator, alphabet: str, n: int) -> str:
 def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
     """A drawn token sequence with its labels."""
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda a, b: _draw(rng, low + "aeiourstn" * 3, int(rng.integers(a, b)))
+    digits = lambda k: _draw(rng, num, k)
+    # Tokens with digits or capitals that aren't secrets.
+    harmless = [
+        lambda: digits(int(rng.integers(8, 13))),
+        lambda: f"https://{word(4, 10)}.org/{word(3, 8)}/{_draw(rng, low + num, int(rng.integers(3, 9)))}",
+        lambda: f"{word(3, 9)}{digits(2)}@{word(4, 9)}.com",
+        lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}",
+        lambda: f"+{digits(3)}-{digits(3)}-{digits(4)}",
+        lambda: f"{word(4, 9)}{word(4, 9).capitalize()}{word(2, 7).capitalize()}",
+        lambda: f"{word(3, 8)}_{word(3, 8)}_{digits(2)}",
+        lambda: f"/{word(2, 6)}/{word(3, 9)}/{word(3, 9)}{digits(1)}.{word(2, 4)}",
+        lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}-{word(3, 6)}",
+        lambda: f"{rng.integers(10, 255)}.{rng.integers(10, 255)}.{rng.integers(10, 255)}.{rng.integers(10, 255)}",
+        lambda: f"{word(5, 12)}{digits(int(rng.integers(1, 5)))}",
+        lambda: str(rng.choice(list(up + num))) * int(rng.integers(8, 60)),
+        lambda: (word(1, 3) + digits(1)) * int(rng.integers(5, 20)),
+        lambda: f"{word(4, 9)}({word(3, 7)}{digits(1)},{word(3, 7)})",
+        lambda: f"{word(5, 9)}=\"{word(4, 8)}{digits(1)}\"",
+        lambda: word(2, 6).upper() + "-" + digits(int(rng.integers(4, 9))),
+        lambda: word(8, 16).capitalize() + word(3, 8).capitalize() + "!!",
+        lambda: f"{word(6, 14)}{rng.choice(['###', '***', '%%%', '$$$', '&&&'])}{digits(1)}",
+    ]
+    secrets = [
+        lambda: _draw(rng, "0123456789abcdef", int(rng.integers(20, 65))),
+        lambda: "AKIA" + _draw(rng, up + num, 16),
+        lambda: "ghp_" + _draw(rng, low + up + num, 36),
+        lambda: "sk-" + _draw(rng, low + up + num, int(rng.integers(24, 49))),
+        lambda: _draw(rng, low + up + num + "+/", int(rng.integers(24, 60))) + "=",
+        lambda: ".".join(_draw(rng, low + up + num + "_-", int(rng.integers(16, 40))) for _ in range(3)),
+        lambda: _draw(rng, low + up + num, int(rng.integers(20, 49))),
+    ]
     out: list[str] = []
     tags: list[int] = []
-    style = rng.integers(0, 8)
+    accents = rng.random() < 0.15
     for _ in range(rng.integers(8, 30)):
-        w = _draw(rng, low + "aeiourstn" * 3, int(rng.integers(1, 14 if rng.random() < 0.9 else 26)))
         r = rng.random()
-        if style == 0:
-            w = w.upper() + "!!"
-        elif style == 1:
-            w += str(rng.choice(["###", "***", "%%%", "$$$", "&&&"]))
-        elif r < 0.03:
-            w = _draw(rng, num, int(rng.integers(1, 11)))
-        elif r < 0.05:
-            w = f"https://{w}.org/{_draw(rng, low, 6)}/{_draw(rng, low + num, int(rng.integers(3, 9)))}"
-        elif r < 0.07:
-            w = f"{w}@{_draw(rng, low, 5)}.com"
-        elif r < 0.09:
-            w = f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}"
-        elif r < 0.11:
-            w = "+" + _draw(rng, num, 3) + "-" + _draw(rng, num, 3) + "-" + _draw(rng, num, 4)
-        elif r < 0.14:
-            w = w.replace("e", "é").replace("a", "ä").replace("n", "ñ")
-        elif r < 0.17:
+        if r < 0.3:
+            w = harmless[rng.integers(0, len(harmless))]()
+        elif r < 0.34:
             w = str(rng.choice(["password", "secret", "key", "token", "private", "access", "auth"]))
-        elif r < 0.25:
-            w = w.capitalize()
-        elif r < 0.32:
-            w += str(rng.choice([",", ".", ";", ":"]))
+        else:
+            w = word(1, 14)
+        if accents:
+            w = w.replace("e", "é").replace("a", "ä").replace("n", "ñ")
+        if rng.random() < 0.15:
+            w += str(rng.choice([",", ".", ";", ":", "!!"]))
         out.append(w)
         tags.append(OUT)
-        if rng.random() < 0.05:
-            kind = rng.integers(0, 6)
-            secret = [
-                lambda: _draw(rng, "0123456789abcdef", int(rng.integers(20, 65))),
-                lambda: "AKIA" + _draw(rng, up + num, 16),
-                lambda: "ghp_" + _draw(rng, low + up + num, 36),
-                lambda: "sk-" + _draw(rng, low + up + num, int(rng.integers(24, 49))),
-                lambda: _draw(rng, low + up + num + "+/", int(rng.integers(24, 60))) + "=",
-                lambda: ".".join(_draw(rng, low + up + num + "_-", int(rng.integers(16, 40))) for _ in range(3)),
-            ][kind]()
+        if rng.random() < 0.07:
+            secret = secrets[rng.integers(0, len(secrets))]()
             lead = rng.integers(0, 5)
             if lead == 0:
                 out += [str(rng.choice(["token", "secret", "apikey", "password", "key"])), "="]
@@ -181,39 +215,46 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
                 tags.append(OUT)
             out.append(secret)
             tags.append(BEGIN)
-            if rng.random() < 0.1:
+            if rng.random() < 0.15:
                 for _ in range(rng.integers(1, 4)):
                     out.append(_draw(rng, low + up + num + "+/", 64))
                     tags.append(INSIDE)
     return out, tags
 
 
-def _sequences(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _sequences(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of drawn sequences: the features of the tokens that can be secrets, their numbers, and the labels of all tokens."""
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(n):
         words, tags = example(rng)
         buf, offsets = joined([" ".join(words).encode()])
-        out.append((tokens(buf, offsets)[3], np.array(tags)))
+        own, _, _, _, x, _ = tokens(buf, buf.tobytes().lower(), offsets)
+        labels = np.zeros(len(tags), np.int64)
+        labels[own] = np.array(tags)[own]
+        out.append((x, own, labels))
     return out
 
 
 @cache
-def trained(n: int = 400, seed: int = 7, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def trained(n: int = 800, seed: int = 7, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (features, 3) and transition scores (3, 3), by gradient ascent on the penalised likelihood of n drawn sequences."""
     data = _sequences(n, seed)
-    longest = max(len(y) for _, y in data)
+    longest = max(len(y) for _, _, y in data)
     x = np.zeros((n, longest, len(FEATURES)))
     y = np.zeros((n, longest), np.int64)
     mask = np.zeros((n, longest))
-    for i, (f, t) in enumerate(data):
-        x[i, : len(t)], y[i, : len(t)], mask[i, : len(t)] = f, t, 1
+    fixed = np.zeros((n, longest, 3))
+    fixed[..., 1:] = -1e6
+    for i, (f, own, labels) in enumerate(data):
+        x[i, own], y[i, : len(labels)], mask[i, : len(labels)] = f, labels, 1
+        fixed[i, own] = 0
     one = np.eye(3)[y] * mask[..., None]
     pair = (one[:, :-1, :, None] * one[:, 1:, None, :]).sum((0, 1))
     w, t = np.zeros((len(FEATURES), 3)), np.zeros((3, 3))
     mean, square = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
     for step in range(1, rounds + 1):
-        e = x @ w
+        e = x @ w + fixed
         a, b = np.zeros_like(e), np.zeros_like(e)
         a[:, 0] = e[:, 0]
         for k in range(1, longest):
@@ -249,17 +290,16 @@ def viterbi(e: np.ndarray, t: np.ndarray, left: bool, right: bool) -> list[int]:
     return path[::-1]
 
 
-def tagged(e: np.ndarray, t: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Labels of all tokens, documents apart."""
+def tagged(e: np.ndarray, t: np.ndarray, own: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Labels of tokens with these numbers, of documents whose tokens are those from begin to end; all others are outside."""
     out = np.zeros(len(e), np.int8)
     unsure = np.flatnonzero(e[:, OUT] - e[:, 1:].max(1) <= 2 * (t.max() - t.min()))
     if not len(unsure):
         return out
-    cuts = np.flatnonzero((np.diff(unsure) > 1) | (np.diff(doc[unsure]) != 0)) + 1
+    cuts = np.flatnonzero((np.diff(own[unsure]) > 1) | (np.diff(begin[unsure]) != 0)) + 1
     for part in np.split(unsure, cuts):
         a, b = int(part[0]), int(part[-1])
-        left, right = a > 0 and doc[a - 1] == doc[a], b + 1 < len(doc) and doc[b + 1] == doc[b]
-        out[a : b + 1] = viterbi(e[a : b + 1], t, left, right)
+        out[part] = viterbi(e[part], t, bool(own[a] > begin[a]), bool(own[b] + 1 < end[b]))
     return out
 
 
@@ -278,20 +318,20 @@ def trimmed(buf: np.ndarray, s: int, e: int) -> tuple[int, int]:
 def scan(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """For each text the base spans and all spans, in code points, each sorted by start, then kind."""
     buf, offsets = joined(texts)
-    starts, ends, doc, x = tokens(buf, offsets)
-    labels = tagged(x.astype(np.float64) @ model[0], model[1], doc) if len(starts) else np.zeros(0, np.int8)
-    points = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+    low = buf.tobytes().lower()
+    own, starts, ends, doc, x, edges = tokens(buf, low, offsets)
+    labels = tagged(x.astype(np.float64) @ model[0], model[1], own, edges[doc], edges[doc + 1]) if len(own) else np.zeros(0, np.int8)
     base: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, text in enumerate(texts):
-        base[i] = [(k, s + int(offsets[i]), e + int(offsets[i])) for k, s, e in base_spans(text or b"")]
+        at = int(offsets[i])
+        base[i] = [(k, s + at, e + at) for k, s, e in base_spans(text or b"", low[at : offsets[i + 1]])]
     for s, e in zip(*(z.tolist() for z in hex_runs(buf)), strict=True):
         base[int(np.searchsorted(offsets, s, "right")) - 1].append(("hex", s, e))
     at = np.flatnonzero(labels > 0).tolist()
     runs: list[list[int]] = []
     for k in at:
-        if runs and runs[-1][-1] == k - 1 and labels[k] == INSIDE and doc[k] == doc[k - 1]:
+        if runs and runs[-1][-1] == k - 1 and labels[k] == INSIDE and own[k] == own[k - 1] + 1 and doc[k] == doc[k - 1]:
             runs[-1].append(k)
         else:
             runs.append([k])
@@ -309,8 +349,12 @@ def scan(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) -> lis
     order = lambda x: (x[1], KINDS.index(x[0]))
     out = []
     for i in range(len(texts)):
-        zero = int(points[offsets[i]])
-        moved = [sorted(((k, int(points[s]) - zero, int(points[e]) - zero) for k, s, e in spans), key=order) for spans in (base[i], base[i] + added[i])]
+        if not base[i] and not added[i]:
+            out.append(([], []))
+            continue
+        zero = int(offsets[i])
+        points = np.append(0, np.cumsum((buf[zero : offsets[i + 1]] & 0xC0) != 0x80))
+        moved = [sorted(((k, int(points[s - zero]), int(points[e - zero])) for k, s, e in spans), key=order) for spans in (base[i], base[i] + added[i])]
         out.append((moved[0], moved[1]))
     return out
 

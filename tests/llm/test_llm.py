@@ -632,9 +632,12 @@ def test_secrets(spark, empty):
 def test_secret_tagger_held_out():
     w, t = secrets.trained()
     right = wrong = missed = 0
-    for x, y in secrets._sequences(100, 12345):
-        e = x.astype(float) @ w
-        pruned = secrets.tagged(e, t, np.zeros(len(y), int))
+    for x, own, y in secrets._sequences(150, 12345):
+        e = np.zeros((len(y), 3))
+        e[:, 1:] = -1e6
+        e[own] = x.astype(float) @ w
+        pruned = np.zeros(len(y), int)
+        pruned[own] = secrets.tagged(e[own], t, own, np.zeros(len(own), int), np.full(len(own), len(y)))
         assert (pruned == secrets.viterbi(e, t, False, False)).all()
         right += int(((pruned > 0) & (y > 0)).sum())
         wrong += int(((pruned > 0) & (y == 0)).sum())
@@ -642,13 +645,84 @@ def test_secret_tagger_held_out():
     assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed)
 
 
+def planted_secrets(seed, texts):
+    """Secrets of kinds that neither the fixed patterns nor the generator have, put between words of the texts: text and the secret, or None."""
+    rng = np.random.default_rng(seed)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda n, a=mixed: secrets._draw(rng, a, n)
+    kinds = [
+        lambda: "glpat-" + draw(20),
+        lambda: f"xoxb-{draw(12, '0123456789')}-{draw(24)}",
+        lambda: "AIza" + draw(35, mixed + "-_"),
+        lambda: f"SG.{draw(22, mixed + '-_')}.{draw(43, mixed + '-_')}",
+        lambda: "npm_" + draw(36),
+        lambda: f"eyJ{draw(33)}.eyJ{draw(60)}.{draw(43, mixed + '-_')}",
+        lambda: "hf_" + draw(34),
+        lambda: draw(40, mixed + "/+"),
+    ]
+    out = []
+    for i, text in enumerate(texts):
+        secret = kinds[i // 2 % len(kinds)]() if i % 2 else None
+        words = text.split(" ")
+        at = int(rng.integers(0, len(words) + 1))
+        lead = ["", "the key is", "Authorization: Bearer", "use", "deploy with credential"][i % 5]
+        out.append((" ".join([*words[:at], *([lead] if lead else []), secret, *words[at:]]) if secret else text, secret))
+    return out
+
+
+def test_secrets_planted_in_documents(spark):
+    """Precision and recall of what the field adds, on documents and forms it wasn't trained on."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and length(text) < 6000").select("doc_id", "text").orderBy("doc_id").collect()]
+    made = planted_secrets(4, texts)
+    found = planted = right = 0
+    for (text, secret), (_, spans) in zip(made, secrets.scan([t.encode() for t, _ in made], secrets.trained()), strict=True):
+        added = [text[s:e] for k, s, e in spans if k == "token"]
+        found += len(added)
+        planted += secret is not None
+        right += secret is not None and any(secret.strip("-_.=/+") in x or x in secret and len(x) > 0.8 * len(secret) for x in added)
+    print("recall", right / planted, "precision", right / found, planted, found)
+    assert right >= 0.9 * planted and right >= 0.9 * found
+
+
+def test_secrets_leave_odd_texts_alone():
+    """Runs of one letter, repeated words, links, names of files and things: nothing is added."""
+    plain = ["x" * 5000, "X" * 300, "q " * 40, "aB1 " * 40, "ab12" * 40, "", "\n\n", "https://example.org/path/of/thing2024?id=3&x=4", "camelCaseName and anotherCamelCaseName here"]
+    plain += ["/usr/local/lib/python3.12/site-packages/thing.py", "mail jane.doe1984@example.com or call +44-113-496-0000", "2024-11-30T10:20:30Z", "é" * 3000, "12345678901234567890 1234-5678-9012"]
+    out = secrets.scan([t.encode() for t in plain], secrets.trained())
+    assert [[x for x in spans if x[0] == "token"] for _, spans in out] == [[]] * len(plain)
+
+
+def plain_spans(text):
+    """The base spans by regular expressions on the text, in code points."""
+    import re
+
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_are_those_of_the_patterns(spark, rows):
+    """On documents, on texts made of pieces of patterns, and on one very long text."""
+    rng = random.Random(6)
+    pieces = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", "ſecret", "toKen", '"', "'", " ", "=", ":", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abc", "é", "\n", ".", "-", "x", "tokentoken"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(2000)]
+    texts += [r[1] or "" for r in rows] + ["é".join(texts[:300]) + " word" * 100_000 + " ".join(texts[:300])]
+    texts += [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    got = secrets.scan([t.encode() for t in texts], secrets.trained())
+    assert [b for b, _ in got] == [plain_spans(t) for t in texts]
+    assert sum(map(len, (b for b, _ in got))) > 500
+    for text, (b, every) in zip(texts, got, strict=True):
+        assert set(b) <= set(every) and all(0 <= s < e <= len(text) for _, s, e in every)
+
+
 def test_secrets_after_a_base_span_are_kept(monkeypatch):
     """Of a tagged run, every byte but marks at edges is in a span: base spans take theirs, the rest are tokens."""
     lead, one, two = "password=a8Kd9fJ2kLm4Qw7Zx1Cv5Bn3Rt6", "Zx1Cv5Bn3Rt6Yu0Io9Pa8" * 3, "Qw7Zx1Cv5+n3Rt6Yu0/o9Pa8" * 3
     hexes = "Xy9#0123456789abcdef#Kq"
     text = f"é now {lead} {one}\n{two} plain {hexes} words".encode()
-    labels = [0, 0, 1, 2, 2, 0, 1, 0]
-    monkeypatch.setattr(secrets, "tagged", lambda e, t, doc: np.array(labels, np.int8))
+    labels = np.array([0, 0, 1, 2, 2, 0, 1, 0], np.int8)
+    monkeypatch.setattr(secrets, "tagged", lambda e, t, own, begin, end: labels[own])
     base, every = secrets.scan([text], secrets.trained())[0]
     spans = [(k, text.decode()[s:e]) for k, s, e in every]
     assert spans == [("assign", lead), ("token", f"{one}\n{two}"), ("token", "Xy9#"), ("hex", "0123456789abcdef"), ("token", "#Kq")]
