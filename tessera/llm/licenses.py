@@ -1,9 +1,13 @@
-"""Licence notices in texts: word-bigram Dice coefficient against templates.
+"""Licences in texts: word-bigram Dice coefficient against templates.
 
-Compared are the segments of a text that can be a notice: each line, each paragraph of several lines, and the
-whole text. A segment with x distinct bigrams can reach a coefficient c only with templates of between
-x * c / (2 - c) and x * (2 - c) / c; templates outside these bounds are never compared. A segment is left as soon as
-it has more distinct bigrams than go with the largest template, however many words it has.
+Compared are the segments of a text that can be a notice or a licence: each line, each block of several lines without
+a blank one between, and the whole text if it has more than one block. A segment with x distinct bigrams can reach
+a coefficient c only with templates of between x * c / (2 - c) and x * (2 - c) / c; templates outside these bounds
+are never compared.
+
+Before that, segments are told from ordinary text by hashes of bigrams that templates have: c * b / (2 - c) bigrams
+are shared with a template of b, and c * x / (2 - c) of the segment's own are, so that one with fewer known
+bigrams has no template. This is counted for all segments of a batch at once.
 """
 
 from __future__ import annotations
@@ -11,12 +15,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, id_key, given, quoted
+from tessera.llm.common import _GAP, chunks, column, given, id_key, joined, quoted, range_hash, texts_of, word_hashes
 
 # Names of licences and texts of their usual notices.
 TEMPLATES = {
@@ -63,72 +69,101 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+#: Full texts of licences, each in a file of its name, as published.
+BODIES = {p.stem: p.read_text("ascii") for p in sorted(Path(__file__).with_name("notices").glob("*.txt"))}
+for _name, _text in BODIES.items():
+    TEMPLATES[_name] = (*TEMPLATES.get(_name, ()), _text)
+
 _WORD = re.compile(r"[^\W_]+")
+_SMALL = {i: i + 32 for i in range(65, 91)}
+#: A-Z as a-z; what isn't an ASCII letter or digit as a space.
+_PLAIN = np.full(256, 32, np.uint8)
+for _a, _b in ((48, 58), (97, 123)):
+    _PLAIN[_a:_b] = np.arange(_a, _b)
+_PLAIN[65:91] = np.arange(97, 123)
 
 
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    """Distinct pairs of neighbouring words of the normalised text: lower case, punctuation as space; start and end count as words, so that one word has two."""
-    words = _WORD.findall(text.lower())
+    """Distinct pairs of neighbouring words of the normalised text: A-Z in lower case, punctuation as space; start and end count as words, so that one word has two."""
+    words = _WORD.findall(text.translate(_SMALL))
     return frozenset(zip(["^", *words], [*words, "$"], strict=True)) if words else frozenset()
 
 
-def few_bigrams(text: str, most: int) -> frozenset[tuple[str, str]]:
-    """The bigrams of a text, or none if there are more than most."""
-    out, last = set(), "^"
-    for m in _WORD.finditer(text.lower()):
-        out.add((last, last := m[0]))
-        if len(out) > most:
-            return frozenset()
-    if out:
-        out.add((last, "$"))
-    return frozenset(out) if len(out) <= most else frozenset()
+def _grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the ASCII words of a buffer and the hashes of neighbouring pairs."""
+    starts, _, hashes = word_hashes(_PLAIN[buf])
+    at = np.arange(max(0, len(hashes) - 1))
+    return starts, range_hash(hashes, at, at + 2) if len(at) else np.zeros(0, np.uint64)
 
 
 class Templates:
-    """Templates ordered by size."""
+    """Templates, which are ASCII texts, ordered by size."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], least: float):
         self.least = least
         made = sorted(((bigrams(t), name) for name, texts in templates.items() for t in texts), key=lambda x: (len(x[0]), x[1], sorted(x[0])))
         self.rows = [x for x in made if x[0]]
         self.sizes = [len(b) for b, _ in self.rows]
-        self.known = frozenset().union(*(b for b, _ in self.rows))
-        self.longest = int(max(self.sizes, default=0) * (2 - least) / least + 1e-9)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_grams(np.frombuffer(t.encode("ascii"), np.uint8))[1] for texts in templates.values() for t in texts)]))
+        #: Of the bigrams that a segment shares with the smallest template, two at most are with its start and end.
+        self.need = max(0, int(np.ceil(min(self.sizes, default=0) * least / (2 - least) - 1e-9)) - 2)
+        self.largest = max(self.sizes, default=0) * (2 - least) / least + 1e-9
 
     def best(self, segment: str) -> dict[str, float]:
         """The licence with the highest coefficient, if that reaches the threshold; of equal ones all."""
-        own = few_bigrams(segment, self.longest) if segment.count(" ") > self.longest else bigrams(segment)
-        x, found = len(own), {}
-        if not x or own.isdisjoint(self.known):
-            return found
-        c = self.least
+        own = bigrams(segment)
+        x, found, c = len(own), {}, self.least
         lo, hi = bisect_left(self.sizes, x * c / (2 - c) - 1e-9), bisect_right(self.sizes, x * (2 - c) / c + 1e-9)
-        for b, name in self.rows[lo:hi]:
+        for b, name in self.rows[lo:hi] if x else ():
             dice = 2 * len(own & b) / (x + len(b))
             if dice >= c:
                 found[name] = max(dice, found.get(name, 0.0))
         top = max(found.values(), default=0.0)
         return {name: dice for name, dice in found.items() if dice == top}
 
-    def scan(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """For each licence found: best coefficient, first line of a segment that reaches the threshold, number of such segments."""
-        lines = text.split("\n")
-        segments: list[tuple[int, str]] = list(enumerate(lines))
-        begin = None
-        for i, line in enumerate([*lines, ""]):
-            if line.strip():
-                begin = i if begin is None else begin
-            elif begin is not None:
-                if i - begin > 1:
-                    segments.append((begin, "\n".join(lines[begin:i])))
-                begin = None
-        if len(segments) > len(lines) and segments[-1][1] != text or "\n\n" in text:
-            segments.append((0, text))
-        out: dict[str, tuple[float, int, int]] = {}
-        for at, segment in segments:
-            for name, dice in self.best(segment).items():
-                was = out.get(name, (0.0, at, 0))
-                out[name] = (max(dice, was[0]), min(at, was[1]), was[2] + 1)
+    def segments(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, bytes]]:
+        """Text, first line and bytes of the segments that can have a template."""
+        for i, j in chunks(texts):
+            buf, offsets = joined(texts[i:j])
+            starts, grams = _grams(buf)
+            at = np.minimum(np.searchsorted(self.known, grams), max(0, len(self.known) - 1))
+            hit = self.known[at] == grams if len(self.known) else np.zeros(len(grams), bool)
+            hits = np.append(0, np.cumsum(hit))
+            ink = np.append(0, np.cumsum(~_GAP[buf]))
+            ends = np.flatnonzero(buf == 10)
+            begins = np.append(0, ends[:-1] + 1)
+            doc = np.searchsorted(offsets, begins, "right") - 1
+            first = np.searchsorted(begins, offsets[:-1])
+            full = ink[ends] > ink[begins]
+            opens = full & np.append(True, ~full[:-1] | (doc[1:] != doc[:-1]))
+            closes = full & np.append(~full[1:] | (doc[1:] != doc[:-1]), True)
+            a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+            n_blocks = np.bincount(doc[a], minlength=len(offsets) - 1)
+            several, many = a < b, np.flatnonzero(n_blocks > 1)
+            tops = np.concatenate([np.flatnonzero(full), a[several], first[many]])
+            spans = np.concatenate([begins[tops[: int(full.sum())]], begins[a[several]], offsets[many]])
+            tails = np.concatenate([ends[full], ends[b[several]], offsets[many + 1] - 1])
+            w0, w1 = np.searchsorted(starts, spans), np.searchsorted(starts, tails)
+            inner = np.maximum(w1 - w0 - 1, 0)
+            count = np.where(inner > 0, hits[np.maximum(w1 - 1, 0)] - hits[np.minimum(w0, len(hits) - 1)], 0)
+            for k in np.flatnonzero(count >= self.need).tolist():
+                s, e = int(spans[k]), int(tails[k])
+                own = grams[w0[k] : max(int(w0[k]), int(w1[k]) - 1)]
+                # Words with other letters fall apart here, so of these only the exact bigrams tell.
+                if not (buf[s:e] & 0x80).any():
+                    x, distinct = len(np.unique(own)) + 2, len(np.unique(own[hit[w0[k] : w0[k] + len(own)]])) + 2
+                    if x > self.largest or distinct < x * self.least / (2 - self.least) - 1e-9:
+                        continue
+                d = int(doc[tops[k]])
+                yield i + d, int(tops[k] - first[d]), buf[s:e].tobytes()
+
+    def scan(self, texts: list[bytes | None]) -> list[dict[str, tuple[float, int, int]]]:
+        """For each text and licence found: best coefficient, first line of a segment that reaches the threshold, number of such segments."""
+        out: list[dict[str, tuple[float, int, int]]] = [{} for _ in texts]
+        for i, at, segment in self.segments(texts):
+            for name, dice in self.best(segment.decode("utf-8", "replace")).items():
+                was = out[i].get(name, (0.0, at, 0))
+                out[i][name] = (max(dice, was[0]), min(at, was[1]), was[2] + 1)
         return out
 
 
@@ -136,9 +171,8 @@ def _scan(templates: Mapping[str, tuple[str, ...]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, least)
         for batch in batches:
-            rows = []
-            for i, text in zip(column(batch, "_id"), column(batch, "_text"), strict=True):
-                rows.extend((i, name, *x) for name, x in sorted(known.scan(text or "").items()))
+            found = known.scan(texts_of(batch, "_text"))
+            rows = [(i, name, *x) for i, own in zip(column(batch, "_id"), found, strict=True) for name, x in sorted(own.items())]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_id", "license", "dice", "first_line", "n_segments"])
@@ -150,7 +184,9 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Licences noticed in each row's whole text: doc_id, license, dice (the best), first_line (from 0), n_segments.
 
     A row for each row of docs and licence; texts without one, null and empty ones give none. Ids may be null or
-    repeat. templates is a small mapping of names to texts and goes to every task.
+    repeat. templates maps names to ASCII texts and goes to every task (the default: notices of one line, and the
+    full texts of widespread licences, 140 kB). Licences that are variants of one another, as the MIT and similar
+    ones, go by the closest one.
     """
     base = docs.select(id_key(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
     out = base.mapInArrow(_scan(templates, least), "_id long, license string, dice double, first_line long, n_segments long")
