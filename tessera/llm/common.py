@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """stage() what make gives, and delete the tables that were staged on the way: nothing reads them any more."""
+    before = len(_staged)
+    out = stage(make(), label)
+    _delete(spark, _staged[before:-1])
+    del _staged[before:-1]
+    return out
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete what this process has staged; returns how many tables that were."""
-    n, hadoop = len(_staged), spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+    n = len(_staged)
+    _delete(spark, _staged)
+    _staged.clear()
     return n
 
 

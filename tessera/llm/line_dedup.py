@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NO_ID, column, id_key, others, quoted, stage, texts_of
+from tessera.llm.common import NO_ID, column, id_key, others, quoted, settled, stage, texts_of
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: A filter is dealt in blocks of 2**BLOCK bits; a hash stays within one.
@@ -264,11 +264,15 @@ def dedup_lines(
     breaks = F.octet_length("_text") - F.octet_length(F.replace(F.col("_text"), F.lit("\n"), F.lit("")))
     n_lines = base.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
     n_bits = 1 << max(BLOCK, int(n_lines * bits_per_line).bit_length())
-    suspects = stage(suspected(base, n_bits, min_chars, max_filter_bits), "lines")
-    ends = suspects.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
-    # Staged, as a join of two plain exchanges is one that Spark can split where a key is hot.
-    repeats = stage(ends.where("_first < _last").drop("_last"), "repeats")
-    drop = suspects.join(repeats, "_key").where("_id > _first").groupBy("_id", "_th").agg(F.collect_set("_key").alias("_drop"))
+
+    def dropped() -> DataFrame:
+        suspects = stage(suspected(base, n_bits, min_chars, max_filter_bits), "lines")
+        ends = suspects.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
+        # Staged, as a join of two plain exchanges is one that Spark can split where a key is hot.
+        repeats = stage(ends.where("_first < _last").drop("_last"), "repeats")
+        return suspects.join(repeats, "_key").where("_id > _first").groupBy("_id", "_th").agg(F.collect_set("_key").alias("_drop"))
+
+    drop = settled(docs.sparkSession, dropped, "dropped")
     rows = docs.select(
         *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(keep)],
         text.alias("_text"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK, chunks, joined, lowered, mix64, quoted, range_hash, stage, texts_of, word_hashes
+from tessera.llm.common import CHUNK, chunks, joined, lowered, mix64, quoted, range_hash, settled, stage, texts_of, word_hashes
 from tessera.llm.graph import components
 
 UNIVERSE = 1 << 20
@@ -346,6 +346,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(quoted(text_col)).cast("string")
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(text), 3)
     base = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), nameless).alias("_id"), text.alias("_text"))
+    return settled(docs.sparkSession, lambda: _groups(base, size, percent, seed), "groups")
+
+
+def _groups(base: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
     sets = stage(base.mapInArrow(_sets(size, seed), "_id long, _n long, _d1 long, _d2 long, _bands binary, _sig binary"), "sets")
     tops = stage(sets.where("_n > 0").groupBy("_d1", "_d2").agg(F.min("_id").alias("v")), "tops")
     of = stage(sets.where("_n > 0").select("_id", "_d1", "_d2").join(tops, ["_d1", "_d2"]).select("_id", "v").distinct(), "vertices")

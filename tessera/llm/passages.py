@@ -266,22 +266,25 @@ class Repeats:
     """Staged tables of the fragments whose anchor is found again.
 
     base has _id, _th, _text, and _within (runs of units as [s, e)) where windows are taken from these only.
-    again lists every place of such a fragment: _id, _th, _at, _anchor, _f. texts has the documents with such
-    places, _asked being the places, with the number of copies where a place is the one its fragment is fetched
-    from. parts has every distinct fragment once with that number and its bytes.
+    again lists every place of such a fragment: _id, _th, _at, _anchor, _f. parts has every distinct fragment once
+    with the number of its copies and its bytes. texts, where it is kept, has the documents with such places,
+    _asked being the places with _n = 0, and those that fragments are fetched from with the number of copies.
     """
 
-    def __init__(self, base: DataFrame, unit: Unit):
+    def __init__(self, base: DataFrame, unit: Unit, keep_texts: bool = False):
         counts = base.select(*[c for c in base.columns if c in ("_text", "_within")]).mapInArrow(_anchors(unit), "_anchor long, _c long")
         # Tables joined to on hot keys are staged: a join of plain exchanges is one that Spark can split.
         anchors = stage(counts.groupBy("_anchor").agg(F.sum("_c").alias("_c")).where("_c > 1").select("_anchor"), "anchors")
         found = base.mapInArrow(_occurrences(unit), "_id long, _th long, _at long, _anchor long, _f long")
         self.again = stage(found.join(anchors, "_anchor").select("_id", "_th", "_at", "_anchor", "_f"), "occurrences")
         distinct = self.again.groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
-        places = self.again.select("_id", "_th", "_at", "_anchor", "_f", F.lit(0).cast("long").alias("_n"))
-        places = places.unionByName(distinct.select("_from.*", "_anchor", "_f", "_n"))
+        places = distinct.select("_from.*", "_anchor", "_f", "_n")
+        if keep_texts:
+            places = places.unionByName(self.again.withColumn("_n", F.lit(0).cast("long")))
         asked = places.groupBy("_id", "_th").agg(F.collect_set(F.struct("_at", "_anchor", "_f", "_n")).alias("_asked"))
-        self.texts = stage(base.select("_id", "_th", "_text").join(asked, ["_id", "_th"]), "texts")
+        self.texts = base.select("_id", "_th", "_text").join(asked, ["_id", "_th"])
+        if keep_texts:
+            self.texts = stage(self.texts, "texts")
         self.parts = stage(self.texts.select("_text", "_asked").mapInArrow(_fetch(unit), FRAGMENT), "fragments")
         self.unit = unit
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, others, quoted, stage, texts_of
+from tessera.llm.common import column, others, quoted, settled, stage, texts_of
 from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged, place, row_tuples, rows_batch
 
 #: Words of the passages compiled into one automaton, about: it takes some 60 bytes for each.
@@ -174,7 +174,8 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_removed; columns of those names are replaced. Ids may be null or repeat: rows equal in id and text are
     copies like any others and lose what they share. An empty table gives an empty result.
     """
-    runs = located(Repeats(keyed(docs, id_col, text_col), Unit("words", window, anchor)), window)
+    unit = Unit("words", window, anchor)
+    runs = settled(docs.sparkSession, lambda: located(Repeats(keyed(docs, id_col, text_col), unit, keep_texts=True), window), "phrases")
     names = [c for c in others(docs, "kept", "n_words", "n_removed") if c != text_col]
     rows = keyed(docs, id_col, text_col, *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)])
     held = [f"_c{i}" for i in range(len(names))]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, others, quoted, stage, texts_of
+from tessera.llm.common import column, others, quoted, settled, stage, texts_of
 from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged
 
 #: Bytes past the common prefix that quicksort looks at before blind tries take over.
@@ -212,26 +212,33 @@ def _remove(names: list[str]):
 MADE = ("kept", "n_bytes", "n_removed", "n_spans", "n_shared")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, anchor: int = 64, shorter: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, anchor: int = 64, shorter: int | None = None) -> DataFrame:
     """Remove every byte covered by a string of window bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents and are judged on the input. Returns the
     columns of docs without the text, and kept (binary: the remaining bytes, which can break within a character),
     n_bytes, n_removed, n_spans and n_shared; columns of those names are replaced. n_shared is the number of bytes
-    covered by strings of shorter bytes (at most window) that repeat: it tells of passages too short to be
+    covered by strings of shorter bytes (half of window if not given, at most window) that repeat: it tells of passages too short to be
     removed. Ids may be null or repeat: rows equal in id and text are copies like any others and lose what they
     share. An empty table gives an empty result.
     """
+    shorter = max(1, window // 2) if shorter is None else shorter
     if not 0 < shorter <= window:
         raise ValueError("0 < shorter <= window")
     base = keyed(docs, id_col, text_col)
     k = max(1, min(anchor, shorter * anchor // window))
-    short = stage(Repeats(base, Unit("bytes", shorter, k)).runs(_solver(shorter)), "shorter")
+    spark = docs.sparkSession
+    short = settled(spark, lambda: Repeats(base, Unit("bytes", shorter, k)).runs(_solver(shorter)), "shorter")
     runs = short
     if shorter < window:
         fields = "_id long, _th long, _text string, _within array<struct<s: long, e: long>>"
-        within = stage(base.join(short, ["_id", "_th"]).select("_id", "_th", "_text", "_runs").mapInArrow(_long_runs(window), fields), "within")
-        runs = Repeats(within, Unit("bytes", window, anchor)).runs(_solver(window))
+        near = base.join(short, ["_id", "_th"]).select("_id", "_th", "_text", "_runs")
+
+        def longer() -> DataFrame:
+            within = stage(near.mapInArrow(_long_runs(window), fields), "within")
+            return Repeats(within, Unit("bytes", window, anchor)).runs(_solver(window))
+
+        runs = settled(spark, longer, "longer")
     both = short.select("_id", "_th", F.col("_runs").alias("_shorter")).join(runs.select("_id", "_th", "_runs"), ["_id", "_th"], "left")
     names = [c for c in others(docs, *MADE) if c != text_col]
     rows = keyed(docs, id_col, text_col, *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)])

@@ -549,7 +549,7 @@ def test_phrase_dedup(spark, docs, rows, monkeypatch, hot, window, anchor, shard
 def test_what_goes_is_what_sorting_and_automata_say(spark, docs, monkeypatch):
     """Without the solver that sorts, or without the automata, nothing is removed: neither copies nor hot groups have another way."""
     monkeypatch.setattr(passages, "HOT", 2)
-    repeats = passages.Repeats(passages.keyed(docs, "doc_id", "text"), passages.Unit("words", 8, 3))
+    repeats = passages.Repeats(passages.keyed(docs, "doc_id", "text"), passages.Unit("words", 8, 3), keep_texts=True)
     nothing = lambda rows: ((0, 0, 0, 0) for _ in rows if False)
     assert repeats.runs(nothing).count() == 0
     assert phrase_dedup.located(repeats, 8).count() > 10
