@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
 
 # Patterns of what pages hold.
 PATTERNS = {
@@ -32,6 +26,7 @@ PATTERNS = {
     "meta_poster": r"""(?i)<meta\s+[^>]*(?:property=["'](?:og:image|og:image:url)["']|name=["'](?:twitter:image|thumbnail)["'])[^>]*content=["']([^"']+)["']""",
     "json_poster": r"""(?i)["'](?:poster|thumbnailUrl|thumbnail|preview_image)["']\s*:\s*["']([^"']+)["']""",
 }
+# Parts of links that are no posts, and hosts of embedded players.
 NOT_POSTS = ("/login", "/signup", "/register", "/logout", "/terms", "/privacy", "/about", "/contact", "/search", "/tag/", "/settings")
 PLAYERS = ("youtube.com/embed", "youtu.be", "player.vimeo.com", "redgifs.com/ifr", "streamable.com/e/", "megacloud", "rabbitstream")
 
@@ -60,17 +55,7 @@ def normalized(raw: Column) -> Column:
     return F.btrim(out, F.lit("\"'\\ "))
 
 
-@F.pandas_udf(StringType())
-def _joined(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for base, target in pairs:
-        yield pd.Series([None if b is None or t is None else urljoin(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
-
-
-def resolved(base: Column, target: Column) -> Column:
-    """Absolute URL of a plain target: absolute and host-relative ones, root paths and sibling paths, by expressions only.
-
-    Targets with . or .. segments need resolve_dots() on the exploded rows.
-    """
+def _plain(base: Column, target: Column) -> Column:
     t = normalized(target)
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.concat(origin, F.regexp_extract(F.regexp_replace(F.substr(base, F.length(origin) + 1), "[?#].*$", ""), r"^(.*/)", 1))
@@ -86,9 +71,28 @@ def resolved(base: Column, target: Column) -> Column:
     )
 
 
-def resolve_dots(base: Column, target: Column) -> Column:
-    """Absolute URL of any target, with . and .. segments; Arrow batches to Python, so use it where these occur."""
-    return _joined(base, normalized(target))
+def without_dots(url: Column) -> Column:
+    """An absolute URL with . and .. segments of its path taken out; others stay as they are."""
+    origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    steps = F.split(F.substr(path, F.lit(2)), "/")
+    walk = lambda at, s: F.when(s == "..", F.regexp_replace(at, "/[^/]*$", "")).when(s == ".", at).otherwise(F.concat(at, F.lit("/"), s))
+    end = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    plain = F.concat(origin, F.aggregate(steps, F.lit(""), walk), end, F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1))
+    return F.when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/\.\.?(/|$|[?#])"), plain).otherwise(url)
+
+
+def resolved_all(base: Column, targets: Column) -> Column:
+    """Absolute URLs of an array of targets: absolute and host-relative ones, root paths and sibling paths, by expressions only."""
+    return F.transform(F.transform(targets, lambda t: _plain(base, t)), without_dots)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute URL of a target."""
+    return F.get(resolved_all(base, F.array(target)), F.lit(0))
+
+
+resolve_dots = resolved
 
 
 def host(url: Column) -> Column:
@@ -97,7 +101,7 @@ def host(url: Column) -> Column:
 
 def post_links(url: Column, html: Column, need_post_path: bool = True) -> Column:
     """Links to posts on the page's own host, once each in order."""
-    full = F.transform(found_all(html, "anchor"), lambda t: resolved(url, t))
+    full = resolved_all(url, found_all(html, "anchor"))
     ok = F.filter(
         full,
         lambda u: (host(u) == host(url))
@@ -130,7 +134,7 @@ def tags(html: Column) -> Column:
 
 def players(url: Column, html: Column) -> Column:
     """Embedded players of known hosts."""
-    full = F.transform(found_all(html, "iframe"), lambda t: resolved(url, t))
+    full = resolved_all(url, found_all(html, "iframe"))
     return F.array_distinct(F.filter(full, lambda u: contains_any(F.lower(u), PLAYERS)))
 
 
@@ -138,7 +142,7 @@ def posters(url: Column, html: Column) -> Column:
     """Poster images: of video elements, of meta tags, of player settings; once each in that order."""
     settings = F.filter(F.transform(found_all(html, "json_poster"), lambda t: normalized(t)), lambda t: t.startswith("http") | t.startswith("/"))
     every = F.concat(found_all(html, "video_poster"), found_all(html, "meta_poster"), settings)
-    return F.array_distinct(F.transform(every, lambda t: resolved(url, t)))
+    return F.array_distinct(resolved_all(url, every))
 
 
 def srcset_urls(html: Column) -> Column:
@@ -149,7 +153,7 @@ def srcset_urls(html: Column) -> Column:
 
 def media_urls(url: Column, html: Column, name: str) -> Column:
     """All image or video URLs in the page's text, absolute, once each."""
-    return F.array_distinct(F.transform(found_all(html, name, 0), lambda t: resolved(url, t)))
+    return F.array_distinct(resolved_all(url, found_all(html, name, 0)))
 
 
 def url_stem(url: Column) -> Column:
@@ -163,5 +167,3 @@ def poster_of(video: Column, images: Column) -> Column:
     stem = url_stem(video)
     hit = F.filter(images, lambda i: i.contains(stem))
     return F.coalesce(F.when(F.char_length(stem) >= 4, F.get(hit, F.lit(0))), F.get(images, F.lit(0)))
-
-

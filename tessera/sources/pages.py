@@ -30,8 +30,8 @@ def items(pages: DataFrame, id_: str, url: str = "url", html: str = "html") -> D
     Videos come from the page's text; images from the text, source attributes and srcset entries.
     """
     u, h = F.col(url), F.col(html)
-    sources = F.filter(F.transform(urls.found_all(h, "source"), lambda t: urls.resolved(u, t)), media.is_image_url)
-    sets = F.transform(urls.srcset_urls(h), lambda t: urls.resolved(u, t))
+    sources = F.filter(urls.resolved_all(u, urls.found_all(h, "source")), media.is_image_url)
+    sets = urls.resolved_all(u, urls.srcset_urls(h))
     images = F.array_distinct(F.concat(urls.media_urls(u, h, "image"), sources, sets))
     both = pages.select(id_, urls.media_urls(u, h, "video").alias("v"), images.alias("i"), urls.posters(u, h).alias("posters"))
     kinds = [("video", "v", media.video_mime_of_url), ("image", "i", media.image_mime_of_url)]
