@@ -150,3 +150,10 @@ def apply_filters(assets: DataFrame, req: FeedRequest, tags: DataFrame | None =
     if req.tags and tags is not None:
         out = divided(out, "id", tags, "asset_id", "name", req.tags)
     return out
+
+
+def query_string(params: dict[str, Column]) -> Column:
+    """Parameters as the query of a URL, in the given order; null and empty ones are left out."""
+    pairs = [F.when(v.cast("string") != "", F.concat(F.lit(f"{name}="), F.url_encode(v.cast("string")))) for name, v in params.items()]
+    joined = F.concat_ws("&", *pairs)
+    return F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit(""))

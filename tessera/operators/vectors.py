@@ -221,3 +221,39 @@ def lsh_neighbours(
         one = rows.mapInPandas(search(sent), f"query_id {kind}, {id_} {kind}, similarity double")
         found = one if found is None else found.unionByName(one)
     return exemplars(found, "query_id", [F.desc("similarity"), F.col(id_)], limit).drop("rank")
+
+
+def cluster_clips(
+    faces: DataFrame, cents: DataFrame, clip: str, frame: str, id_: str, vector: str, key: str, seen: float = 0.40, match: float = 0.72
+) -> DataFrame:
+    """The best face of each person in each clip: clip, person (from 0 in the order met), id, score, n, the known key and its similarity, or null.
+
+    Faces are taken by frame, falling score and id. A face is the person of an earlier face of the clip if it is
+    similar enough to that person's best face, the first such person whom no other face of the frame has claimed; else
+    it is a new one. Of each person the face with the highest score stands, and is compared with known centroids.
+    A clip's faces are few and form a group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        best: list[list] = []
+        claimed: set[int] = set()
+        last = None
+        for f, i, v, score in pdf.sort_values([frame, "score", id_], ascending=[True, False, True])[[frame, id_, vector, "score"]].itertuples(index=False):
+            if f != last:
+                claimed, last = set(), f
+            x = np.asarray(v, float)
+            x = x / max(np.linalg.norm(x), 1e-8)
+            at = next((p for p, own in enumerate(best) if p not in claimed and float(own[1] @ x) >= seen), None)
+            if at is None:
+                at = len(best)
+                best.append([i, x, score, 0])
+            elif score > best[at][2]:
+                best[at][:3] = [i, x, score]
+            best[at][3] += 1
+            claimed.add(at)
+        return pd.DataFrame({clip: pdf[clip].iloc[0], "person": range(len(best)), id_: [b[0] for b in best], "score": [b[2] for b in best], "n": [b[3] for b in best]})
+
+    kinds = {c: faces.schema[c].dataType.simpleString() for c in (clip, id_)}
+    out = faces.groupBy(clip).applyInPandas(run, f"{clip} {kinds[clip]}, person long, {id_} {kinds[id_]}, score double, n long")
+    chosen = faces.join(out.select(id_), id_, "left_semi")
+    return out.join(assigned(chosen, cents, key, id_, vector, match), id_, "left").select(clip, "person", id_, "score", "n", key, "similarity")

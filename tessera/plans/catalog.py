@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import crawl, feed, ingest, library
+from tessera.plans import changes, crawl, feed, ingest, library
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (feed, library, ingest, crawl):
+for _plans in (feed, library, ingest, crawl, changes):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
