@@ -158,15 +158,14 @@ def place(at: int) -> tuple[int, int, int]:
 
 
 def _fetch(unit: Unit):
-    """The bytes of the fragments that are marked with a number of copies."""
+    """The bytes of the fragments that are asked for, with the number of copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, asked in zip(texts_of(batch, "_text"), column(batch, "_asked"), strict=True):
-                asked = [x for x in asked if x["_n"]]
-                text = unit.canonical(text) if asked else b""
-                spans = unit.spans(text) if asked else None
+                text = unit.canonical(text)
+                spans = unit.spans(text)
                 for x in asked:
                     lo, n, off = place(x["_at"])
                     rows.append((x["_anchor"], x["_f"], x["_n"], off, n, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
@@ -267,26 +266,23 @@ class Repeats:
 
     base has _id, _th, _text, and _within (runs of units as [s, e)) where windows are taken from these only.
     again lists every place of such a fragment: _id, _th, _at, _anchor, _f. parts has every distinct fragment once
-    with the number of its copies and its bytes. texts, where it is kept, has the documents with such places,
-    _asked being the places with _n = 0, and those that fragments are fetched from with the number of copies.
+    with the number of its copies and its bytes.
     """
 
-    def __init__(self, base: DataFrame, unit: Unit, keep_texts: bool = False):
+    def __init__(self, base: DataFrame, unit: Unit):
         counts = base.select(*[c for c in base.columns if c in ("_text", "_within")]).mapInArrow(_anchors(unit), "_anchor long, _c long")
         # Tables joined to on hot keys are staged: a join of plain exchanges is one that Spark can split.
         anchors = stage(counts.groupBy("_anchor").agg(F.sum("_c").alias("_c")).where("_c > 1").select("_anchor"), "anchors")
         found = base.mapInArrow(_occurrences(unit), "_id long, _th long, _at long, _anchor long, _f long")
         self.again = stage(found.join(anchors, "_anchor").select("_id", "_th", "_at", "_anchor", "_f"), "occurrences")
         distinct = self.again.groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
-        places = distinct.select("_from.*", "_anchor", "_f", "_n")
-        if keep_texts:
-            places = places.unionByName(self.again.withColumn("_n", F.lit(0).cast("long")))
-        asked = places.groupBy("_id", "_th").agg(F.collect_set(F.struct("_at", "_anchor", "_f", "_n")).alias("_asked"))
-        self.texts = base.select("_id", "_th", "_text").join(asked, ["_id", "_th"])
-        if keep_texts:
-            self.texts = stage(self.texts, "texts")
-        self.parts = stage(self.texts.select("_text", "_asked").mapInArrow(_fetch(unit), FRAGMENT), "fragments")
-        self.unit = unit
+        self.base, self.unit = base, unit
+        self.parts = stage(self.fetched(distinct.select("_from.*", "_anchor", "_f", "_n"), _fetch(unit), FRAGMENT), "fragments")
+
+    def fetched(self, places: DataFrame, fetch: Callable, fields: str) -> DataFrame:
+        """fetch over the documents of places (_id, _th, and others that come as structs in _asked), each document read once."""
+        asked = places.groupBy("_id", "_th").agg(F.collect_set(F.struct(*[c for c in places.columns if c not in ("_id", "_th")])).alias("_asked"))
+        return self.base.select("_id", "_th", "_text").join(asked, ["_id", "_th"]).mapInArrow(fetch, fields)
 
     def solved(self, solver: Solver) -> DataFrame:
         widths = (self.unit.block, 1) if self.unit.block > 1 else (1,)

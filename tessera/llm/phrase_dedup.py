@@ -3,9 +3,10 @@
 1. Passages that recur are confirmed: a task counts the windows of the fragments that share an anchor (passages.py
    says what these are), each weighted with its copies, and joins consecutive recurring ones to passages.
 2. The passages are dealt to shards by anchor, and each shard is compiled into an automaton over word numbers.
-3. All documents stream through the automata: every place of every document where an anchor found twice stands is
-   sent to that anchor's shard, so a document meets only the shards that can hold a passage of it. What the
-   automata report is what goes; the counts of the first step only say which passages they are made of.
+3. All documents stream through the automata: every place of every document where the anchor of a passage stands
+   is sent to that anchor's shard, so a document meets only the shards that can hold a passage of it. What the
+   automata report is what goes; the counts of the first step only say which passages they are made of. Places with
+   the same words come one after the other, and are looked up once.
 
 A shard that many documents stream through is compiled in several tasks, which share them out.
 """
@@ -22,9 +23,9 @@ from tessera.llm.common import column, others, quoted, settled, stage, texts_of
 from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged, place, row_tuples, rows_batch
 
 #: Words of the passages compiled into one automaton, about: it takes some 60 bytes for each.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
 #: Words that one task streams through an automaton, about.
-STREAM_WORDS = 4_000_000
+STREAM_WORDS = 1_000_000
 
 
 def recurring(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
@@ -81,16 +82,15 @@ def _streamed(unit: Unit):
     """The words of every place where a known anchor stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_anchor", "_id", "_th", "_lo", "_bytes"]
+        names = ["_anchor", "_f", "_id", "_th", "_lo", "_bytes"]
         for batch in batches:
             out = []
             for i, th, text, asked in zip(column(batch, "_id"), column(batch, "_th"), texts_of(batch, "_text"), column(batch, "_asked"), strict=True):
                 text = unit.canonical(text)
                 spans = unit.spans(text)
                 for x in asked:
-                    if not x["_n"]:
-                        lo, n, _ = place(x["_at"])
-                        out.append((x["_anchor"], i, th, lo, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
+                    lo, n, _ = place(x["_at"])
+                    out.append((x["_anchor"], x["_f"], i, th, lo, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
                 if len(out) >= 4000:
                     yield rows_batch(out, names)
                     out = []
@@ -103,21 +103,21 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a shard, its passages first: compile these, then stream the others and report where passages stand."""
     import ahocorasick
 
-    key, passage, numbers, automaton, out = None, True, {}, None, []
+    key, passage, numbers, automaton, last, found, out = None, True, {}, None, None, [], []
     for shard, salt, streamed, i, th, lo, data in row_tuples(batches):
         if (shard, salt) != key:
-            key, passage, numbers = (shard, salt), True, {}
+            key, passage, numbers, last = (shard, salt), True, {}, None
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        words = data.split(b" ")
         if not streamed:
-            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]))
+            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in data.split(b" ")]))
             continue
         if passage:
             passage = False
             automaton.make_automaton()
-        if len(automaton):
-            found = [{"s": end + 1 - size, "e": end + 1} for end, size in automaton.iter(tuple([numbers.get(w, 0) for w in words]))]
-            out.extend((i, th, lo + s, lo + e) for s, e in merged(found))
+        if data != last:
+            hits = automaton.iter(tuple([numbers.get(w, 0) for w in data.split(b" ")])) if len(automaton) else ()
+            last, found = data, merged([{"s": end + 1 - size, "e": end + 1} for end, size in hits])
+        out.extend((i, th, lo + s, lo + e) for s, e in found)
         if len(out) >= 20_000:
             yield rows_batch(out, ["_id", "_th", "s", "e"])
             out = []
@@ -132,15 +132,15 @@ def located(repeats: Repeats, window: int) -> DataFrame:
     shards = 1 + (passages.agg(F.sum("_words")).first()[0] or 0) // SHARD_WORDS
     shard = lambda a: F.pmod(F.xxhash64(a), F.lit(shards)).alias("_shard")
     size = F.shiftright("_at", 10).bitwiseAND(F.lit(1023)) - 1 + F.lit(window)
-    load = repeats.again.groupBy(shard("_anchor")).agg(F.ceil(F.sum(size) / STREAM_WORDS).cast("int").alias("_salts"))
-    load = stage(load, "shards")
+    places = repeats.again.join(stage(passages.select("_anchor").distinct(), "found"), "_anchor", "left_semi")
+    load = stage(places.groupBy(shard("_anchor")).agg(F.ceil(F.sum(size) / STREAM_WORDS).cast("int").alias("_salts")), "shards")
     none = F.lit(0).cast("long")
     known = passages.select(shard("_anchor"), "_bytes").join(load, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    known = known.select("_shard", "_salt", F.lit(False).alias("_streamed"), none.alias("_id"), none.alias("_th"), none.alias("_lo"), "_bytes")
-    stream = repeats.texts.mapInArrow(_streamed(repeats.unit), "_anchor long, _id long, _th long, _lo long, _bytes binary")
+    known = known.select("_shard", "_salt", F.lit(False).alias("_streamed"), none.alias("_f"), none.alias("_id"), none.alias("_th"), none.alias("_lo"), "_bytes")
+    stream = repeats.fetched(places.select("_id", "_th", "_at", "_anchor", "_f"), _streamed(repeats.unit), "_anchor long, _f long, _id long, _th long, _lo long, _bytes binary")
     stream = stream.select("*", shard("_anchor")).join(load, "_shard")
-    stream = stream.select("_shard", F.pmod(F.xxhash64("_id", "_th", "_lo"), "_salts").alias("_salt"), F.lit(True).alias("_streamed"), "_id", "_th", "_lo", "_bytes")
-    rows = known.unionByName(stream).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_streamed")
+    stream = stream.select("_shard", F.pmod(F.xxhash64("_id", "_th", "_lo"), "_salts").alias("_salt"), F.lit(True).alias("_streamed"), "_f", "_id", "_th", "_lo", "_bytes")
+    rows = known.unionByName(stream).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_streamed", "_f").drop("_f")
     found = rows.mapInArrow(_locate, "_id long, _th long, s long, e long")
     return found.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
 
@@ -175,7 +175,7 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies like any others and lose what they share. An empty table gives an empty result.
     """
     unit = Unit("words", window, anchor)
-    runs = settled(docs.sparkSession, lambda: located(Repeats(keyed(docs, id_col, text_col), unit, keep_texts=True), window), "phrases")
+    runs = settled(docs.sparkSession, lambda: located(Repeats(keyed(docs, id_col, text_col), unit), window), "phrases")
     names = [c for c in others(docs, "kept", "n_words", "n_removed") if c != text_col]
     rows = keyed(docs, id_col, text_col, *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)])
     held = [f"_c{i}" for i in range(len(names))]
