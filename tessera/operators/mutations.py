@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import LITERAL_IDS
 from tessera.operators.folders import folder_albums, uncollected
 
 
@@ -18,9 +19,17 @@ def updated(df: DataFrame, where: Column, **values: Column) -> DataFrame:
     return df.withColumns({name: F.when(where, value).otherwise(F.col(name)) for name, value in values.items()})
 
 
+def listed(df: DataFrame, name: str, ids: Sequence[object]) -> DataFrame:
+    """With _hit: whether the value of name is in the list. A long list is joined, not put in the plan."""
+    if len(ids) <= LITERAL_IDS:
+        return df.withColumn("_hit", F.coalesce(F.col(name).isin(list(ids)), F.lit(False)))
+    rows = df.sparkSession.createDataFrame([(x,) for x in set(ids)], df.select(F.col(name).alias("_k")).schema)
+    return df.join(rows, F.col(name) == F.col("_k"), "left").withColumn("_hit", F.col("_k").isNotNull()).drop("_k")
+
+
 def toggled_favorites(assets: DataFrame, ids: Sequence[object], user_id: object) -> DataFrame:
-    hit = F.col("id").isin(list(ids)) & (F.col("user_id") == F.lit(user_id))
-    return updated(assets, hit, is_favorite=~F.col("is_favorite"))
+    hit = F.col("_hit") & (F.col("user_id") == F.lit(user_id))
+    return updated(listed(assets, "id", ids), hit, is_favorite=~F.col("is_favorite")).drop("_hit")
 
 
 def toggled_trash(assets: DataFrame, where: Column, now: Column) -> DataFrame:
@@ -89,17 +98,22 @@ def reordered(members: DataFrame, album_id: object, ids: Sequence[object]) -> Da
     """Positions of an album's members by a given order; members that aren't listed keep theirs."""
     kind = members.schema["asset_id"].dataType.simpleString()
     listed = members.sparkSession.createDataFrame([(list(ids),)], f"ids array<{kind}>").select(F.posexplode("ids").alias("_p", "_a"))
-    out = members.join(F.broadcast(listed), (F.col("album_id") == F.lit(album_id)) & (F.col("asset_id") == F.col("_a")), "left")
-    return out.withColumn("position", F.coalesce("_p", "position").cast(members.schema["position"].dataType)).drop("_p", "_a")
+    return positions_set(members, listed.select(F.lit(album_id).cast(members.schema["album_id"].dataType).alias("album_id"), F.col("_a").alias("asset_id"), F.col("_p").alias("position")))
+
+
+def positions_set(members: DataFrame, order: DataFrame) -> DataFrame:
+    """Members with the positions that order (album_id, asset_id, position) gives; the others keep theirs."""
+    new = order.select("album_id", "asset_id", F.col("position").alias("_p"))
+    out = members.join(new, ["album_id", "asset_id"], "left")
+    return out.withColumn("position", F.coalesce("_p", "position").cast(members.schema["position"].dataType)).select(*members.columns)
 
 
 def members_removed(albums: DataFrame, members: DataFrame, album_id: object, ids: Sequence[object]) -> tuple[DataFrame, DataFrame]:
     """Albums and members after a removal: a cover that was removed is cleared."""
-    gone = list(ids)
-    left = members.where(~((F.col("album_id") == F.lit(album_id)) & F.col("asset_id").isin(gone)))
-    hit = (F.col("album_id") == F.lit(album_id)) & F.col("cover_asset_id").isin(gone)
+    hit = (F.col("album_id") == F.lit(album_id)) & F.col("_hit")
+    left = listed(members, "asset_id", ids).where(~hit).drop("_hit")
     kind = albums.schema["cover_asset_id"].dataType
-    return updated(albums, F.coalesce(hit, F.lit(False)), cover_asset_id=F.lit(None).cast(kind)), left
+    return updated(listed(albums, "cover_asset_id", ids), F.coalesce(hit, F.lit(False)), cover_asset_id=F.lit(None).cast(kind)).drop("_hit"), left
 
 
 def linked_to_folders(members: DataFrame, albums: DataFrame, assets: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
@@ -92,6 +92,18 @@ def trigram_similarity(name: Column, other: str) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def persons_named(spark: SparkSession, query: str, persons: DataFrame) -> DataFrame:
+    """The person with the smallest id whose name is one of the query's words, and the query without that word: person_id, rest; no row without one.
+
+    persons: person_id, name. The words of a query are few; they are joined with the names, whatever their number.
+    """
+    own = query.split()
+    words = spark.createDataFrame([(i, w, " ".join(own[:i] + own[i + 1 :])) for i, w in enumerate(own)], "_i long, _w string, rest string")
+    hits = persons.join(words, F.lower("name") == F.lower("_w"))
+    top = hits.agg(F.min(F.struct("person_id", "_i", "rest")).alias("t")).where("t is not null")
+    return top.select("t.person_id", "t.rest")
+
+
 def named_persons(query: str, persons: list[tuple[object, str]]) -> tuple[object | None, str]:
     """The first person (in list order) whose name is one of the query's words, and the query without that word."""
     own = query.split()

@@ -143,9 +143,9 @@ def filter_media_type(spark, sf):
     return live(spark, sf, media_type="videos").select("id", "duration_seconds")
 
 
-@query(f"SELECT id FROM {LIVE} AND is_favorite AND user_id < 300")
+@query(f"SELECT id FROM {LIVE} AND is_favorite")
 def filter_favorite(spark, sf):
-    return live(spark, sf, favorite=True).where("user_id < 300").select("id")
+    return live(spark, sf, favorite=True).select("id")
 
 
 @query(f"SELECT id, deleted_at, CAST(greatest(30 - floor((epoch(TIMESTAMP '{NOW}') - epoch(deleted_at)) / 86400), 0) AS INTEGER) AS days_remaining FROM {assets_sql()} WHERE deleted_at IS NOT NULL")

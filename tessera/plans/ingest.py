@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, media, paths, text, urls
-from tessera.operators import items, jobs, mutations
+from tessera.operators import geo, items, jobs, mutations
 from tessera.operators.folders import folder_albums
 from tessera.plans import views
 from tessera.plans.views import NOW, assets_sql
-from tessera.session import table
+from tessera.session import shared_dir, table
 from tessera.sources import pages, playlists, social, uploads
 from tessera.streaming import queues
 
@@ -288,11 +288,10 @@ def json_pointer(spark, sf):
 
 @query("SELECT s.s_suppkey AS id, arg_min(n_nationkey, (round(d, 9), n_nationkey)) AS nearest FROM supplier s, (SELECT n_nationkey, 2 * 6371.0 * asin(sqrt(pow(sin(radians(n_nationkey - 10) / 2), 2))) AS d FROM nation) GROUP BY ALL".replace("n_nationkey - 10", "n_nationkey - s_acctbal / 400").replace("(SELECT n_nationkey, 2", "LATERAL (SELECT n_nationkey, 2"))
 def reverse_geocode(spark, sf):
-    """Nearest record of a gazetteer of fixed size."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 400).alias("lat"))
-    g = table(spark, sf, "nation").select("n_nationkey")
-    d = F.round(media.haversine_km(F.col("lat"), F.lit(0.0), F.col("n_nationkey").cast("double"), F.lit(0.0)), 9)
-    return s.join(F.broadcast(g)).groupBy("id").agg(F.min_by("n_nationkey", F.struct(d, "n_nationkey")).alias("nearest"))
+    """Nearest record of a gazetteer."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 400).alias("lat"), F.lit(0.0).alias("lng"))
+    g = table(spark, sf, "nation").select("n_nationkey", F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"))
+    return geo.nearest(s, g, "id", "n_nationkey").select("id", F.col("n_nationkey").alias("nearest"))
 
 
 # --- uploads and social sources ---
@@ -404,11 +403,11 @@ def link_retry_backoff(spark, sf):
     return out.select("id", "status", "next_retry_at")
 
 
-@query(f"SELECT id, CASE WHEN status = 'processing' AND id % 3 = 0 THEN 'pending' ELSE CASE WHEN status = 'processing' THEN 'failed' ELSE status END END AS status, CASE WHEN status = 'processing' AND id % 3 = 0 THEN 0 ELSE attempts END AS attempts FROM {JOBS_SQL} WHERE id < 5000 UNION ALL SELECT id, 'pending', 0 FROM {JOBS_SQL} WHERE id % 3 = 0 AND id >= 5000")
+@query(f"SELECT id, CASE WHEN status = 'processing' AND id % 3 = 0 THEN 'pending' ELSE CASE WHEN status = 'processing' THEN 'failed' ELSE status END END AS status, CASE WHEN status = 'processing' AND id % 3 = 0 THEN 0 ELSE attempts END AS attempts FROM {JOBS_SQL} WHERE id % 3 <> 0 OR id % 2 = 0 UNION ALL SELECT id, 'pending', 0 FROM {JOBS_SQL} WHERE id % 3 = 0 AND id % 2 <> 0")
 def link_enqueue(spark, sf):
     j = _jobs(spark, sf).select("id", F.when(F.col("status") == "processing", "failed").otherwise(F.col("status")).alias("status"), "attempts")
     new = j.where("id % 3 = 0").select("id", F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
-    return jobs.links_enqueued(j.where("id < 5000"), new, ["id"])
+    return jobs.links_enqueued(j.where("id % 3 <> 0 or id % 2 = 0"), new, ["id"])
 
 
 @query("SELECT event_id, greatest(sum(CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) > 0 AS paused FROM events")
@@ -464,8 +463,8 @@ def _members(spark, sf):
 @query(f"SELECT album_id, asset_id, CASE WHEN album_id = 37 AND asset_id <= 15000 THEN CAST((SELECT count(*) FROM {MEMBERS_SQL} x WHERE x.album_id = 37 AND x.asset_id > m.asset_id) AS INTEGER) ELSE position END AS position FROM {MEMBERS_SQL} m")
 def reorder_positions(spark, sf):
     m = _members(spark, sf)
-    ids = [r.asset_id for r in m.where("album_id = 37").orderBy(F.desc("asset_id")).collect()]
-    return mutations.reordered(m, 37, ids)
+    turned = F.row_number().over(Window.partitionBy("album_id").orderBy(F.desc("asset_id"))) - 1
+    return mutations.positions_set(m, m.where("album_id = 37").select("album_id", "asset_id", turned.alias("position")))
 
 
 @query(f"SELECT * FROM {MEMBERS_SQL} UNION ALL SELECT 37, asset_id, CAST((SELECT count(*) FROM {MEMBERS_SQL} WHERE album_id = 37) + rn - 1 AS INTEGER) FROM (VALUES (900001, 1), (900002, 2)) v(asset_id, rn)")
@@ -526,8 +525,7 @@ def _stream(spark, sf):
 
 
 def _run(spark, stream, mode: str = "append"):
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessera"
-    name = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         return queues.to_table(stream, f"{name}/out", f"{name}/state")
     if mode == "complete":
@@ -543,14 +541,17 @@ def stream_dedup(spark, sf):
     return _run(spark, queues.deduplicated(_stream(spark, sf), ["event_id"]).select("event_id"))
 
 
-@query()
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf):
-    return _run(spark, queues.window_counts(_stream(spark, sf), "1 day", ["event_type"]), "complete")
+    out = _run(spark, queues.window_counts(_stream(spark, sf), "1 day", ["event_type"]), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - last < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+    FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)) GROUP BY user_id, s""")
 def stream_session_counts(spark, sf):
-    return _run(spark, queues.session_counts(_stream(spark, sf), "30 minutes", ["user_id"]), "complete")
+    out = _run(spark, queues.session_counts(_stream(spark, sf), "30 minutes", ["user_id"]), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query(f"SELECT job_id, faces AND clip AS done FROM (SELECT {JOB_ID} AS job_id, bool_or(event_type = 'click') AS faces, bool_or(event_type = 'view') AS clip FROM events GROUP BY 1)")

@@ -101,7 +101,7 @@ def two_view_embedding(spark, sf):
 
 @query()
 def cluster_online(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("user_id", F.col("vec_id") % 5)
+    e = table(spark, sf, "embeddings").withColumn("user_id", F.floor(F.col("vec_id") / 400))
     return vectors.cluster_online(e, "user_id", ["vec_id"], "vec_id", "embedding", match=0.3, diverse=0.5)
 
 
@@ -201,9 +201,9 @@ def people_overview(spark, sf):
     return people.overview(views.persons(spark, sf), views.faces(spark, sf))
 
 
-@query(OVERVIEW + f" AND asset_id IN (SELECT id FROM {LIVE} WHERE user_id < 200) GROUP BY person_id")
+@query(OVERVIEW + f" AND asset_id IN (SELECT id FROM {LIVE}) GROUP BY person_id")
 def people_overview_album(spark, sf):
-    live = views.assets(spark, sf).where("deleted_at is null and user_id < 200")
+    live = views.assets(spark, sf).where("deleted_at is null")
     return people.overview(views.persons(spark, sf), views.faces(spark, sf), live)
 
 
@@ -340,10 +340,21 @@ def fts_match_or_not(spark, sf):
     return search.search(table(spark, sf, "documents"), F.col("text"), "und von OR avec -dans").select("doc_id")
 
 
-@query()
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _rank(fields: dict[str, str], wanted: tuple[str, ...]) -> str:
+    """The rank's SQL: weights of wanted words over the fields, over 1 + the number of words."""
+    hit = " OR ".join(f"w = '{w}'" for w in wanted)
+    score = " + ".join(f"len(list_filter({_words(x)}, lambda w: {hit})) * {search.WEIGHTS[c]}" for c, x in fields.items())
+    return f"({score}) / (1 + {' + '.join(f'len({_words(x)})' for x in fields.values())})"
+
+
+@query(f"SELECT doc_id, rank FROM (SELECT doc_id, round({_rank({'A': 'source', 'C': 'text', 'D': 'lang'}, ('the', 'with', 'src3'))}, 6) AS rank FROM documents) WHERE rank > 0 ORDER BY rank DESC, doc_id LIMIT 100")
 def fts_rank(spark, sf):
     d = table(spark, sf, "documents")
-    score = search.rank({"A": F.substring("text", 1, 200), "C": F.col("text"), "D": F.col("source")}, "the with")
+    score = search.rank({"A": F.col("source"), "C": F.col("text"), "D": F.col("lang")}, "the with src3")
     return d.select("doc_id", F.round(score, 6).alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(100)
 
 
@@ -353,18 +364,27 @@ def tag_autocomplete_trigram(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(score, 6).alias("similarity")).where(score >= 0.7)
 
 
-@query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(t) AS term FROM " + TOKENS + ") GROUP BY term HAVING count(*) >= 100")
+@query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(t) AS term FROM " + TOKENS + ") GROUP BY term")
 def fts_index_terms(spark, sf):
     index = search.inverted_index(table(spark, sf, "documents"), "doc_id", {"A": F.col("text")})
-    return index.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n >= 100")
+    return index.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query(f"SELECT p_partkey AS id, round({_rank({'A': 'p_name', 'B': 'p_brand', 'C': 'p_type', 'D': 'CAST(p_size AS VARCHAR)'}, ('small', 'brand', 'economy', '11'))}, 6) AS rank FROM part")
+def fts_rank_four_classes(spark, sf):
+    """A document of four weighted fields for each part."""
+    fields = {"A": F.col("p_name"), "B": F.col("p_brand"), "C": F.col("p_type"), "D": F.col("p_size").cast("string")}
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(search.rank(fields, "small brand economy 11"), 6).alias("rank"))
+
+
+HYBRID = "at supplier#000000004 the SUPPLIER#000000002 beach"
+
+
+@query(f"""WITH w AS (SELECT word, CAST(row_number() OVER () AS BIGINT) AS i FROM (SELECT unnest(string_split('{HYBRID}', ' ')) AS word)), m AS (SELECT person_id, i FROM {PERSONS_SQL} p JOIN w ON lower(w.word) = lower(p.name) WHERE trim(name) <> '' AND NOT is_hidden ORDER BY person_id, i LIMIT 1)
+    SELECT DISTINCT asset_id, (SELECT string_agg(word, ' ' ORDER BY i) FROM w WHERE i <> (SELECT i FROM m)) AS rest FROM {FACES_SQL} WHERE person_id = (SELECT person_id FROM m)""")
 def search_hybrid_names(spark, sf):
-    named = [(r.person_id, r.name) for r in people.directory(views.persons(spark, sf)).orderBy("person_id").limit(1000).collect()]
-    who, rest = search.named_persons(f"{named[0][1]} on the beach", named)
-    hits = views.faces(spark, sf).where(F.col("person_id") == F.lit(who)).select("asset_id").distinct()
-    return hits.withColumn("rest", F.lit(rest))
+    who = search.persons_named(spark, HYBRID, people.directory(views.persons(spark, sf)))
+    return views.faces(spark, sf).join(who, "person_id").select("asset_id", "rest").distinct()
 
 
 # --- boxes ---
@@ -385,7 +405,15 @@ def iou_pairs(spark, sf):
     return detect.iou_pairs(_boxes(spark, sf), "image", "box", 0.2).select("image", "a", "b", F.round("iou", 6).alias("iou"))
 
 
-@query()
+NMS = f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, box) AS k FROM {BOXES}),
+r AS (SELECT image, 1 AS k, [struct_pack(box := box, score := score, x := x, y := y, w := w, h := h)] AS kept FROM b WHERE k = 1 UNION ALL
+  SELECT r.image, r.k + 1, CASE WHEN len(list_filter(r.kept, lambda p: greatest(0, least(p.x + p.w, b.x + b.w) - greatest(p.x, b.x)) * greatest(0, least(p.y + p.h, b.y + b.h) - greatest(p.y, b.y))
+    / (p.w * p.h + b.w * b.h - greatest(0, least(p.x + p.w, b.x + b.w) - greatest(p.x, b.x)) * greatest(0, least(p.y + p.h, b.y + b.h) - greatest(p.y, b.y))) > 0.35)) > 0 THEN r.kept
+    ELSE list_append(r.kept, struct_pack(box := b.box, score := b.score, x := b.x, y := b.y, w := b.w, h := b.h)) END FROM r JOIN b ON b.image = r.image AND b.k = r.k + 1)
+SELECT image, p.box AS box, p.score AS score, p.x AS x, p.y AS y, p.w AS w, CAST(p.h AS DOUBLE) AS h FROM (SELECT image, unnest(kept) AS p FROM (SELECT image, arg_max(kept, k) AS kept FROM r GROUP BY image))"""
+
+
+@query(NMS)
 def nms_boxes(spark, sf):
     return detect.nms(_boxes(spark, sf), "image", "box", 0.35)
 

@@ -44,7 +44,7 @@ def assets_sql(undated: bool = False) -> str:
 def folders(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as files in a tree of region, nation and segment."""
     c, n, r = (table(spark, sf, x) for x in ("customer", "nation", "region"))
-    j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return j.select(
         F.col("c_custkey").alias("id"), F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("folder_path"), F.col("c_name").alias("thumb_path"), F.col("c_acctbal").alias("score")
     )

@@ -27,6 +27,20 @@ def session(app: str = "tessera", master: str | None = None, **conf: object) ->
     return builder.getOrCreate()
 
 
+#: Where a local session stages tables if spark.checkpoint.dir is unset: driver and executors are one process there.
+LOCAL_DIR = "/tmp/checkpoints/tessera"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one for a local session; elsewhere that is an error."""
+    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not at and master.startswith("local") and not master.startswith("local-cluster"):
+        at = f"file://{LOCAL_DIR}"
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, lazily; column pruning and filters reach its parquet scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
