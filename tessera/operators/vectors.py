@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +44,33 @@ def moved_centroid(centroid: Column, n: Column, v: Column) -> Column:
     return normalized(F.zip_with(doubles(centroid), doubles(v), lambda c, x: c * n + x))
 
 
+def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that have size elements, and these as a matrix, without a Python object for each."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False))
+    rows = np.flatnonzero(lengths == size)
+    flat = pc.fill_null(column.take(pa.array(rows)).flatten(), float("nan")) if len(rows) else pa.array([], pa.float64())
+    return rows, flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size)
+
+
 def similar_to(vectors: DataFrame, query: Sequence[float], id_: str, vector: str, least: float, limit: int, exclude: object = None) -> DataFrame:
     """The most similar vectors to a query vector above a threshold: id, similarity.
 
-    The scan multiplies whole Arrow batches with the query; only matching ids and similarities leave it, and
-    the top-k is taken in each partition first.
+    The scan multiplies whole Arrow batches with the query, read as one array; only matching ids and similarities
+    leave it, and the top-k is taken in each partition first. Vectors of another length match nothing.
     """
     q = np.asarray(query, float)
     q = q / max(np.linalg.norm(q), 1e-12)
 
-    @F.pandas_udf("double")
-    def similarity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = np.zeros(len(s))
-            ok = np.array([v is not None and len(v) == len(q) for v in s], bool)
-            if ok.any():
-                m = np.stack([np.asarray(v, float) for v in s[ok]])
-                out[ok] = (m @ q) / np.maximum(np.linalg.norm(m, axis=1), 1e-12)
-            yield pd.Series(out)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, m = _matrix(batch.column(1), len(q))
+            s = (m @ q) / np.maximum(np.linalg.norm(m, axis=1), 1e-12)
+            hit = s >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[hit])), pa.array(s[hit])], ["_i", "similarity"])
 
     rows = vectors if exclude is None else vectors.where(F.col(id_) != F.lit(exclude))
-    scored = rows.where(F.col(vector).isNotNull()).select(id_, similarity(vector).alias("similarity")).where(F.col("similarity") >= least)
+    kind = vectors.schema[id_].dataType.simpleString()
+    scored = rows.where(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(scan, f"_i {kind}, similarity double").withColumnRenamed("_i", id_)
     return scored.orderBy(F.desc("similarity"), id_).limit(limit)
 
 
@@ -75,10 +83,33 @@ def similar_to_id(vectors: DataFrame, target: object, id_: str, vector: str, lea
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Mean vector of each group, element by element with partial sums: keys, n, mean."""
-    flat = df.select(*keys, F.posexplode(doubles(F.col(vector))).alias("pos", "x"))
-    parts = flat.groupBy(*keys, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    return parts.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))
+    """Mean vector of each group: keys, n, mean. Vectors of a group have one length; null ones don't count.
+
+    Each batch is summed up by group as a matrix first, so what is shuffled is a sum for each group and batch.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select(list(range(len(keys))))
+            groups = own.to_pandas().groupby(own.schema.names, dropna=False, sort=False).ngroup().to_numpy()
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch.column(len(keys))), -1).to_numpy(zero_copy_only=False))
+            for size in np.unique(lengths[lengths >= 0]).tolist():
+                rows, m = _matrix(batch.column(len(keys)), size)
+                found, first, at = np.unique(groups[rows], return_index=True, return_inverse=True)
+                total = np.zeros((len(found), size))
+                np.add.at(total, at, m)
+                cols = [own.column(k).take(pa.array(rows[first])) for k in range(len(keys))]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * size, pa.int32()), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([*cols, flat, pa.array(np.bincount(at, minlength=len(found)), pa.int64())], [*own.schema.names, "_sum", "_n"])
+
+    held = [f"_k{i}" for i in range(len(keys))]
+    fields = ", ".join([f"{h} {df.schema[k].dataType.simpleString()}" for h, k in zip(held, keys, strict=True)] + ["_sum array<double>, _n long"])
+    given = df.select(*[F.col(k).alias(h) for k, h in zip(keys, held, strict=True)], F.col(vector).alias("_v"))
+    parts = given.mapInArrow(sums, fields).select(*held, "_n", F.posexplode("_sum").alias("_pos", "_x"))
+    parts = parts.groupBy(*held, "_pos").agg((F.sum("_x") / F.sum("_n")).alias("_x"), F.sum("_n").alias("_n"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda p: p["_x"])
+    out = parts.groupBy(*held).agg(F.max("_n").alias("n"), mean.alias("mean"))
+    return out.select(*[F.col(h).alias(k) for h, k in zip(held, keys, strict=True)], "n", "mean")
 
 
 def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import changes, crawl, feed, ingest, library
+from tessera.plans import changes, crawl, feed, ingest, library, scalars
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (feed, library, ingest, crawl, changes):
+for _plans in (feed, library, ingest, crawl, changes, scalars):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
