@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where a local session stages tables if spark.checkpoint.dir is unset: driver and executors are one process there.
-LOCAL_DIR = "/tmp/checkpoints/tessera"
+from tessera.session import shared_dir
+
 #: A row without doc_id counts as a document whose id is above all others.
 NO_ID = 2**63 - 1
 #: Bytes of text that a task turns into arrays at once.
@@ -20,16 +20,6 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROOT = 0x9E3779B97F4A7C15 | 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one for a local session; elsewhere that is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        at = f"file://{LOCAL_DIR}"
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at.rstrip("/")
-
-
 _staged: list[str] = []
 
 

@@ -134,24 +134,28 @@ def matches(items: Items, text: bytes, grams: np.ndarray, hits: np.ndarray, leas
     return [(item, start, words, distance, -s) for item, (s, start, words, distance) in sorted(best.items())]
 
 
+def _found(items: Items, texts: list[bytes | None], least: float) -> Iterator[tuple[int, tuple[int, int, int, int, float]]]:
+    """The text's number and a match, for all of a batch."""
+    for i, j in chunks(texts):
+        buf, offsets = joined(texts[i:j])
+        starts, grams = shingles(buf)
+        edges = np.searchsorted(starts, offsets)
+        at = np.minimum(np.searchsorted(items.grams, grams), max(0, len(items.grams) - 1))
+        hit = np.flatnonzero(items.grams[at] == grams) if len(items.grams) else np.zeros(0, np.int64)
+        doc = np.searchsorted(edges, hit, "right") - 1
+        hit, doc = hit[hit + SHINGLE <= edges[doc + 1]], doc[hit + SHINGLE <= edges[doc + 1]]
+        for d in np.unique(doc).tolist():
+            own = grams[edges[d] : edges[d + 1] - SHINGLE + 1]
+            for m in matches(items, texts[i + d], own, hit[doc == d] - edges[d], least):
+                yield i + d, m
+
+
 def _scan(sent, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(sent.value)
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            texts = texts_of(batch, "_text")
-            for i, j in chunks(texts):
-                buf, offsets = joined(texts[i:j])
-                starts, grams = shingles(buf)
-                edges = np.searchsorted(starts, offsets)
-                at = np.minimum(np.searchsorted(items.grams, grams), max(0, len(items.grams) - 1))
-                hit = np.flatnonzero(items.grams[at] == grams) if len(items.grams) else np.zeros(0, np.int64)
-                doc = np.searchsorted(edges, hit, "right") - 1
-                hit, doc = hit[hit + SHINGLE <= edges[doc + 1]], doc[hit + SHINGLE <= edges[doc + 1]]
-                for d in np.unique(doc).tolist():
-                    own = grams[edges[d] : edges[d + 1] - SHINGLE + 1]
-                    for m in matches(items, texts[i + d], own, hit[doc == d] - edges[d], least):
-                        out.append((ids[i + d], *m))
+            ids = batch.column(0).to_pylist()
+            out = [(ids[d], *m) for d, m in _found(items, texts_of(batch, "_text"), least)]
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 5 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
@@ -159,6 +163,28 @@ def _scan(sent, least: float):
     return run
 
 
+def _clean(sent, least: float):
+    """The rows of a batch whose _text holds no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(sent.value)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[d for d, _ in _found(items, texts_of(batch, "_text"), least)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _sent(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """Broadcasts of the benchmark's items in parts of about ITEM_BYTES."""
+    items = benchmark.select(F.col(quoted(item_col)).cast("long").alias("i"), F.col(quoted(item_text)).cast("string").alias("t")).where("i is not null and t is not null")
+    parts = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEM_BYTES
+    for p in range(parts):
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.i, r.t.encode()) for r in own.toLocalIterator()])
+
+
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.8
 ) -> DataFrame:
@@ -169,23 +195,21 @@ def benchmark_matches(
     of that similarity, for its best and then first window; a document shorter than the item is one window. Ids may be null or repeat. Null texts and empty
     tables match nothing. The benchmark is sent to all tasks in parts of ITEM_BYTES at most.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(quoted(item_col)).cast("long").alias("i"), F.col(quoted(item_text)).cast("string").alias("t")).where("i is not null and t is not null")
-    parts = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEM_BYTES
     base = docs.select(id_key(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
     found = None
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
-        sent = spark.sparkContext.broadcast([(r.i, r.t.encode()) for r in own.toLocalIterator()])
+    for sent in _sent(benchmark, item_col, item_text):
         one = base.mapInArrow(_scan(sent, least), "_id long, item_id long, start_word long, n_words long, hamming long, similarity double")
         found = one if found is None else found.unionByName(one)
     return found.select(given("_id").alias("doc_id"), "item_id", "start_word", "n_words", "hamming", "similarity")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, with their columns."""
-    text = F.col(quoted(text_col)).cast("string")
-    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), F.xxhash64(F.col(quoted(id_col)), text).alias("_key"))
-    keys = docs.select(F.xxhash64(F.col(quoted(id_col)), text).alias("_key"), text.alias("_t"))
-    held = benchmark_matches(keys, benchmark, "_key", "_t", least=least).select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(held, "_key", "left_anti").select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.8
+) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, with their columns. Each row is judged by itself, so nothing is shuffled; ids aren't used."""
+    held = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(quoted(c)).alias(h) for c, h in zip(docs.columns, held, strict=True)], F.col(quoted(text_col)).cast("string").alias("_text"))
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    for sent in _sent(benchmark, item_col, item_text):
+        rows = rows.mapInArrow(_clean(sent, least), fields)
+    return rows.select(*[F.col(h).alias(c) for c, h in zip(docs.columns, held, strict=True)])

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm import common, decontaminate, graph, licenses, line_dedup, minhash, mixing, passages, phrase_dedup, quality, secrets, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
@@ -807,7 +808,7 @@ def test_staging_without_a_folder_of_the_cluster():
         sparkContext = Context()
         conf = {}
 
-    assert common.shared_dir(Session()) == "file://" + common.LOCAL_DIR
+    assert common.shared_dir(Session()) == "file://" + session.LOCAL_DIR
     for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
         Context.master = master
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
@@ -838,3 +839,71 @@ def test_pipeline(spark):
         ids[name] = {r.doc_id for r in docs.select("doc_id").collect()}
     assert ids["quality"] == ids["lines"] >= ids["near_dedup"] >= ids["decontamination"] >= ids["mixing"]
     assert p.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage's rows, texts included, from the rows of the one before."""
+    import corpus_pipeline as p
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: (r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table.select("doc_id", "text", "lang", "source", "n_chars").collect()}
+    items = [shingle_counts(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    stages, docs = dict(p.STAGES), table
+
+    def check(name, want):
+        nonlocal docs
+        docs = p.stage(stages[name](spark, docs, SF), name)
+        got = {r.doc_id: (r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()}
+        assert len(got) == docs.count() and got == want
+        return want
+
+    good = {r.doc_id for r in quality.judge(table).where("kept").collect()}
+    for i, r in rows.items():
+        words, _, _, _, repeats = brute_quality(r[1])
+        assert i not in good or (words >= 50 and 100 * repeats <= 50 * words)
+    rows = check("quality", {i: rows[i] for i in good})
+    left = brute_lines(list(rows.values()))
+    rows = check("lines", {i: (i, left[i][2], r[2], r[3], len(left[i][2])) for i, r in rows.items()})
+    groups = brute_components(list(rows.values()), 80)
+    rows = check("near_dedup", {i: r for i, r in rows.items() if groups[i][1] == i})
+    rows = check("decontamination", {i: r for i, r in rows.items() if not holds_item(r[1], items)})
+    mixed = Counter(r.doc_id for r in stages["mixing"](spark, docs, SF).collect())
+    sizes, taken, n, copies = Counter(), Counter(), Counter(), Counter()
+    for i, r in rows.items():
+        size = len((r[1] or "").split())
+        sizes[r[3]] += size
+        n[r[3]] += 1
+        copies[r[3]] += mixed[i]
+        assert mixed[i] <= 2
+    targets = brute_targets(dict(sizes))
+    assert set(mixed) <= set(rows) and all(abs(copies[s] - n[s] * targets[s] / sizes[s]) <= 1 for s in sizes if sizes[s])
+
+
+def shingle_counts(text):
+    w = plain(text)
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def holds_item(text, items):
+    """Whether a window of the length of one of the items, or the whole text if shorter, has 0.8 of its weighted shingles."""
+    s = shingle_counts(text)
+    for g in items:
+        own = set(g)
+        if not g or sum(x in own for x in s) * 2 < len(g):
+            continue
+        for at in range(max(0, len(s) - len(g)) + 1):
+            a, b = Counter(g), Counter(s[at : at + len(g)])
+            if (a & b).total() >= 0.8 * (a | b).total():
+                return True
+    return False
+
+
+def test_decontamination_of_very_long_texts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(3000)]
+    item = " ".join(rng.choices(words, k=40))
+    long = " ".join(rng.choices(words, k=200_000))
+    df = spark.createDataFrame([(1, long + " " + item + " " + long), (2, long), (3, item), (4, (item + " ") * 500)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.start_word) for r in decontaminate.benchmark_matches(df, bench).collect()} == {(1, 200_000), (3, 0), (4, 0)}
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {2}
