@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, minhash, mixing, quality
-from tessera.llm.common import stage
+from tessera.llm.common import settled, stage  # noqa: F401  (stage writes results where stages are run one by one)
 from tessera.session import table
 
 
@@ -52,13 +52,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result staged in the shared folder."""
+    """All stages over documents, each result but the last staged in the shared folder; what a stage staged on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    *first, (_, last) = STAGES
+    for name, apply in first:
+        docs = settled(spark, lambda apply=apply, docs=docs: apply(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
 
 
 #: Weak supervision and MinHash aren't expressible in SQL; tests hold the stages against brute force.
