@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,9 +49,16 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> D
     out = stage(make(), label)
     _delete(spark, _staged[before:-1])
     del _staged[before:-1]
+    released(spark)
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does so when their handles are collected on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete what this process has staged; returns how many tables that were."""
     n = len(_staged)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, CHUNK, chunks, column, id_key, joined, quoted, range_hash, stage, texts_of, word_hashes, word_spans
+from tessera.llm.common import _BYTE, CHUNK, chunks, column, id_key, joined, quoted, range_hash, released, stage, texts_of, word_hashes, word_spans
 
 #: Distinct fragments of one anchor that a task takes as a group; those of larger groups are split by content.
 HOT = 200
@@ -278,6 +278,7 @@ class Repeats:
         distinct = self.again.groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
         self.base, self.unit = base, unit
         self.parts = stage(self.fetched(distinct.select("_from.*", "_anchor", "_f", "_n"), _fetch(unit), FRAGMENT), "fragments")
+        released(base.sparkSession)
 
     def fetched(self, places: DataFrame, fetch: Callable, fields: str) -> DataFrame:
         """fetch over the documents of places (_id, _th, and others that come as structs in _asked), each document read once."""

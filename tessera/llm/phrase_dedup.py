@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, others, quoted, settled, stage, texts_of
+from tessera.llm.common import column, others, quoted, released, settled, stage, texts_of
 from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged, place, row_tuples, rows_batch
 
 #: Words of the passages compiled into one automaton, about: it takes some 60 bytes for each.
@@ -133,6 +133,7 @@ def located(repeats: Repeats, window: int) -> DataFrame:
     shard = lambda a: F.pmod(F.xxhash64(a), F.lit(shards)).alias("_shard")
     size = F.shiftright("_at", 10).bitwiseAND(F.lit(1023)) - 1 + F.lit(window)
     places = repeats.again.join(stage(passages.select("_anchor").distinct(), "found"), "_anchor", "left_semi")
+    released(passages.sparkSession)
     load = stage(places.groupBy(shard("_anchor")).agg(F.ceil(F.sum(size) / STREAM_WORDS).cast("int").alias("_salts")), "shards")
     none = F.lit(0).cast("long")
     known = passages.select(shard("_anchor"), "_bytes").join(load, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
