@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,57 @@ def rank(fields: dict[str, Column], query: str) -> Column:
     return score / (1 + size)
 
 
+def covers(places: list[tuple[int, str, float]], ways: list[frozenset[str]]) -> list[tuple[int, int]]:
+    """The shortest stretches of places, from the first to the last, that hold all words of one of the ways; places are (position, word, weight) in order."""
+    held = lambda words: any(way <= words for way in ways)
+    out, begin = [], 0
+    while True:
+        seen: set[str] = set()
+        end = next((i for i in range(begin, len(places)) if seen.add(places[i][1]) or held(seen)), None)
+        if end is None:
+            return out
+        seen = set()
+        first = next(i for i in range(end, begin - 1, -1) if seen.add(places[i][1]) or held(seen))
+        out.append((first, end))
+        begin = first + 1
+
+
+def density(places: list[tuple[int, str, float]], ways: list[frozenset[str]]) -> float:
+    """The sum over covers of their mean weight (harmonic), over 1 + the number of other words in them."""
+    total = 0.0
+    for first, end in covers(places, ways):
+        n = end - first + 1
+        noise = places[end][0] - places[first][0] - (end - first)
+        total += n / sum(1 / w for _, _, w in places[first : end + 1]) / (1 + max(noise, 0))
+    return total
+
+
+def cover_density(docs: DataFrame, id_: str, fields: dict[str, Column], query: str) -> DataFrame:
+    """Documents that match a query, with their cover density: id, rank.
+
+    The words of all fields stand one after the other, with the weight of their class. A phrase counts as its
+    words. Words are found, and matches told apart, by expressions; what goes to Python are the places of the
+    query's words in documents that match.
+    """
+    asked = parse(query)
+    ways = [frozenset(t for sign, terms in way if sign for t in terms) for way in asked.ways]
+    ways = [w for w in ways if w]
+    wanted = sorted(frozenset().union(*ways))
+
+    def weighted(weight: str, field: Column) -> Column:
+        return F.transform(words(F.coalesce(field, F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(WEIGHTS[weight]).alias("k")))
+
+    own = F.concat(*[weighted(k, c) for k, c in fields.items()])
+    rows = docs.select(F.col(id_), own.alias("_t")).where(matches(F.transform("_t", lambda x: x["w"]), asked))
+    at = F.filter(F.transform("_t", lambda x, i: F.struct(i.alias("i"), x["w"].alias("w"), x["k"].alias("k"))), lambda x: x["w"].isin(*wanted))
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([density([(x["i"], x["w"], x["k"]) for x in own], ways) for own in s], dtype=float)
+
+    return rows.select(id_, at.alias("_p")).select(id_, F.pandas_udf(score, "double")("_p").alias("rank"))
+
+
 def inverted_index(docs: DataFrame, id_: str, fields: dict[str, Column]) -> DataFrame:
     """Term rows: term, id, weight, position; write it bucketed by term for repeated searches."""
     parts = [docs.select(id_, F.lit(w).alias("weight"), F.posexplode(words(F.coalesce(c, F.lit("")))).alias("position", "term")) for w, c in fields.items()]

@@ -377,6 +377,13 @@ def fts_rank_four_classes(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(search.rank(fields, "small brand economy 11"), 6).alias("rank"))
 
 
+@query()
+def fts_cover_density(spark, sf):
+    """All matches with their rank by cover density; a page is the first rows by falling rank and id."""
+    d = table(spark, sf, "documents")
+    return search.cover_density(d, "doc_id", {"A": F.col("source"), "C": F.col("text"), "D": F.col("lang")}, "the with OR und von").withColumn("rank", F.round("rank", 6))
+
+
 HYBRID = "at supplier#000000004 the SUPPLIER#000000002 beach"
 
 
