@@ -275,3 +275,61 @@ def cluster_video(spark, sf):
     e = table(spark, sf, "embeddings")
     faces = e.select(F.floor(F.col("vec_id") / 20).alias("clip"), F.floor(F.col("vec_id") % 20 / 2).alias("frame"), "vec_id", "embedding", (F.col("vec_id") * 7919 % 1000 / 1000).alias("score"))
     return vectors.cluster_clips(faces, vectors.centroids(e, "label", "embedding"), "clip", "frame", "vec_id", "embedding", "label", seen=0.4, match=0.3)
+
+
+# --- upserts of scraped posts, jobs, ledgers and users ---
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'new ' || role ELSE 'old' END AS caption, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 <> 0 THEN 'fresh' ELSE 'kept' END AS first_seen FROM conversations WHERE turn = 0 AND (conv_id % 2 = 0 OR conv_id % 3 = 0)""")
+def scraped_posts_upserted(spark, sf):
+    """Posts scraped again get a new caption; when they were first seen stays; unknown ones come in."""
+    c = table(spark, sf, "conversations").where("turn = 0")
+    old = c.where("conv_id % 2 = 0").select("conv_id", F.lit("old").alias("caption"), F.lit("kept").alias("first_seen"))
+    new = c.where("conv_id % 3 = 0").select("conv_id", F.concat(F.lit("new "), "role").alias("caption"), F.lit("fresh").alias("first_seen"))
+    return mutations.upserted(old, new, ["conv_id"], {"caption": F.col("n.caption")})
+
+
+@query("SELECT url, min(CASE WHEN page_id % 2 = 0 THEN 'old' ELSE 'new' END) AS found FROM (SELECT page_id % 40 AS k, 'https://x.org/' || (page_id % 40) AS url, page_id FROM pages) GROUP BY url".replace("min(CASE WHEN page_id % 2 = 0 THEN 'old' ELSE 'new' END)", "CASE WHEN bool_or(page_id % 2 = 0) THEN 'old' ELSE 'new' END"))
+def discovered_links_kept(spark, sf):
+    """Links found again stay as they are."""
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://x.org/"), F.col("page_id") % 40).alias("url"))
+    old = p.where("page_id % 2 = 0").select("url", F.lit("old").alias("found")).distinct()
+    return mutations.inserted(old, p.where("page_id % 2 <> 0").select("url", F.lit("new").alias("found")), ["url"])
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'new/' || user_id ELSE 'old' END AS disk_path, CASE WHEN event_id % 3 = 0 THEN props ELSE '{}' END AS payload, CASE WHEN event_id % 3 = 0 THEN 'pending' ELSE 'failed' END AS status,
+    CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS attempts FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
+def jobs_enqueued_again(spark, sf):
+    """A job that is enqueued again gets path, payload and status; its attempts stay."""
+    e = table(spark, sf, "events")
+    old = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("old").alias("disk_path"), F.lit("{}").alias("payload"), F.lit("failed").alias("status"), F.lit(2).alias("attempts"))
+    new = e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.concat(F.lit("new/"), "user_id").alias("disk_path"), F.col("props").alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
+    return mutations.upserted(old, new, ["id"], {c: F.col(f"n.{c}") for c in ("disk_path", "payload", "status")})
+
+
+@query("SELECT doc_id AS asset_id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'old' END AS synced_sha256, CASE WHEN doc_id % 3 = 0 THEN 'r/' || lang ELSE 'r/old' END AS remote_path FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id % 7 <> 0")
+def ledger_synced(spark, sf):
+    """The mirror's ledger after files were synced and others were deleted there."""
+    d = table(spark, sf, "documents")
+    old = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("asset_id"), F.lit("old").alias("synced_sha256"), F.lit("r/old").alias("remote_path"))
+    new = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("asset_id"), F.md5("text").alias("synced_sha256"), F.concat(F.lit("r/"), "lang").alias("remote_path"))
+    gone = d.where("doc_id % 7 = 0").select(F.col("doc_id").alias("asset_id"))
+    return mutations.upserted(old, new, ["asset_id"]).join(gone, "asset_id", "left_anti")
+
+
+@query("SELECT c_custkey AS id, c_name AS username FROM customer UNION ALL SELECT 1000000 + s_suppkey, s_name FROM supplier WHERE lower(replace(s_name, 'Supplier', 'Customer')) NOT IN (SELECT lower(c_name) FROM customer) OR s_suppkey % 2 = 0")
+def users_created(spark, sf):
+    """New users come in unless their name is taken, whatever its case."""
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.upper(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))))
+    new = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), name.alias("username"), F.lower(name).alias("_name"))
+    return mutations.inserted(old.withColumn("_name", F.lower("username")), new, ["_name"]).select("id", "username")
+
+
+@query("SELECT l_orderkey AS asset_id, count(*) AS n, count(*) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0)) AS with_person FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) GROUP BY 1")
+def deletes_cascaded(spark, sf):
+    """Rows of deleted assets go, references to deleted persons become null."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.col("l_suppkey").alias("person_id"))
+    assets = table(spark, sf, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("asset_id"))
+    kept = mutations.valid_references(lines.join(assets, "asset_id", "left_semi"), "person_id", table(spark, sf, "supplier").where("s_suppkey % 4 <> 0"), "s_suppkey")
+    return kept.groupBy("asset_id").agg(F.count("*").alias("n"), F.count("person_id").alias("with_person"))
