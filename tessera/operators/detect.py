@@ -75,31 +75,55 @@ def decoded_anchors(tensors: DataFrame, image: str, stride: int, grid: int, leas
     return out.select(image, "cell", "score", *box)
 
 
-def decoded_poses(tensors: DataFrame, image: str, least: float, min_side: float = 8.0, most: float = 0.45) -> DataFrame:
-    """Poses of a detector's output: image, pose, score, x, y, w, h, keypoints (17 of x, y, score), after suppression.
+def pose_rows(values: np.ndarray, shape: tuple[int, int] | None) -> tuple[np.ndarray, float]:
+    """A detector's output as rows of corners, score and 17 keypoints, and the least side of a box in its layout.
 
-    tensors: image, values (flat array of rows of 56: centre, size, score, 17 keypoints), scale, pad_x, pad_y,
-    img_w, img_h. Rows are decoded as matrices, one image at a time.
+    Four layouts, told by the shape: up to 300 finished boxes of 56 numbers (corners, score, keypoints) or 57 (with a
+    class after the score); or any number of centres with sizes, as rows or as columns. Without a shape: centres as
+    rows of 56.
+    """
+    rows, cols = shape or (len(values) // 56, 56)
+    m = np.asarray(values, float)[: rows * cols].reshape(rows, cols)
+    if shape and rows <= 300 and cols in (56, 57):
+        return (np.delete(m, 5, 1) if cols == 57 else m), 0.0
+    m = (m.T if rows < cols and shape else m)[:, :56].copy()
+    centre, half = m[:, :2].copy(), m[:, 2:4] / 2
+    m[:, :2], m[:, 2:4] = centre - half, centre + half
+    return m, 8.0
+
+
+def decoded_poses(tensors: DataFrame, image: str, least: float, most: float = 0.45, again: float | None = None) -> DataFrame:
+    """Poses of a detector's output: image, pose, score, x, y, w, h, keypoints (17 of x, y, score), after suppression at most, and once more at again.
+
+    tensors: image, values (flat array), scale, pad_x, pad_y, img_w, img_h, and shape (rows, columns) where the layout
+    isn't centres as rows; see pose_rows. Positions are shares of the image, within it. One image is decoded at a time,
+    as a matrix; empty images and scales give none.
     """
     schema = f"{image} {tensors.schema[image].dataType.simpleString()}, pose long, score double, x double, y double, w double, h double, keypoints array<struct<x:double,y:double,score:double>>"
+    shaped = "shape" in tensors.columns
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                m = np.asarray(r.values, float).reshape(-1, 56)
-                ok = (m[:, 4] >= least) & (m[:, 2] / r.scale >= min_side) & (m[:, 3] / r.scale >= min_side)
-                for i in np.flatnonzero(ok):
-                    row = m[i]
-                    to_x, to_y = (lambda v: (v - r.pad_x) / r.scale / r.img_w), (lambda v: (v - r.pad_y) / r.scale / r.img_h)  # noqa: B023
-                    w, h = row[2] / r.scale / r.img_w, row[3] / r.scale / r.img_h
-                    points = [{"x": to_x(a), "y": to_y(b), "score": c} for a, b, c in row[5:].reshape(17, 3)]
-                    out.append((getattr(r, image), int(i), row[4], to_x(row[0]) - w / 2, to_y(row[1]) - h / 2, w, h, points))
+                if min(r.img_w, r.img_h, r.scale) <= 0:
+                    continue
+                m, side = pose_rows(r.values, tuple(r.shape) if shaped else None)
+                size = np.array([r.img_w, r.img_h], float)
+                pad = np.array([r.pad_x, r.pad_y], float)
+                low, high = (np.clip((m[:, i : i + 2] - pad) / r.scale, 0, size) for i in (0, 2))
+                box = np.maximum(high - low, 0)
+                points = m[:, 5:56].reshape(len(m), 17, 3)
+                spots = np.clip((points[..., :2] - pad) / r.scale / size, 0, 1)
+                for i in np.flatnonzero((m[:, 4] >= least) & (box >= side).all(1)).tolist():
+                    keys = [{"x": x, "y": y, "score": c} for (x, y), c in zip(spots[i].tolist(), points[i, :, 2].tolist(), strict=True)]
+                    out.append((getattr(r, image), i, m[i, 4], *(low[i] / size), *(box[i] / size), keys))
             yield pd.DataFrame(out, columns=[image, "pose", "score", "x", "y", "w", "h", "keypoints"])
 
     found = tensors.mapInPandas(run, schema)
-    kept = nms(found, image, "pose", most).select(image, "pose")
-    return found.join(kept, [image, "pose"])
+    kept = nms(found, image, "pose", most)
+    kept = kept if again is None else nms(kept, image, "pose", again)
+    return found.join(kept.select(image, "pose"), [image, "pose"])
 
 
 def similarity_transform(points: DataFrame, keys: list[str]) -> DataFrame:
