@@ -12,7 +12,8 @@ from tessera.functions.urls import contains_any
 # Marks of URLs and types that are no media.
 SEGMENT_ENDS = (".ts", ".m4s", ".aac", ".svg")
 SEGMENT_PARTS = ("/segment_", "/segment-", "/frag_", "/fragment-", "-seg-", "/range/")
-ADS = ("doubleclick.net", "googlesyndication.com", "adnxs.com", "/pagead/", "trafficjunky", "exoclick", "scorecardresearch.com", "image/svg+xml")
+ADS = ("doubleclick.net", "googlesyndication.com", "adnxs.com", "/pagead/", "trafficjunky", "exoclick", "scorecardresearch.com")
+TYPES_IN_URLS = ("image/svg+xml",)
 CODE_ENDS = (".js", ".css")
 CODE_PARTS = (".js?", ".css?", ".webmanifest", ".json")
 CHROME = (
@@ -36,7 +37,7 @@ def is_junk(url: Column, mime: Column, media_type: Column) -> Column:
     web = F.lower(F.btrim(url)).rlike("^https?://")
     bad = kind.startswith("text/") | contains_any(kind, BAD_MIMES) | ((kind == "application/octet-stream") & (media_type == "image"))
     good = kind.startswith("image/") | kind.startswith("video/") | kind.startswith("audio/") | kind.isin(*PLAYLIST_MIMES)
-    segment = _ends(path, SEGMENT_ENDS) | contains_any(path, SEGMENT_PARTS) | contains_any(low, ADS)
+    segment = _ends(path, SEGMENT_ENDS) | contains_any(path, SEGMENT_PARTS) | contains_any(low, ADS + TYPES_IN_URLS)
     return ~web | bad | ~good | segment | _ends(low, CODE_ENDS) | contains_any(low, CODE_PARTS) | contains_any(low, CHROME)
 
 

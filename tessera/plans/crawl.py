@@ -161,7 +161,7 @@ BAD = "starts_with(lower(mime_type), 'text/') OR " + " OR ".join(f"contains(lowe
 GOOD = "regexp_matches(lower(mime_type), '^(image|video|audio)/') OR lower(mime_type) IN (" + ", ".join(map(quote, items.PLAYLIST_MIMES)) + ")"
 BARE = "split_part(lower(url), '?', 1)"
 JUNK = f"""(NOT regexp_matches(lower(trim(url)), '^https?://') OR {BAD} OR NOT ({GOOD}) OR {' OR '.join(f'ends_with({BARE}, {quote(x)})' for x in items.SEGMENT_ENDS)} OR {' OR '.join(f'contains({BARE}, {quote(x)})' for x in items.SEGMENT_PARTS)}
-    OR {' OR '.join(f'contains(lower(url), {quote(x)})' for x in items.ADS + items.CODE_PARTS + items.CHROME)} OR {' OR '.join(f'ends_with(lower(url), {quote(x)})' for x in items.CODE_ENDS)})"""
+    OR {' OR '.join(f'contains(lower(url), {quote(x)})' for x in items.ADS + items.TYPES_IN_URLS + items.CODE_PARTS + items.CHROME)} OR {' OR '.join(f'ends_with(lower(url), {quote(x)})' for x in items.CODE_ENDS)})"""
 
 
 @query(f"SELECT page_id, url, media_type, {JUNK} AS junk FROM {ITEMS}")
