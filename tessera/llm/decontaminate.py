@@ -7,6 +7,10 @@ Of the others a 64-bit SimHash is made from the window's shingles. An index over
 eight blocks of the items' fingerprints finds every item within the radius: of blocks that differ in RADIUS bits
 together, one differs in RADIUS // 8 at most. What it finds is verified by the exact weighted Jaccard similarity
 of the shingles, the weight of a shingle being how often it occurs.
+
+The benchmark is broadcast if it is small. The items of a larger one are joined to documents by the shingles that
+are rare among items: of an item's n, ordered from the rarest, one of the first n - ceil(n * threshold) + 1 is in any
+document that holds the item. Each document then meets these items only, in the same way.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, given, id_key, joined, mix64, quoted, range_hash, texts_of, word_hashes
+from tessera.llm.common import chunks, column, given, id_key, joined, mix64, quoted, range_hash, stage, texts_of, word_hashes
 
 SHINGLE = 5
 #: Hamming distance of 64-bit fingerprints: at a similarity of 0.8 it is 10 on average, with a deviation of 3.
 RADIUS = 23
 BLOCKS = 8
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes a pass over the documents for each.
+#: Bytes of benchmark text that are broadcast; the items of a larger one are joined to the documents that can hold them.
 ITEM_BYTES = 8 << 20
 #: A-Z to lower case, ASCII punctuation to spaces.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -150,39 +154,85 @@ def _found(items: Items, texts: list[bytes | None], least: float) -> Iterator[tu
                 yield i + d, m
 
 
+_FOUND = [("_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int64()), ("similarity", pa.float64())]
+
+
+def _of_batch(sent, least: float):
+    """A function that gives the matches of a batch: of the broadcast items, or of each row's own in _items."""
+    items = None if sent is None else Items(sent.value)
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[int, int, int, int, float]]]:
+        texts = texts_of(batch, "_text")
+        if items is not None:
+            yield from _found(items, texts, least)
+            return
+        for d, own in enumerate(column(batch, "_items")):
+            if own:
+                yield from ((d, m) for _, m in _found(Items([(x["i"], x["t"].encode()) for x in own]), [texts[d]], least))
+
+    return found
+
+
 def _scan(sent, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value)
+        found = _of_batch(sent, least)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = [(ids[d], *m) for d, m in _found(items, texts_of(batch, "_text"), least)]
+            ids = column(batch, "_id")
+            out = [(ids[d], *m) for d, m in found(batch)]
             cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _FOUND, strict=True)], [n for n, _ in _FOUND])
 
     return run
 
 
-def _clean(sent, least: float):
+def _clean(sent, least: float, names: list[str]):
     """The rows of a batch whose _text holds no item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value)
+        found = _of_batch(sent, least)
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            clean[[d for d, _ in _found(items, texts_of(batch, "_text"), least)]] = False
-            yield batch.filter(pa.array(clean))
+            clean[[d for d, _ in found(batch)]] = False
+            yield batch.select(names).filter(pa.array(clean))
 
     return run
 
 
-def _sent(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
-    """Broadcasts of the benchmark's items in parts of about ITEM_BYTES."""
+def _grams_of(keep: str, once: bool):
+    """Rows of keep and the shingles of _text, each once or as often as it is there, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(keep)).to_numpy(zero_copy_only=False)
+            own = [shingles(joined([t])[0])[1] for t in texts_of(batch, "_text")]
+            own = [np.unique(g) if once else g for g in own]
+            n = [len(g) for g in own]
+            grams = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(grams), pa.array(np.repeat(n, n).astype(np.int64))], [keep, "gram", "n"])
+
+    return run
+
+
+def candidates(texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """_th and _items for the texts (_th, _text) that can hold items (i, t); _th is a hash of the text, and texts that share one share their items."""
+    known = items.distinct().select("i", "t", F.xxhash64("i", "t").alias("k"), F.col("t").alias("_text"))
+    tokens = stage(known.select("k", "_text").mapInArrow(_grams_of("k", False), "k long, gram long, n long"), "item_grams")
+    often = stage(tokens.groupBy("gram").agg(F.count("*").alias("df")), "item_counts")
+    own = tokens.join(often, "gram").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("own"))
+    first = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
+    rare = stage(own.select("k", F.explode(F.slice("own", F.lit(1), first)).alias("x")).select("k", "x.gram").distinct(), "rare")
+    held = texts.mapInArrow(_grams_of("_th", True), "_th long, gram long, n long").join(rare, "gram").select("_th", "k").distinct()
+    return stage(held.join(known.select("k", "i", "t"), "k").groupBy("_th").agg(F.collect_set(F.struct("i", "t")).alias("_items")), "candidates")
+
+
+def _with_items(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, least: float) -> tuple[DataFrame, object]:
+    """rows, which have _text, and the broadcast of a small benchmark; of a larger one the rows with their own _items, and None."""
     items = benchmark.select(F.col(quoted(item_col)).cast("long").alias("i"), F.col(quoted(item_text)).cast("string").alias("t")).where("i is not null and t is not null")
-    parts = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEM_BYTES
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
-        yield benchmark.sparkSession.sparkContext.broadcast([(r.i, r.t.encode()) for r in own.toLocalIterator()])
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= ITEM_BYTES:
+        return rows, benchmark.sparkSession.sparkContext.broadcast([(r.i, r.t.encode()) for r in items.toLocalIterator()])
+    rows = rows.withColumn("_th", F.xxhash64("_text"))
+    found = candidates(rows.select("_th", "_text"), items, least)
+    return rows.join(found, "_th", "left").drop("_th"), None
 
 
 def benchmark_matches(
@@ -193,23 +243,21 @@ def benchmark_matches(
     Words have A-Z lower-cased and ASCII punctuation taken as space; shingles are of five words, and an item
     under five words never matches. A row for each item and each row of docs with a window of the item's length
     of that similarity, for its best and then first window; a document shorter than the item is one window. Ids may be null or repeat. Null texts and empty
-    tables match nothing. The benchmark is sent to all tasks in parts of ITEM_BYTES at most.
+    tables match nothing. A benchmark of at most ITEM_BYTES is sent to all tasks; see above for a larger one.
     """
     base = docs.select(id_key(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
-    found = None
-    for sent in _sent(benchmark, item_col, item_text):
-        one = base.mapInArrow(_scan(sent, least), "_id long, item_id long, start_word long, n_words long, hamming long, similarity double")
-        found = one if found is None else found.unionByName(one)
+    rows, sent = _with_items(base, benchmark, item_col, item_text, least)
+    found = rows.mapInArrow(_scan(sent, least), "_id long, item_id long, start_word long, n_words long, hamming long, similarity double")
     return found.select(given("_id").alias("doc_id"), "item_id", "start_word", "n_words", "hamming", "similarity")
 
 
 def keep_clean(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.8
 ) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, with their columns. Each row is judged by itself, so nothing is shuffled; ids aren't used."""
+    """The rows of docs whose text holds no benchmark item, with their columns. Each row is judged by itself: with a small benchmark nothing is shuffled; ids aren't used."""
     held = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(quoted(c)).alias(h) for c, h in zip(docs.columns, held, strict=True)], F.col(quoted(text_col)).cast("string").alias("_text"))
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
-    for sent in _sent(benchmark, item_col, item_text):
-        rows = rows.mapInArrow(_clean(sent, least), fields)
-    return rows.select(*[F.col(h).alias(c) for c, h in zip(docs.columns, held, strict=True)])
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in held)
+    rows, sent = _with_items(rows, benchmark, item_col, item_text, least)
+    clean = rows.mapInArrow(_clean(sent, least, held), fields)
+    return clean.select(*[F.col(h).alias(c) for c, h in zip(docs.columns, held, strict=True)])

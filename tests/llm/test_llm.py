@@ -414,7 +414,9 @@ def plain(text):
     return out.split()
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("item_bytes", [8 << 20, 100])
+def test_decontamination(spark, monkeypatch, item_bytes):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", item_bytes)
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 60)))) for i in range(30)] + [(98, None), (99, "too short")]
@@ -447,8 +449,10 @@ def test_decontamination(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_decontamination_of_documents_shorter_than_the_item(spark):
+@pytest.mark.parametrize("item_bytes", [8 << 20, 100])
+def test_decontamination_of_documents_shorter_than_the_item(spark, monkeypatch, item_bytes):
     """An item without its last or first words, alone in a document, against brute force over the whole document."""
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", item_bytes)
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 60)))) for i in range(60)]
