@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, CHUNK, chunks, column, id_key, joined, quoted, range_hash, released, stage, texts_of, word_hashes, word_spans
+from tessera.llm.common import _BYTE, CHUNK, chunks, column, id_key, joined, quoted, range_hash, released, settled, stage, texts_of, word_hashes, word_spans
 
 #: Distinct fragments of one anchor that a task takes as a group; those of larger groups are split by content.
 HOT = 200
@@ -152,9 +152,27 @@ def _occurrences(unit: Unit):
     return run
 
 
-def place(at: int) -> tuple[int, int, int]:
-    """First unit, number of windows and the anchor's offset of a fragment."""
-    return at >> 20, at >> 10 & 1023, at & 1023
+def cut_places(unit: Unit, batch: pa.RecordBatch, fields: tuple[str, ...], most: int = 4000) -> Iterator[tuple]:
+    """The places in _asked, about most at a time: the row of each, its first unit, number of windows and anchor's offset, the other fields as arrays, and the bytes."""
+    asked = batch.column(batch.schema.get_field_index("_asked"))
+    edges = np.append(0, np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False)))
+    flat = asked.flatten()
+    at = flat.field("_at").to_numpy(zero_copy_only=False)
+    lo, n, off = at >> 20, at >> 10 & 1023, at & 1023
+    end = lo + n - 1 + unit.window
+    others, row = [flat.field(f).to_numpy(zero_copy_only=False) for f in fields], np.repeat(np.arange(batch.num_rows), np.diff(edges))
+    data: list[bytes] = []
+    done = 0
+    for i, text in enumerate(texts_of(batch, "_text")):
+        a, b = int(edges[i]), int(edges[i + 1])
+        text = unit.canonical(text)
+        spans = unit.spans(text)
+        x, y = (lo[a:b], end[a:b]) if spans is None else (spans[0][lo[a:b]], spans[1][end[a:b] - 1])
+        data.extend([text[s:e] for s, e in zip(x.tolist(), y.tolist(), strict=True)])
+        if len(data) >= most or i == batch.num_rows - 1:
+            part = slice(done, b)
+            yield row[part], lo[part], n[part], off[part], [o[part] for o in others], data
+            data, done = [], b
 
 
 def _fetch(unit: Unit):
@@ -162,17 +180,8 @@ def _fetch(unit: Unit):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, asked in zip(texts_of(batch, "_text"), column(batch, "_asked"), strict=True):
-                text = unit.canonical(text)
-                spans = unit.spans(text)
-                for x in asked:
-                    lo, n, off = place(x["_at"])
-                    rows.append((x["_anchor"], x["_f"], x["_n"], off, n, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
-                    if len(rows) >= 4000:
-                        yield rows_batch(rows, _FRAGMENT)
-                        rows = []
-            yield rows_batch(rows, _FRAGMENT)
+            for _, _, n, off, (anchor, f, copies), data in cut_places(unit, batch, ("_anchor", "_f", "_n")):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(f), pa.array(copies), pa.array(off), pa.array(n), pa.array(data, pa.binary())], _FRAGMENT)
 
     return run
 
@@ -265,8 +274,7 @@ class Repeats:
     """Staged tables of the fragments whose anchor is found again.
 
     base has _id, _th, _text, and _within (runs of units as [s, e)) where windows are taken from these only.
-    again lists every place of such a fragment: _id, _th, _at, _anchor, _f. parts has every distinct fragment once
-    with the number of its copies and its bytes.
+    again lists every place of such a fragment: _id, _th, _at, _anchor, _f.
     """
 
     def __init__(self, base: DataFrame, unit: Unit):
@@ -275,23 +283,28 @@ class Repeats:
         anchors = stage(counts.groupBy("_anchor").agg(F.sum("_c").alias("_c")).where("_c > 1").select("_anchor"), "anchors")
         found = base.mapInArrow(_occurrences(unit), "_id long, _th long, _at long, _anchor long, _f long")
         self.again = stage(found.join(anchors, "_anchor").select("_id", "_th", "_at", "_anchor", "_f"), "occurrences")
-        distinct = self.again.groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
         self.base, self.unit = base, unit
-        self.parts = stage(self.fetched(distinct.select("_from.*", "_anchor", "_f", "_n"), _fetch(unit), FRAGMENT), "fragments")
-        released(base.sparkSession)
+
+    def parts(self) -> DataFrame:
+        """Every distinct fragment once with the number of its copies and its bytes, staged."""
+        distinct = self.again.groupBy("_anchor", "_f").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_from"))
+        out = stage(self.fetched(distinct.select("_from.*", "_anchor", "_f", "_n"), _fetch(self.unit), FRAGMENT), "fragments")
+        released(self.base.sparkSession)
+        return out
 
     def fetched(self, places: DataFrame, fetch: Callable, fields: str) -> DataFrame:
         """fetch over the documents of places (_id, _th, and others that come as structs in _asked), each document read once."""
         asked = places.groupBy("_id", "_th").agg(F.collect_set(F.struct(*[c for c in places.columns if c not in ("_id", "_th")])).alias("_asked"))
         return self.base.select("_id", "_th", "_text").join(asked, ["_id", "_th"]).mapInArrow(fetch, fields)
 
-    def solved(self, solver: Solver) -> DataFrame:
+    def ranges(self, parts: DataFrame, solver: Solver) -> DataFrame:
+        """_anchor, _f and _ranges, the offsets [_o1, _o2] that repeat."""
         widths = (self.unit.block, 1) if self.unit.block > 1 else (1,)
-        return solve(self.parts, self.unit, solver, widths)
+        return solve(parts, self.unit, solver, widths).groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges"))
 
     def runs(self, solver: Solver) -> DataFrame:
         """For documents with repeated windows: _id, _th and _runs, the covered runs of units as [s, e), unsorted and overlapping."""
-        ranges = stage(self.solved(solver).groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges")), "solved")
+        ranges = settled(self.base.sparkSession, lambda: self.ranges(self.parts(), solver), "solved")
         lo, off = F.shiftright("_at", 20), F.col("_at").bitwiseAND(F.lit(1023))
         run = lambda r: F.struct((lo + off - r["_o2"]).alias("s"), (lo + off - r["_o1"] + F.lit(self.unit.window)).alias("e"))
         found = self.again.join(ranges, ["_anchor", "_f"]).select("_id", "_th", F.transform("_ranges", run).alias("_runs"))

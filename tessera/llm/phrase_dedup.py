@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, others, quoted, released, settled, stage, texts_of
-from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged, place, row_tuples, rows_batch
+from tessera.llm.common import column, others, quoted, settled, stage, texts_of
+from tessera.llm.passages import Repeats, Unit, cut_places, grouped, keyed, merged, row_tuples, rows_batch
 
 #: Words of the passages compiled into one automaton, about: it takes some 60 bytes for each.
 SHARD_WORDS = 100_000
@@ -82,19 +82,11 @@ def _streamed(unit: Unit):
     """The words of every place where a known anchor stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_anchor", "_f", "_id", "_th", "_lo", "_bytes"]
         for batch in batches:
-            out = []
-            for i, th, text, asked in zip(column(batch, "_id"), column(batch, "_th"), texts_of(batch, "_text"), column(batch, "_asked"), strict=True):
-                text = unit.canonical(text)
-                spans = unit.spans(text)
-                for x in asked:
-                    lo, n, _ = place(x["_at"])
-                    out.append((x["_anchor"], x["_f"], i, th, lo, unit.cut(text, spans, lo, lo + n - 1 + unit.window)))
-                if len(out) >= 4000:
-                    yield rows_batch(out, names)
-                    out = []
-            yield rows_batch(out, names)
+            ids, ths = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
+            for row, lo, _, _, (anchor, f), data in cut_places(unit, batch, ("_anchor", "_f")):
+                cols = [pa.array(anchor), pa.array(f), pa.array(ids[row]), pa.array(ths[row]), pa.array(lo), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["_anchor", "_f", "_id", "_th", "_lo", "_bytes"])
 
     return run
 
@@ -126,14 +118,17 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def located(repeats: Repeats, window: int) -> DataFrame:
     """For documents with recurring passages: _id, _th and _runs, the runs of words that automata found, unsorted and overlapping."""
-    ranges = repeats.solved(_solver(window)).groupBy("_anchor", "_f").agg(F.collect_list(F.struct("_o1", "_o2")).alias("_ranges"))
-    cut = repeats.parts.join(ranges, ["_anchor", "_f"]).select("_anchor", "_off", "_bytes", "_ranges")
-    passages = stage(cut.mapInArrow(_passages(repeats.unit), "_anchor long, _bytes binary, _words long").distinct(), "passages")
+
+    def confirmed() -> DataFrame:
+        parts = repeats.parts()
+        cut = parts.join(repeats.ranges(parts, _solver(window)), ["_anchor", "_f"]).select("_anchor", "_off", "_bytes", "_ranges")
+        return cut.mapInArrow(_passages(repeats.unit), "_anchor long, _bytes binary, _words long").distinct()
+
+    passages = settled(repeats.base.sparkSession, confirmed, "passages")
     shards = 1 + (passages.agg(F.sum("_words")).first()[0] or 0) // SHARD_WORDS
     shard = lambda a: F.pmod(F.xxhash64(a), F.lit(shards)).alias("_shard")
     size = F.shiftright("_at", 10).bitwiseAND(F.lit(1023)) - 1 + F.lit(window)
     places = repeats.again.join(stage(passages.select("_anchor").distinct(), "found"), "_anchor", "left_semi")
-    released(passages.sparkSession)
     load = stage(places.groupBy(shard("_anchor")).agg(F.ceil(F.sum(size) / STREAM_WORDS).cast("int").alias("_salts")), "shards")
     none = F.lit(0).cast("long")
     known = passages.select(shard("_anchor"), "_bytes").join(load, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
