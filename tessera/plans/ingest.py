@@ -521,7 +521,7 @@ def _stream(spark, sf):
     path = f"{sf.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A file source reads a directory; a glob of one file is one.
-    return spark.readStream.schema(schema).parquet(path + "*")
+    return queues.event_stream(spark, path + "*", schema)
 
 
 def _run(spark, stream, mode: str = "append"):

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.jobs import CHECKPOINTS
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, schema: str | StructType, max_files: int | None = None) -> DataFrame:
     """A directory of parquet files as a stream; max_files a micro-batch is the back-pressure."""
     reader = spark.readStream.schema(schema)
     if max_files:
