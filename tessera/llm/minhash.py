@@ -10,11 +10,12 @@ bucket then still holds members of different components, all pairs across compon
 leave a chance of a link.
 
 Buckets with many members of different components would make pairs by the square of their size. Documents that
-meet in such buckets form families, and a family is dealt anew by shingles that are rare in it: of a set of n
-shingles, ordered from the rarest, one of the first n - ceil(n * threshold) + 1 is among those of any set that similar.
-Texts that have a template in common, and each its own rest, have no rare shingle in common and meet nowhere.
-Where many members of different components share even a rare one, parts of them are compared exactly as matrices
-of shingles, two parts in a task, and a task emits no more links than join its components.
+meet in such buckets form families; parts of a family are compared exactly as matrices of shingles, two parts in
+a task, and a task emits no more links than join its components. A large family is dealt anew before that, by
+shingles that are rare in it: of a set of n shingles, ordered from the rarest, one of the first
+n - ceil(n * threshold) + 1 is among those of any set that similar. Texts that have a template in common, and each its
+own rest, have no rare shingle in common and meet nowhere; only where many members of different components share
+even a rare one are they compared as a whole.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ COORDINATES = BANDS * ROWS
 CROWD = 64
 #: Members of a family that a task compares with as many others.
 PART = 500
+#: Members of a family that is compared as a whole, each set being sent to FAMILY / PART tasks; larger ones are dealt by rare shingles.
+FAMILY = 8 * PART
 #: Shingles that are columns of one matrix.
 COLUMNS = 8192
 #: Documents without an id get one above all others, made from the text.
@@ -303,10 +306,19 @@ def _families_of(members: DataFrame, spread: DataFrame) -> DataFrame:
     return stage(components(crowds.select(F.col("v").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family"), "families")
 
 
-def _within_families(family: DataFrame, label: DataFrame, links: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between members of families that are in different components."""
-    own_sets = texts.join(family.select(F.col("v").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(_set_bytes(size), "v long, _set binary")
-    own_sets = stage(own_sets, "family_sets")
+def _as_matrices(family: DataFrame, label: DataFrame, own_sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of families in different components, each part of a family compared with each."""
+    sizes = stage(family.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
+    dealt = _labelled(family.join(sizes, "family"), label)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "v", "label")
+    rows = stage(dealt, "dealt").join(own_sets, "v").select("family", "p1", "p2", "own", "v", "label", "_set")
+    whole = rows.repartition("family", "p1", "p2").sortWithinPartitions("family", "p1", "p2").mapInArrow(_families(percent), "a long, b long")
+    return stage(whole, "links")
+
+
+def _by_rare_shingles(family: DataFrame, label: DataFrame, own_sets: DataFrame, links: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same for large families, of members that share a shingle that is rare in them."""
     members = stage(rare_shingles(own_sets.join(family, "v"), percent), "rare")
     named = stage(_labelled(members, label), "named")
     spread = stage(_open(named), "open")
@@ -321,15 +333,19 @@ def _within_families(family: DataFrame, label: DataFrame, links: DataFrame, vert
         named = stage(_labelled(members, label), "named")
         spread = stage(_open(named), "open")
     dense = _families_of(named, spread)
-    if dense.isEmpty():
-        return more
-    sizes = stage(dense.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
-    dealt = _labelled(dense.join(sizes, "family"), label)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "v", "label")
-    rows = stage(dealt, "dealt").join(own_sets, "v").select("family", "p1", "p2", "own", "v", "label", "_set")
-    whole = rows.repartition("family", "p1", "p2").sortWithinPartitions("family", "p1", "p2").mapInArrow(_families(percent), "a long, b long")
-    return more.unionByName(stage(whole, "links"))
+    return more if dense.isEmpty() else more.unionByName(_as_matrices(dense, label, own_sets, percent))
+
+
+def _within_families(family: DataFrame, label: DataFrame, links: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of families that are in different components."""
+    own_sets = texts.join(family.select(F.col("v").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(_set_bytes(size), "v long, _set binary")
+    own_sets = stage(own_sets, "family_sets")
+    large = stage(family.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > FAMILY).select("family"), "large_families")
+    if large.isEmpty():
+        return _as_matrices(family, label, own_sets, percent)
+    few = _as_matrices(family.join(large, "family", "left_anti"), label, own_sets, percent)
+    many = stage(family.join(large, "family", "left_semi"), "families")
+    return few.unionByName(_by_rare_shingles(many, label, own_sets, links, vertices, texts, size, percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, seed: int = 1) -> DataFrame:

@@ -86,8 +86,9 @@ def brute_components(rows, percent=85):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("crowd,part,columns", [(64, 500, 8192), (1, 3, 16), (2, 500, 8192)])
-def test_near_duplicates(spark, docs, rows, monkeypatch, crowd, part, columns):
+@pytest.mark.parametrize("crowd,part,columns,family", [(64, 500, 8192, 4000), (1, 3, 16, 2), (2, 500, 8192, 4000)])
+def test_near_duplicates(spark, docs, rows, monkeypatch, crowd, part, columns, family):
+    monkeypatch.setattr(minhash, "FAMILY", family)
     monkeypatch.setattr(minhash, "CROWD", crowd)
     monkeypatch.setattr(minhash, "PART", part)
     monkeypatch.setattr(minhash, "COLUMNS", columns)
@@ -95,9 +96,10 @@ def test_near_duplicates(spark, docs, rows, monkeypatch, crowd, part, columns):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("crowd,part", [(64, 500), (1, 3)])
-def test_near_duplicates_of_a_family_without_a_centre(spark, monkeypatch, crowd, part):
+@pytest.mark.parametrize("crowd,part,family", [(64, 500, 4000), (1, 3, 4000), (1, 3, 5)])
+def test_near_duplicates_of_a_family_without_a_centre(spark, monkeypatch, crowd, part, family):
     """A chain: neighbours are linked, ends aren't."""
+    monkeypatch.setattr(minhash, "FAMILY", family)
     monkeypatch.setattr(minhash, "CROWD", crowd)
     monkeypatch.setattr(minhash, "PART", part)
     base = [f"w{i}" for i in range(400)]
@@ -115,6 +117,7 @@ def test_a_template_family_grows_in_proportion(spark, monkeypatch):
     """Texts with a template in common and each its own rest: twice as many give twice the rows, and none is compared with all."""
     monkeypatch.setattr(minhash, "CROWD", 4)
     monkeypatch.setattr(minhash, "PART", 3)
+    monkeypatch.setattr(minhash, "FAMILY", 20)
     template = [f"t{i}" for i in range(160)]
     counts = []
     for n in (40, 80):
