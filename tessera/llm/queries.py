@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, licenses, line_dedup, minhash, mixing, phrase_dedup, quality, secrets, suffix_dedup, token_counts
+from tessera.llm import decontaminate, exact_dedup, licenses, line_dedup, merkle, minhash, mixing, phrase_dedup, quality, secrets, suffix_dedup, token_counts, whitening
 from tessera.llm.oracle import ORACLE_SQL
 from tessera.session import table
 
@@ -58,6 +58,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.marked(table(spark, sf_dir, "documents"), passed=["doc_id"])
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), now={"text": merkle.tampered()})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +83,9 @@ QUERIES = {
         op8_line_dedup,
         op9_secrets,
         op10_substring_dedup,
+        op11_exact_dedup,
+        op12_whitening,
+        op13_merkle,
     )
 }
 
