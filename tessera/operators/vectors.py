@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def doubles(v: Column) -> Column:
@@ -136,16 +137,38 @@ def assigned(df: DataFrame, cents: DataFrame, key: str, id_: str, vector: str, l
     The centroids are sent to every task if they are within max_bytes; otherwise they are taken in blocks of
     that size, and the best of the blocks wins.
     """
-    dims = cents.select(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).head()
+    known = cents.where(F.col(key).isNotNull() & F.col("centroid").isNotNull()).select(F.col(key).cast("long").alias("_k"), doubles(F.col("centroid")).alias("c"))
+    dims = known.select(F.count("*").alias("n"), F.max(F.size("c")).alias("d")).head()
     blocks = max(1, -(-(dims["n"] * (dims["d"] or 1) * 8) // max_bytes))
+    kinds = f"{id_} {df.schema[id_].dataType.simpleString()}, {key} long, similarity double"
+
+    def nearest(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # By key, so that the first of equal similarities is the smallest key.
+            by_size: dict[int, list[tuple]] = {}
+            for k, c in sorted(sent.value):
+                by_size.setdefault(len(c), []).append((k, c))
+            own = {d: (np.array([k for k, _ in v]), np.array([c for _, c in v], float).reshape(len(v), d)) for d, v in by_size.items()}
+            for batch in batches:
+                for d, (keys, m) in own.items():
+                    rows, x = _matrix(batch.column(1), d)
+                    for lo in range(0, len(rows), 1024):
+                        s = np.round(x[lo : lo + 1024] @ m.T, 9)
+                        at = s.argmax(1)
+                        top = s[np.arange(len(s)), at]
+                        hit = top >= least
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[lo : lo + 1024][hit])), pa.array(keys[at[hit]]), pa.array(top[hit])], [id_, key, "similarity"])
+
+        return run
+
     best = None
     for b in range(blocks):
-        part = cents.select(F.col(key).alias("_k"), "centroid").where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        pairs = df.select(id_, vector).join(F.broadcast(part)).select(id_, F.col("_k").alias(key), F.round(dot(F.col(vector), F.col("centroid")), 9).alias("similarity"))
-        one = pairs.where(F.col("similarity") >= least)
+        part = known.where(F.pmod(F.xxhash64("_k"), F.lit(blocks)) == b)
+        sent = df.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.toLocalIterator()])
+        one = df.where(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(nearest(sent), kinds)
         best = one if best is None else best.unionByName(one)
     top = best.groupBy(id_).agg(F.max(F.struct("similarity", (-F.col(key)).alias("k"))).alias("top"))
-    return top.select(id_, (-F.col("top.k")).alias(key), F.col("top.similarity").alias("similarity"))
+    return top.select(id_, (-F.col("top.k")).cast(cents.schema[key].dataType).alias(key), F.col("top.similarity").alias("similarity"))
 
 
 def cluster_online(
@@ -186,61 +209,47 @@ def cluster_online(
     return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_} {kinds[id_]}, cluster long, similarity double")
 
 
-def lsh_codes(vectors: np.ndarray, planes: int, tables: int, seed: int) -> np.ndarray:
-    """The bucket of each vector in each table: the signs against random hyperplanes as bits."""
-    directions = np.random.default_rng(seed).standard_normal((tables * planes, vectors.shape[1]))
-    signs = (vectors @ directions.T > 0).reshape(len(vectors), tables, planes)
-    return (signs << np.arange(planes)).sum(2)
+def similar_to_each(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, least: float, limit: int, max_bytes: int = 16 << 20) -> DataFrame:
+    """Exact search for many queries: query_id, id, similarity of the most similar vectors of each above a threshold, ties to the smallest id.
 
-
-def lsh_neighbours(
-    vectors: DataFrame, queries: DataFrame, id_: str, vector: str, least: float, limit: int, planes: int = 4, tables: int = 32, seed: int = 5, max_bytes: int = 16 << 20
-) -> DataFrame:
-    """Approximate search for many queries: query_id, id, similarity of the most similar vectors of each above a threshold.
-
-    Only vectors that share a random-hyperplane bucket with the query in one of the tables are compared. The queries
-    go to every task in blocks of max_bytes; a task keeps the best limit vectors of each query only. The default
-    planes and tables find 0.9 of the true neighbours at a similarity of 0.24 and more. A vector of another length than
-    the query is never similar; a query that is stored finds itself.
+    The queries go to every task in blocks of max_bytes, and are multiplied as a matrix with Arrow batches of vectors; a task
+    keeps the best limit vectors of each query only. A vector of another length than the query is never similar;
+    a query that is stored finds itself.
     """
     given = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("i"), doubles(F.col(vector)).alias("v"))
     dims = given.select(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
     blocks = max(1, -(-(dims["n"] * (dims["d"] or 1) * 8) // max_bytes))
-    kind = vectors.schema[id_].dataType.simpleString()
+    kind, kept = vectors.schema[id_].dataType.simpleString(), to_arrow_type(vectors.schema[id_].dataType)
 
     def search(sent):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_size: dict[int, list[tuple]] = {}
             for i, v in sent.value:
                 by_size.setdefault(len(v), []).append((i, v))
             known = {}
             for d, own in by_size.items():
-                m = np.array([v for _, v in own], float)
-                unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                known[d] = np.array([i for i, _ in own]), unit, lsh_codes(m, planes, tables, seed)
+                m = np.array([v for _, v in own], float).reshape(len(own), d)
+                known[d] = np.array([i for i, _ in own]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
             order = {"by": ["query_id", "similarity", id_], "ascending": [True, False, True]}
             found, n = [], 0
-            for pdf in batches:
-                sizes = pdf[vector].map(len)
-                for d, (ids, unit, codes) in known.items():
-                    part = pdf[sizes == d]
-                    for lo in range(0, len(part), 1024):
-                        at = part[id_].to_numpy()[lo : lo + 1024]
-                        m = np.array(part[vector].tolist()[lo : lo + 1024], float)
-                        own = lsh_codes(m, planes, tables, seed)
-                        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                        for q in range(0, len(ids), 4096):
-                            shares = np.zeros((len(unit[q : q + 4096]), len(m)), bool)
-                            for k in range(tables):
-                                shares |= codes[q : q + 4096, k, None] == own[None, :, k]
-                            sims = unit[q : q + 4096] @ m.T
-                            i, j = np.nonzero(shares & (sims >= least))
-                            found.append(pd.DataFrame({"query_id": ids[q + i], id_: at[j], "similarity": sims[i, j]}))
+            best = lambda: pd.concat(found).sort_values(**order).groupby("query_id").head(limit)
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for d, (asked, unit) in known.items():
+                    rows, m = _matrix(batch.column(1), d)
+                    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                    for lo in range(0, len(rows), 1024):
+                        for q in range(0, len(asked), 4096):
+                            sims = unit[q : q + 4096] @ m[lo : lo + 1024].T
+                            i, j = np.nonzero(sims >= least)
+                            found.append(pd.DataFrame({"query_id": asked[q + i], id_: ids[rows[lo + j]], "similarity": sims[i, j]}))
                             n += len(i)
-                        if n > 2_000_000:
-                            found, n = [pd.concat(found).sort_values(**order).groupby("query_id").head(limit)], 0
-            if found:
-                yield pd.concat(found).sort_values(**order).groupby("query_id").head(limit)
+                            if n > 2_000_000:
+                                found = [best()]
+                                n = len(found[0])
+            if n:
+                top = best()
+                yield pa.RecordBatch.from_arrays([pa.array(top[c], t) for c, t in zip(top, (kept, kept, pa.float64()), strict=True)], list(top))
 
         return run
 
@@ -249,7 +258,7 @@ def lsh_neighbours(
     for b in range(blocks):
         own = given.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         sent = vectors.sparkSession.sparkContext.broadcast([(r.i, r.v) for r in own.toLocalIterator()])
-        one = rows.mapInPandas(search(sent), f"query_id {kind}, {id_} {kind}, similarity double")
+        one = rows.mapInArrow(search(sent), f"query_id {kind}, {id_} {kind}, similarity double")
         found = one if found is None else found.unionByName(one)
     return exemplars(found, "query_id", [F.desc("similarity"), F.col(id_)], limit).drop("rank")
 

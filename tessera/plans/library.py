@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import detect, folders, items, jobs, mutations, people, search, vectors
+from tessera.operators import ann, detect, folders, items, jobs, mutations, people, search, vectors
 from tessera.plans import views
 from tessera.plans.views import ASSET_TAGS_SQL, FACES_SQL, FOLDERS_SQL, PERSONS_SQL, assets_sql
 from tessera.session import table
@@ -43,10 +43,21 @@ def search_by_vector(spark, sf):
     return vectors.similar_to(table(spark, sf, "embeddings"), q, "vec_id", "embedding", 0.1, 200).select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
+PAIRS = f"(SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='e.v', b='q.v')} AS s FROM {EMB} e, {EMB} q WHERE q.vec_id % 100 = 0)"
+
+
+@query(f"SELECT query_id, vec_id, round(s, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM {PAIRS} WHERE s >= 0.24) WHERE r <= 50")
+def search_by_vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vectors.similar_to_each(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.24, 50).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
 @query()
-def search_by_vector_lsh(spark, sf):
+def search_by_vector_index(spark, sf):
     e = table(spark, sf, "embeddings")
-    return vectors.lsh_neighbours(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.24, 50)
+    index, asked = ann.build(e, "vec_id", "embedding"), e.where("vec_id % 100 = 0")
+    breadth = ann.fitted_breadth(e, index, asked.orderBy("vec_id").limit(64), 12, 0.24)
+    return ann.search(index, asked, 12, 0.24, breadth)
 
 
 MEANS = f"(SELECT label, pos, avg(x) AS x, count(*) AS n FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM {EMB}) GROUP BY label, pos)"

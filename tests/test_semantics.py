@@ -289,13 +289,11 @@ def test_media_scalars(spark):
 
 
 @pytest.mark.parametrize("max_bytes", [16 << 20, 2000])
-def test_lsh_recall(spark, max_bytes):
-    """The hyperplane search against the exact one, for each query; blocks of queries change nothing."""
-    sf = "/root/testdata/sf0.1"
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+def test_exact_search_for_each(spark, max_bytes):
+    """The blocked search against one product of all; blocks of queries change nothing."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
-    out = library.search_by_vector_lsh(spark, sf) if max_bytes > 2000 else vectors.lsh_neighbours(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.24, 50, max_bytes=max_bytes)
-    for r in out.collect():
+    for r in vectors.similar_to_each(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.24, 50, max_bytes).collect():
         got.setdefault(r.query_id, {})[r.vec_id] = r.similarity
     rows = e.orderBy("vec_id").collect()
     v = np.array([r.embedding for r in rows], float)
@@ -304,6 +302,5 @@ def test_lsh_recall(spark, max_bytes):
     assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
     for q, found in got.items():
         sims = v @ v[np.flatnonzero(ids == q)[0]]
-        want = [i for i in np.lexsort((ids, -sims))[:50] if sims[i] >= 0.24]
-        assert len(found) <= 50 and all(abs(s - sims[ids == i][0]) < 1e-9 for i, s in found.items())
-        assert sum(int(ids[i]) in found for i in want) >= 0.9 * len(want)
+        assert set(found) == {int(ids[i]) for i in np.lexsort((ids, -sims))[:50] if sims[i] >= 0.24}
+        assert all(abs(s - sims[ids == i][0]) < 1e-9 for i, s in found.items())
