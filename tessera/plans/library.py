@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import ann, detect, folders, items, jobs, mutations, people, search, vectors
+from tessera.operators import ann, detect, folders, items, jobs, mutations, people, search, text_index, vectors
 from tessera.plans import views
 from tessera.plans.views import ASSET_TAGS_SQL, FACES_SQL, FOLDERS_SQL, PERSONS_SQL, assets_sql
 from tessera.session import table
@@ -333,22 +333,35 @@ def dup_status_message(spark, sf):
 
 # --- text search ---
 
+_indexes: dict[tuple, text_index.TextIndex] = {}
+
+
+def documents_index(spark, sf, **fields):
+    """The text index of documents, made once in an application for the files that the table has now."""
+    d = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, tuple(sorted(d.inputFiles())), tuple(fields.items()))
+    if key not in _indexes:
+        _indexes[key] = text_index.build(d, "doc_id", {c: F.col(name) for c, name in fields.items()})
+    return _indexes[key]
+
+
+WHOLE = {"A": "source", "C": "text", "D": "lang"}
 TOKENS = "(SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)"
 
 
 @query(f"SELECT doc_id FROM {TOKENS} WHERE list_contains(t, 'the') AND list_contains(t, 'with') AND list_contains(t, 'was')")
 def fts_match_and(spark, sf):
-    return search.search(table(spark, sf, "documents"), F.col("text"), "The with, was").select("doc_id")
+    return text_index.search(spark, documents_index(spark, sf, A="text"), "The with, was")
 
 
 @query(f"SELECT doc_id FROM {TOKENS} WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' of the and ') AND NOT list_contains(t, 'have')".replace("of the and", "in the"))
 def fts_match_phrase(spark, sf):
-    return search.search(table(spark, sf, "documents"), F.col("text"), '"in the" -have').select("doc_id")
+    return text_index.search(spark, documents_index(spark, sf, A="text"), '"in the" -have')
 
 
 @query(f"SELECT doc_id FROM {TOKENS} WHERE (list_contains(t, 'und') AND list_contains(t, 'von')) OR (list_contains(t, 'avec') AND NOT list_contains(t, 'dans'))")
 def fts_match_or_not(spark, sf):
-    return search.search(table(spark, sf, "documents"), F.col("text"), "und von OR avec -dans").select("doc_id")
+    return text_index.search(spark, documents_index(spark, sf, A="text"), "und von OR avec -dans")
 
 
 def _words(x: str) -> str:
@@ -364,9 +377,7 @@ def _rank(fields: dict[str, str], wanted: tuple[str, ...]) -> str:
 
 @query(f"SELECT doc_id, rank FROM (SELECT doc_id, round({_rank({'A': 'source', 'C': 'text', 'D': 'lang'}, ('the', 'with', 'src3'))}, 6) AS rank FROM documents) WHERE rank > 0 ORDER BY rank DESC, doc_id LIMIT 100")
 def fts_rank(spark, sf):
-    d = table(spark, sf, "documents")
-    score = search.rank({"A": F.col("source"), "C": F.col("text"), "D": F.col("lang")}, "the with src3")
-    return d.select("doc_id", F.round(score, 6).alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(100)
+    return text_index.best(spark, documents_index(spark, sf, **WHOLE), "the with src3", 100, matched=False)
 
 
 @query("SELECT p_partkey AS id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT p_partkey, list_distinct(list_transform(range(1, len(x) - 1), lambda i: substr(x, i, 3))) AS a, list_distinct(list_transform(range(1, len(y) - 1), lambda i: substr(y, i, 3))) AS b FROM (SELECT p_partkey, '  ' || lower(p_brand) || ' ' AS x, '  brand#1 ' AS y FROM part)) WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.7")
@@ -391,8 +402,7 @@ def fts_rank_four_classes(spark, sf):
 @query()
 def fts_cover_density(spark, sf):
     """All matches with their rank by cover density; a page is the first rows by falling rank and id."""
-    d = table(spark, sf, "documents")
-    return search.cover_density(d, "doc_id", {"A": F.col("source"), "C": F.col("text"), "D": F.col("lang")}, "the with OR und von").withColumn("rank", F.round("rank", 6))
+    return text_index.cover_density(spark, documents_index(spark, sf, **WHOLE), "the with OR und von").withColumn("rank", F.round("rank", 6))
 
 
 HYBRID = "at supplier#000000004 the SUPPLIER#000000002 beach"
