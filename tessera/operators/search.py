@@ -155,13 +155,3 @@ def persons_named(spark: SparkSession, query: str, persons: DataFrame) -> DataFr
     hits = persons.join(words, F.lower("name") == F.lower("_w"))
     top = hits.agg(F.min(F.struct("person_id", "_i", "rest")).alias("t")).where("t is not null")
     return top.select("t.person_id", "t.rest")
-
-
-def named_persons(query: str, persons: list[tuple[object, str]]) -> tuple[object | None, str]:
-    """The first person (in list order) whose name is one of the query's words, and the query without that word."""
-    own = query.split()
-    for id_, name in persons:
-        for i, w in enumerate(own):
-            if w.lower() == name.lower():
-                return id_, " ".join(own[:i] + own[i + 1 :])
-    return None, query

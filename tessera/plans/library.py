@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import ann, detect, folders, items, jobs, mutations, people, search, text_index, vectors
+from tessera.functions.text import words
+from tessera.operators import ann, detect, folders, items, jobs, mutations, name_index, people, search, text_index, vectors
 from tessera.plans import views
 from tessera.plans.views import ASSET_TAGS_SQL, FACES_SQL, FOLDERS_SQL, PERSONS_SQL, assets_sql
 from tessera.session import table
@@ -333,16 +334,20 @@ def dup_status_message(spark, sf):
 
 # --- text search ---
 
-_indexes: dict[tuple, text_index.TextIndex] = {}
+_made: dict[tuple, object] = {}
+
+
+def once(rows, make, *what):
+    """An index of a table, made once in an application for the files that the table has now."""
+    key = (rows.sparkSession.sparkContext.applicationId, tuple(sorted(rows.inputFiles())), what)
+    if key not in _made:
+        _made[key] = make(rows)
+    return _made[key]
 
 
 def documents_index(spark, sf, **fields):
-    """The text index of documents, made once in an application for the files that the table has now."""
-    d = table(spark, sf, "documents")
-    key = (spark.sparkContext.applicationId, tuple(sorted(d.inputFiles())), tuple(fields.items()))
-    if key not in _indexes:
-        _indexes[key] = text_index.build(d, "doc_id", {c: F.col(name) for c, name in fields.items()})
-    return _indexes[key]
+    """The text index of documents."""
+    return once(table(spark, sf, "documents"), lambda d: text_index.build(d, "doc_id", {c: F.col(name) for c, name in fields.items()}), *fields.items())
 
 
 WHOLE = {"A": "source", "C": "text", "D": "lang"}
@@ -382,8 +387,20 @@ def fts_rank(spark, sf):
 
 @query("SELECT p_partkey AS id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT p_partkey, list_distinct(list_transform(range(1, len(x) - 1), lambda i: substr(x, i, 3))) AS a, list_distinct(list_transform(range(1, len(y) - 1), lambda i: substr(y, i, 3))) AS b FROM (SELECT p_partkey, '  ' || lower(p_brand) || ' ' AS x, '  brand#1 ' AS y FROM part)) WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.7")
 def tag_autocomplete_trigram(spark, sf):
-    score = search.trigram_similarity(F.col("p_brand"), "brand#1")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(score, 6).alias("similarity")).where(score >= 0.7)
+    index = once(table(spark, sf, "part"), lambda d: name_index.build(d, "p_partkey", "p_brand"), "p_brand")
+    return name_index.named_alike(spark, index, "Brand#1", 0.7).select(F.col("p_partkey").alias("id"), F.round("similarity", 6).alias("similarity"))
+
+
+GRAMS = "SELECT DISTINCT w, substr(x, i, 3) AS g FROM (SELECT w, x, unnest(range(1, len(x) - 1)) AS i FROM (SELECT DISTINCT w, '  ' || w || ' ' AS x FROM (SELECT unnest(" + _words("text") + ") AS w FROM benchmark)))"
+
+
+@query(f"""WITH g AS ({GRAMS}), n AS (SELECT w, count(*) AS n FROM g GROUP BY w), c AS (SELECT x.w AS a, y.w AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.w < y.w GROUP BY ALL)
+    SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.w = a JOIN n y ON y.w = b WHERE c / (x.n + y.n - c) >= 0.3""")
+def names_alike(spark, sf):
+    """Words of the benchmark that are spelt alike."""
+    spelt = lambda d: d.select("item_id", F.explode(words(F.col("text"))).alias("word"))
+    index = once(table(spark, sf, "benchmark"), lambda d: name_index.build(spelt(d), "item_id", "word"), "words")
+    return name_index.pairs_alike(spark, index, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(t) AS term FROM " + TOKENS + ") GROUP BY term")
