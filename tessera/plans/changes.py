@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import commits, filters, folders, mutations, vectors
+from tessera.operators import commits, filters, folders, mutations, snapshots, vectors
 from tessera.plans import views
 from tessera.plans.views import FOLDERS_SQL, NOW, assets_sql
-from tessera.session import table
+from tessera.session import shared_dir, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,6 +203,14 @@ FOLDER = "lang || '/' || source"
 AUTHOR = "CASE doc_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'Someone ' || lang END"
 
 
+def published(spark, state, change):
+    """The tables after a commit: both states are published, the second as made from the first."""
+    store = snapshots.Snapshots(spark, f"{shared_dir(spark)}/library-{uuid.uuid4().hex}")
+    store.commit(0, state)
+    store.change(change)
+    return store.tables()
+
+
 @query(f"""SELECT 'asset' AS kind, doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE md5(text) END AS value FROM documents
     UNION ALL SELECT 'member', doc_id, lang FROM documents UNION ALL SELECT 'member', doc_id, {FOLDER} FROM documents
     UNION ALL SELECT 'tag', doc_id, lang || '=1.0' FROM documents UNION ALL SELECT 'tag', doc_id, 'h-' || lower(source) || '=1.0' FROM documents
@@ -218,7 +228,7 @@ def base_commit(spark, sf):
         "tags": tags,
         "items": d.select(i.alias("item_id"), F.lit("pending").alias("status"), F.lit(None).cast("long").alias("asset_id")),
     }
-    new = commits.base_committed(state, jobs)
+    new = published(spark, state, lambda now: commits.base_committed(now, jobs))
     rows = new["assets"].select(F.lit("asset").alias("kind"), F.col("asset_id").alias("id"), F.col("sha256").alias("value"))
     rows = rows.unionByName(new["members"].select(F.lit("member").alias("kind"), F.col("asset_id").alias("id"), F.col("title").alias("value")))
     rows = rows.unionByName(new["tags"].select(F.lit("tag").alias("kind"), F.col("asset_id").alias("id"), F.concat_ws("=", "name", F.col("confidence").cast("string")).alias("value")))
@@ -256,7 +266,7 @@ def enrichment_commit(spark, sf):
         "poses": e.where("vec_id % 8 = 0").select(asset, (i * 10 + 1).alias("pose_id"), F.lit(0.2).alias("score")),
         "tags": e.where("vec_id % 6 in (1, 2)").select(*tag(F.lit(0.25) + i % 2 * 0.5)),
     }
-    new = commits.enrichment_committed(state, found)
+    new = published(spark, state, lambda now: commits.enrichment_committed(now, found))
     text = lambda *c: F.concat_ws(" ", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c]).alias("value")
     rows = new["assets"].select(F.lit("asset").alias("kind"), F.col("asset_id").alias("id"), text("clip_processed", "face_processed", "tags_processed"))
     persons = new["persons"].withColumn("c", F.get("centroid", F.lit(0)))

@@ -8,13 +8,13 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, media, paths, text, urls
-from tessera.operators import geo, items, jobs, mutations
+from tessera.operators import geo, items, jobs, mutations, snapshots
 from tessera.operators.folders import folder_albums
 from tessera.plans import views
 from tessera.plans.views import NOW, assets_sql
 from tessera.session import shared_dir, table
 from tessera.sources import pages, playlists, social, uploads
-from tessera.streaming import queues
+from tessera.streaming import queues, stateful
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -528,10 +528,6 @@ def _run(spark, stream, mode: str = "append"):
     name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         return queues.to_table(stream, f"{name}/out", f"{name}/state")
-    if mode == "complete":
-        # Each batch has the whole result, also the windows that the watermark hasn't closed; the last one stays.
-        queues.run_available(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{name}/out"), f"{name}/state", mode)
-        return spark.read.parquet(f"{name}/out")
     queues.run_available(stream, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{name}/out"), f"{name}/state", mode)
     return spark.read.parquet(f"{name}/out")
 
@@ -543,15 +539,21 @@ def stream_dedup(spark, sf):
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf):
-    out = _run(spark, queues.window_counts(_stream(spark, sf), "1 day", ["event_type"]), "complete")
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Each batch's updates go to a table by window; the state of windows that the watermark has passed is dropped."""
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sink = snapshots.KeyedSink(snapshots.Snapshots(spark, f"{name}/out"), "windows", ["start", "event_type"])
+    queues.run_available(queues.window_counts(_stream(spark, sf), "1 day", ["event_type"]), sink, f"{name}/state", "update")
+    return sink.rows().withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - last < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
     FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)) GROUP BY user_id, s""")
 def stream_session_counts(spark, sf):
-    out = _run(spark, queues.session_counts(_stream(spark, sf), "30 minutes", ["user_id"]), "complete")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    """Sessions come when the watermark has passed them, the last ones with a closing row."""
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    start = lambda events: queues.appending(queues.session_counts(events, "30 minutes", ["user_id"]), f"{name}/out", f"{name}/state")
+    stateful.flushed(spark, start, _stream(spark, sf), f"{name}/closing")
+    return spark.read.parquet(f"{name}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query(f"SELECT job_id, faces AND clip AS done FROM (SELECT {JOB_ID} AS job_id, bool_or(event_type = 'click') AS faces, bool_or(event_type = 'view') AS clip FROM events GROUP BY 1)")
@@ -561,3 +563,39 @@ def stream_job_state(spark, sf):
     flags = e.select(F.floor(F.col("event_id") / 4).alias("job_id"), *[(F.col("event_type") == k).alias(c) for c, k in kinds.items()])
     states = _run(spark, queues.job_states(flags, "job_id", ("faces", "clip")), "update")
     return states.groupBy("job_id").agg(F.max_by("status", "batch").alias("s")).select("job_id", (F.col("s") == "completed").alias("done"))
+
+
+#: What an event of the table is to a link.
+LINK_EVENTS = {"signup": "enqueue", "view": "claim", "click": "beat", "purchase": "done", "error": "error"}
+
+
+@query()
+def stream_links(spark, sf):
+    """A queue with a link for each user and tens of props, whose work may take two days: its events and what time alone changes."""
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    kind = F.create_map(*[F.lit(x) for pair in LINK_EVENTS.items() for x in pair])[F.col("event_type")]
+    link = F.concat_ws("/", "user_id", F.floor(F.get_json_object("props", "$.k").cast("long") / 10))
+    message = F.when(F.col("event_id") % 2 == 0, "HTTP 429").otherwise("timeout")
+
+    def start(events):
+        # A closing row has no user.
+        told = events.select(F.when(F.col("user_id").isNotNull(), link).alias("link"), "ts", F.col("event_id").alias("id"), kind.alias("kind"), message.alias("message"))
+        with stateful.keyed_state(spark):
+            return queues.appending(stateful.link_changes(told, "link", stall_minutes=2880), f"{name}/out", f"{name}/state")
+
+    stateful.flushed(spark, start, _stream(spark, sf), f"{name}/closing")
+    return spark.read.parquet(f"{name}/out")
+
+
+@query()
+def stream_people(spark, sf):
+    """Faces, three on an image and 200 images a user, matched with the people known so far."""
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, sf, "embeddings")
+    image = F.floor(F.col("vec_id") / 3)
+    faces = F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("face"), F.col("embedding").alias("vector"))))
+    e.groupBy(image.alias("image")).agg(faces.alias("faces")).withColumn("user", F.floor(F.col("image") / 200)).write.parquet(f"{name}/in")
+    images = spark.readStream.schema(spark.read.parquet(f"{name}/in").schema).parquet(f"{name}/in")
+    with stateful.keyed_state(spark):
+        found = stateful.people_of_faces(images, "user", "image", "faces", match=0.3, diverse=0.5)
+        return queues.to_table(found, f"{name}/out", f"{name}/state")

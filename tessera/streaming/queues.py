@@ -70,8 +70,12 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def appending(stream: DataFrame, path: str, checkpoint: str):
+    """Start a query that appends all that is there to a parquet directory."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append all that is there to a parquet directory and return what it holds."""
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    appending(stream, path, checkpoint).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

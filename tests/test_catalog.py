@@ -43,5 +43,5 @@ def test_query(spark, duck, name):
 
 def test_all_have_sql_or_are_known():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {
-        "search_by_vector_index", "cluster_online", "cluster_video", "fts_cover_density", "page_metadata",
+        "search_by_vector_index", "cluster_online", "cluster_video", "fts_cover_density", "page_metadata", "stream_links", "stream_people",
     }

@@ -48,7 +48,7 @@ def history(seed, links=12, n=260):
     return rows
 
 
-def plain(rows):
+def plain(rows, stall=15):
     """One event after the other, with all that is due before it."""
     out, state = [], {}
     say = lambda key, at, what: out.append((key, at, what, state[key]["s"], state[key]["a"]))
@@ -71,10 +71,10 @@ def plain(rows):
             st.update(s="pending", a=0, due=None, wait=False)
             say(key, at, "enqueued")
         elif kind == "claim" and st["s"] in ("pending", "rate_limited") and not st["wait"]:
-            st.update(s="processing", a=st["a"] + 1, due=at + timedelta(minutes=15))
+            st.update(s="processing", a=st["a"] + 1, due=at + timedelta(minutes=stall))
             say(key, at, "claimed")
         elif st["s"] == "processing" and kind == "beat":
-            st["due"] = at + timedelta(minutes=15)
+            st["due"] = at + timedelta(minutes=stall)
         elif st["s"] == "processing" and kind == "done":
             st.update(s="completed", due=None)
             say(key, at, "completed")
@@ -205,3 +205,21 @@ def test_people_after_a_restart(spark, tmp_path):
         run(spark, stateful.people_of_faces(stream, "user", "image", "faces"), tmp_path).awaitTermination()
         got = sorted((r.user, r.image, r.face, r.person) for r in spark.read.parquet(f"{tmp_path}/out").collect())
         assert got == [w[:4] for w in loop(rows[: half if i == 0 else len(rows)])[0]]
+
+
+def test_queries_against_loops(spark):
+    """The registered streams on the given tables."""
+    from tessera.plans import ingest
+
+    sf = "/root/testdata/sf0.001"
+    rows = []
+    for r in spark.read.parquet(f"{sf}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long")).collect():
+        rows.append((f"{r.user_id}/{r.k // 10}", r.ts.replace(microsecond=r.ts.microsecond // 1000 * 1000), r.event_id, ingest.LINK_EVENTS[r.event_type], "HTTP 429" if r.event_id % 2 == 0 else "timeout"))
+    got = spark.read.parquet(*ingest.stream_links(spark, sf).inputFiles()).withColumn("at", F.col("at").cast("timestamp_ntz")).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 2880) and len({r.change for r in got}) >= 5
+    images = {}
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect():
+        images.setdefault(r.vec_id // 3, []).append((r.vec_id, list(r.embedding)))
+    want, _ = loop([(i // 200, i, faces) for i, faces in images.items()], 0.3, 0.5)
+    got = sorted((r.user, r.image, r.face, r.person) for r in ingest.stream_people(spark, sf).collect())
+    assert got == [w[:4] for w in want] and len({w[3] for w in want}) > 5
