@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import days_remaining
-from tessera.operators import facets, feed, filters
+from tessera.operators import facets, feed, feed_table, filters
 from tessera.operators.filters import FeedRequest, apply_filters
 from tessera.plans import views
 from tessera.plans.views import ASSET_TAGS_SQL, FACES_SQL, NOW, PERSONS_SQL, assets_sql
@@ -232,3 +232,33 @@ def map_clusters(spark, sf):
     cells = facets.map_cells(table(spark, sf, "customer").withColumn("lng", F.col("c_nationkey") * 100.0), "c_acctbal", "lng", 500.0)
     back = [(F.col(f"{a}_lng") / 100).cast("int").alias(f"{a}_lng") for a in ("min", "max")]
     return cells.select("row", "col", "count", "min_lat", "max_lat", *back)
+
+
+# --- pages from a table in page order ---
+
+
+def _pages(spark, sf, sort: str, count: int, keep=None, **more) -> DataFrame:
+    """The rows of the first pages, one after the other, each from the last row of the one before."""
+    rows = views.assets(spark, sf, True)
+    held = feed_table.build(apply_filters(rows, FeedRequest()).select("id", "captured_at", "is_favorite"), sort, part_rows=2_000)
+    out, req = [], FeedRequest(sort=sort, **more)
+    for n in range(count):
+        own, follows, _ = feed_table.page(spark, held, req, keep)
+        out += [(n, r.id, r.captured_at) for r in own]
+        if not follows:
+            break
+        req = FeedRequest(sort=sort, cursor_id=own[-1].id, cursor_captured_at=own[-1].captured_at, **more)
+    return spark.createDataFrame(out, "page int, id long, captured_at timestamp_ntz")
+
+
+PAGES_SQL = "SELECT CAST((r - 1) // {n} AS INTEGER) AS page, id, captured_at FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS r FROM (SELECT *, {shuffle} AS shuffle FROM (SELECT *, CAST('0x' || substr(md5(id || '1337'), 1, 8) AS BIGINT) AS h FROM {assets} WHERE deleted_at IS NULL{where}))) WHERE r <= {n} * 4"
+
+
+@query(PAGES_SQL.format(n=50, order="captured_at DESC NULLS LAST, id DESC", shuffle=SHUFFLE, assets=assets_sql(True), where=""))
+def feed_pages_by_parts(spark, sf):
+    return _pages(spark, sf, "added", 4)
+
+
+@query(PAGES_SQL.format(n=70, order="shuffle, id", shuffle=SHUFFLE, assets=assets_sql(True), where=" AND is_favorite"))
+def feed_pages_shuffled_by_parts(spark, sf):
+    return _pages(spark, sf, "random", 4, lambda rows: rows.where("is_favorite"), limit=70)
