@@ -13,7 +13,7 @@ from tessera.operators.folders import folder_albums
 from tessera.plans import views
 from tessera.plans.views import NOW, assets_sql
 from tessera.session import shared_dir, table
-from tessera.sources import pages, playlists, social, uploads
+from tessera.sources import headers, pages, playlists, social, uploads
 from tessera.streaming import queues, stateful
 
 QUERIES: dict = {}
@@ -565,6 +565,35 @@ def stream_job_state(spark, sf):
     return states.groupBy("job_id").agg(F.max_by("status", "batch").alias("s")).select("job_id", (F.col("s") == "completed").alias("done"))
 
 
+# --- files by their bytes ---
+
+
+def _images(spark, sf):
+    """An image header for each document, as wide as its id and as high as its length tell: PNG, GIF or JPEG."""
+    w, h = F.col("doc_id") % 5000 + 1, F.col("n_chars") % 3000 + 1
+    wide = lambda x, n: F.lpad(F.hex(x), n, "0")
+    turned = lambda x: F.concat(wide(x % 256, 2), wide(F.floor(x / 256), 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(w, 8), wide(h, 8), F.lit("0806000000" + "00" * 4 + "0000000049454E44AE426082"))
+    gif = F.concat(F.lit("474946383961"), turned(w), turned(h), F.lit("00" * 12))
+    jpeg = F.concat(F.lit("FFD8FFE0000400" + "00FFC0000B08"), wide(h, 4), wide(w, 4), F.lit("01011100FFD9"))
+    return table(spark, sf, "documents").withColumn("data", F.unhex(F.element_at(F.array(png, gif, jpeg), (F.col("doc_id") % 3 + 1).cast("int"))))
+
+
+@query("SELECT doc_id, ['png', 'gif', 'jpeg'][CAST(doc_id % 3 + 1 AS INTEGER)] AS format, CAST(doc_id % 5000 + 1 AS INTEGER) AS width, CAST(n_chars % 3000 + 1 AS INTEGER) AS height FROM documents")
+def headers_read(spark, sf):
+    return _images(spark, sf).select("doc_id", headers.fields(F.col("data")).alias("f")).select("doc_id", "f.format", "f.width", "f.height")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN source END AS description, CASE WHEN doc_id % 3 <> 1 THEN lang END AS artist, CASE WHEN doc_id % 3 <> 1 THEN CAST(year(t) AS INTEGER) END AS year, CASE WHEN doc_id % 3 <> 1 THEN CAST(day(t) AS INTEGER) END AS day,
+    CASE WHEN doc_id % 3 <> 1 THEN round(doc_id % 180 - 89.75, 6) END AS latitude, CAST(doc_id % 5000 + 1 AS INTEGER) AS width FROM (SELECT *, DATE '1990-01-01' + CAST(doc_id % 9000 AS INTEGER) AS t FROM documents)""")
+def headers_written(spark, sf):
+    """What is written into the files, read back; a GIF can't hold any."""
+    taken = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int"))
+    data = headers.written(F.col("data"), F.col("source"), F.col("lang"), taken, F.col("doc_id") % 180 - 89.75, F.lit(12.5))
+    own = _images(spark, sf).select("doc_id", headers.fields(data).alias("f"))
+    return own.select("doc_id", "f.description", "f.artist", "f.year", "f.day", F.round("f.latitude", 6).alias("latitude"), "f.width")
+
+
 #: What an event of the table is to a link.
 LINK_EVENTS = {"signup": "enqueue", "view": "claim", "click": "beat", "purchase": "done", "error": "error"}
 
