@@ -585,7 +585,7 @@ def headers_read(spark, sf):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN source END AS description, CASE WHEN doc_id % 3 <> 1 THEN lang END AS artist, CASE WHEN doc_id % 3 <> 1 THEN CAST(year(t) AS INTEGER) END AS year, CASE WHEN doc_id % 3 <> 1 THEN CAST(day(t) AS INTEGER) END AS day,
-    CASE WHEN doc_id % 3 <> 1 THEN round(doc_id % 180 - 89.75, 6) END AS latitude, CAST(doc_id % 5000 + 1 AS INTEGER) AS width FROM (SELECT *, DATE '1990-01-01' + CAST(doc_id % 9000 AS INTEGER) AS t FROM documents)""")
+    CASE WHEN doc_id % 3 <> 1 THEN round(CAST(doc_id % 180 AS DOUBLE) - 89.75, 6) END AS latitude, CAST(doc_id % 5000 + 1 AS INTEGER) AS width FROM (SELECT *, DATE '1990-01-01' + CAST(doc_id % 9000 AS INTEGER) AS t FROM documents)""")
 def headers_written(spark, sf):
     """What is written into the files, read back; a GIF can't hold any."""
     taken = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int"))
