@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, ingest
 from tessera.session import TABLES
 
 SF = "/root/testdata/sf0.01"
@@ -41,6 +41,15 @@ def test_query(spark, duck, name):
         assert cells(got) == cells(want.df())
 
 
+@pytest.mark.parametrize("name", sorted(ingest.EXAMPLES))
+def test_example(spark, duck, name):
+    make, sql = ingest.EXAMPLES[name]
+    assert name not in catalog.QUERIES
+    df, want = make(spark, SF), duck.sql(sql)
+    assert {c: KINDS.get(k, k) for c, k in df.dtypes} == dict(zip(want.columns, map(str, want.types), strict=True))
+    assert cells(df.toPandas()) == cells(want.df())
+
+
 def test_all_have_sql_or_are_known():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {
         "search_by_vector_index", "cluster_online", "cluster_video", "fts_cover_density", "page_metadata", "stream_links", "stream_people",
