@@ -24,8 +24,13 @@ def children(assets: DataFrame, path: str, newest: Column, cover: str = "thumb_p
     return out.select("name", F.concat(F.lit(f"{at}/" if at else ""), "name").alias("full_path"), "media_count", "cover_thumb")
 
 
+def name_order(name: str = "name") -> list[Column]:
+    """By name whatever its case, which decides between equal names."""
+    return [F.lower(name), F.col(name)]
+
+
 def by_name(df: DataFrame, name: str = "name") -> DataFrame:
-    return df.orderBy(F.lower(name), name)
+    return df.orderBy(*name_order(name))
 
 
 def suggestions(folders: DataFrame, titles: DataFrame, query: str | None = None) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import commits, filters, folders, mutations, snapshots, vectors
+from tessera.operators import commits, detect, filters, folders, mutations, snapshots, vectors
 from tessera.plans import views
-from tessera.plans.views import FOLDERS_SQL, NOW, assets_sql
+from tessera.plans.views import ASSET_TAGS_SQL, FOLDERS_SQL, NOW, assets_sql
 from tessera.session import shared_dir, table
+from tessera.sources import uploads
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,11 +185,14 @@ def albums_after_collection(spark, sf):
     return mutations.albums_collected(a, _members(spark, sf), views.now()).select("album_id")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY lower(c_mktsegment), c_mktsegment, c_custkey LIMIT 50")
+TITLES = "CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN upper(c_mktsegment) ELSE c_mktsegment || ' ' || c_custkey % 7 END"
+
+
+@query(f"SELECT id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(title), title, id) AS INTEGER) AS place FROM (SELECT c_custkey AS id, c_nationkey, {TITLES} AS title FROM customer)")
 def albums_by_name(spark, sf):
-    """One page of albums by name."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("title"))
-    return folders.by_name(c, "title").limit(50).select("id", "name")
+    """The place of each album in its nation by name, whatever its case, which decides between equal names."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", F.expr(TITLES).alias("title"))
+    return c.select("id", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*folders.name_order("title"), "id")).alias("place"))
 
 
 @query("""SELECT o_orderkey AS id, '?sort=' || CASE WHEN o_orderkey % 2 = 0 THEN 'random&seed=' || o_orderkey ELSE 'date' END || CASE WHEN o_orderstatus <> 'F' THEN '&camera_model=' || o_orderstatus ELSE '' END || '&city=' || replace(url_encode(o_orderpriority), '%20', '+') AS q FROM orders""")
@@ -343,3 +348,74 @@ def deletes_cascaded(spark, sf):
     assets = table(spark, sf, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("asset_id"))
     kept = mutations.valid_references(lines.join(assets, "asset_id", "left_semi"), "person_id", table(spark, sf, "supplier").where("s_suppkey % 4 <> 0"), "s_suppkey")
     return kept.groupBy("asset_id").agg(F.count("*").alias("n"), F.count("person_id").alias("with_person"))
+
+
+# --- expressions and decoders over whole tables ---
+
+
+@query(f"SELECT id FROM {assets_sql()} WHERE deleted_at IS NULL AND user_id = 100 AND is_favorite")
+def filter_tenant(spark, sf):
+    """The live favourites of one user."""
+    return filters.apply_filters(views.assets(spark, sf), filters.FeedRequest(user_id=100, favorite=filters.lenient_bool("true"))).select("id")
+
+
+@query(f"SELECT id FROM {assets_sql()} WHERE deleted_at IS NULL AND id IN (SELECT asset_id FROM {ASSET_TAGS_SQL} WHERE lower(name) IN ('brand#1', 'brand#2') GROUP BY asset_id HAVING count(DISTINCT lower(name)) = 2)")
+def filter_tags_of_a_list(spark, sf):
+    """Tags as a parameter gives them: with blanks, in any case, with an empty one."""
+    tags = views.asset_tags(spark, sf).withColumn("name", F.lower("name"))
+    req = filters.FeedRequest(tags=filters.csv_names(" Brand#1, ,BRAND#2,"))
+    return filters.apply_filters(views.assets(spark, sf), req, tags=tags).select("id")
+
+
+VECTORS = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(f"""SELECT vec_id, round(CASE WHEN vec_id % 5 < 2 THEN 0.0 ELSE list_dot_product(v, list_reverse(v)) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(list_reverse(v), list_reverse(v)))) END, 6) AS similarity FROM {VECTORS}""")
+def cosine_of_any_lengths(spark, sf):
+    """Vectors with their mirror image, with one of another length, and with none."""
+    v, i = F.col("embedding"), F.col("vec_id") % 5
+    other = F.when(i == 0, F.slice(v, 1, F.size(v) - 1)).when(i == 1, F.slice(v, 1, 0)).otherwise(F.reverse(v))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.cosine(v, other), 6).alias("similarity"))
+
+
+@query(f"SELECT vec_id, pos, round(x / sqrt(list_dot_product(u, u)), 6) AS x FROM (SELECT vec_id, u, unnest(u) AS x, unnest(range(len(u))) AS pos FROM (SELECT vec_id, list_transform(list_zip(v, list_reverse(v)), lambda p: p[1] * (vec_id % 10 + 1) + p[2]) AS u FROM {VECTORS}))")
+def centroids_moved(spark, sf):
+    """A centroid of some vectors after one more."""
+    moved = vectors.moved_centroid(F.col("embedding"), F.col("vec_id") % 10 + 1, F.reverse("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(moved).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH t AS (SELECT vec_id, list_transform(v, lambda x: abs(x) * 3) AS scores, list_transform(range(256), lambda j: abs(v[CAST(j % 64 + 1 AS INTEGER)]) * 40) AS boxes, 0.5 + vec_id % 3 * 0.25 AS scale FROM {VECTORS}),
+    c AS (SELECT vec_id, scale, boxes, unnest(scores) AS score, unnest(range(64)) AS cell FROM t),
+    b AS (SELECT vec_id, cell, score, (cell // 2 % 8 * 8 - boxes[cell * 4 + 1] * 8 - 4) / scale AS x1, (cell // 2 // 8 * 8 - boxes[cell * 4 + 2] * 8 - 2) / scale AS y1, (cell // 2 % 8 * 8 + boxes[cell * 4 + 3] * 8 - 4) / scale AS x2, (cell // 2 // 8 * 8 + boxes[cell * 4 + 4] * 8 - 2) / scale AS y2 FROM c WHERE score >= 0.6)
+    SELECT vec_id, CAST(cell AS INTEGER) AS cell, round(score, 6) AS score, round(least(greatest(x1 / 640, 0), 1), 6) AS x, round(least(greatest(y1 / 480, 0), 1), 6) AS y, round((x2 - x1) / 640, 6) AS w, round((y2 - y1) / 480, 6) AS h FROM b WHERE x2 - x1 >= 12 AND y2 - y1 >= 12""")
+def anchors_decoded(spark, sf):
+    """Boxes of a detector's output level of 8 x 4 spots with two anchors, made from each vector's entries."""
+    v = vectors.doubles(F.col("embedding"))
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda j: F.abs(F.get(v, j % 64)) * 40)
+    sizes = [F.lit(float(x)).alias(n) for x, n in ((4, "pad_x"), (2, "pad_y"), (640, "img_w"), (480, "img_h"))]
+    tensors = table(spark, sf, "embeddings").select("vec_id", F.transform(v, lambda x: F.abs(x) * 3).alias("scores"), boxes.alias("boxes"), (F.col("vec_id") % 3 * 0.25 + 0.5).alias("scale"), *sizes)
+    out = detect.decoded_anchors(tensors, "vec_id", 8, 8, 0.6)
+    return out.select("vec_id", "cell", *[F.round(c, 6).alias(c) for c in ("score", "x", "y", "w", "h")])
+
+
+@query(f"""WITH p AS (SELECT vec_id, v[i * 4 + 1] AS x, v[i * 4 + 2] AS y, v[i * 4 + 3] AS u, v[i * 4 + 4] AS w FROM (SELECT vec_id, v, CAST(unnest(range(5)) AS INTEGER) AS i FROM {VECTORS})),
+    m AS (SELECT *, x - avg(x) OVER q AS dx, y - avg(y) OVER q AS dy, u - avg(u) OVER q AS du, w - avg(w) OVER q AS dw FROM p WINDOW q AS (PARTITION BY vec_id)),
+    s AS (SELECT vec_id, sum(dx * du + dy * dw) / sum(dx * dx + dy * dy) AS a, sum(dx * dw - dy * du) / sum(dx * dx + dy * dy) AS b, avg(x) AS x, avg(y) AS y, avg(u) AS u, avg(w) AS w FROM m GROUP BY vec_id)
+    SELECT vec_id, round(a, 6) AS a, round(b, 6) AS b, round(u - a * x + b * y, 6) AS tx, round(w - b * x - a * y, 6) AS ty FROM s""")
+def faces_aligned(spark, sf):
+    """The similarity that takes five points to five others, in each vector's entries."""
+    at = lambda k: F.get(vectors.doubles(F.col("embedding")), F.col("i") * 4 + k)
+    points = table(spark, sf, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("vec_id", *[at(k).alias(c) for k, c in enumerate("xyuv")])
+    return detect.similarity_transform(points, ["vec_id"]).select("vec_id", *[F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")])
+
+
+@query("SELECT p_partkey || ' ' || p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE CAST(p_size AS INTEGER) END AS category FROM part WHERE p_partkey % 7 <> 0")
+def vocabulary_read(spark, sf):
+    """A vocabulary written as CSV: some rows are short, some categories no numbers."""
+    path = f"{shared_dir(spark)}/vocabulary-{uuid.uuid4().hex}"
+    key = F.col("p_partkey")
+    name = F.replace(F.concat_ws("_", key.cast("string"), "p_name"), F.lit(" "), F.lit("_"))
+    line = F.concat_ws(",", name, F.when(key % 3 == 0, "none").otherwise(F.col("p_size").cast("string")), F.when(key % 7 != 0, "12"))
+    table(spark, sf, "part").select(line.alias("value")).write.text(path)
+    return uploads.vocabulary(spark, path)
