@@ -353,10 +353,10 @@ def deletes_cascaded(spark, sf):
 # --- expressions and decoders over whole tables ---
 
 
-@query(f"SELECT id FROM {assets_sql()} WHERE deleted_at IS NULL AND user_id = 100 AND is_favorite")
+@query(f"SELECT id FROM {assets_sql()} WHERE deleted_at IS NULL AND user_id = 100 AND duration_seconds IS NULL")
 def filter_tenant(spark, sf):
-    """The live favourites of one user."""
-    return filters.apply_filters(views.assets(spark, sf), filters.FeedRequest(user_id=100, favorite=filters.lenient_bool("true"))).select("id")
+    """The live photos of one user."""
+    return filters.apply_filters(views.assets(spark, sf), filters.FeedRequest(user_id=100, media_type="photos", trash=bool(filters.lenient_bool("0")))).select("id")
 
 
 @query(f"SELECT id FROM {assets_sql()} WHERE deleted_at IS NULL AND id IN (SELECT asset_id FROM {ASSET_TAGS_SQL} WHERE lower(name) IN ('brand#1', 'brand#2') GROUP BY asset_id HAVING count(DISTINCT lower(name)) = 2)")
