@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,7 +22,14 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROOT = 0x9E3779B97F4A7C15 | 1
 
 
-_staged: list[str] = []
+class _Own(threading.local):
+    """What a thread has staged: calls side by side in one session know nothing of each other's tables."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_staged = _Own()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -32,7 +40,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
+    _staged.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,10 +53,10 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
     """stage() what make gives, and delete the tables that were staged on the way: nothing reads them any more."""
-    before = len(_staged)
+    before = len(_staged.paths)
     out = stage(make(), label)
-    _delete(spark, _staged[before:-1])
-    del _staged[before:-1]
+    _delete(spark, _staged.paths[before:-1])
+    del _staged.paths[before:-1]
     released(spark)
     return out
 
@@ -60,10 +68,10 @@ def released(spark: SparkSession) -> None:
 
 
 def clear_staged(spark: SparkSession) -> int:
-    """Delete what this process has staged; returns how many tables that were."""
-    n = len(_staged)
-    _delete(spark, _staged)
-    _staged.clear()
+    """Delete what this thread has staged; returns how many tables that were."""
+    n = len(_staged.paths)
+    _delete(spark, _staged.paths)
+    _staged.paths.clear()
     return n
 
 

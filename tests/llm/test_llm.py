@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import threading
 from collections import Counter
 
 import numpy as np
@@ -826,12 +827,44 @@ def test_staging_without_a_folder_of_the_cluster():
 
 def test_staged_tables_are_read_back_and_cleared(spark):
     df = common.stage(spark.range(5), "numbers")
-    path = common._staged[-1]
+    path = common._staged.paths[-1]
     assert df.count() == 5 and common.clear_staged(spark) >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
 
 
+def test_operators_side_by_side(spark, docs, rows):
+    """Three operators that stage and delete, and the pipeline's stages, in threads of one session: each has its right result."""
+    import corpus_pipeline as p
+
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    lines = {i: x[2] for i, x in brute_lines(rows).items()}
+    words, failed = {i: x[2] for i, x in brute_phrases({r[0]: (r[1] or "").encode() for r in rows}, 35).items()}, []
+
+    def near():
+        assert {r._id: r._component for r in minhash.near_duplicates(docs, percent=85).collect()} == want
+
+    def same():
+        assert {r.doc_id: r.text or "" for r in line_dedup.dedup_lines(docs).collect()} == lines
+
+    def phrases():
+        assert {r.doc_id: r.kept.encode() for r in phrase_dedup.remove_phrases(docs).collect()} == words
+
+    def pipeline():
+        assert p.run(spark, SF).count() > 20
+
+    def attempt(job):
+        try:
+            job()
+        except BaseException as e:
+            failed.append((job.__name__, repr(e)[:300]))
+
+    threads = [threading.Thread(target=attempt, args=(job,)) for job in (near, same, phrases, pipeline)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed
+
+
 # --- pipeline ---
 
 
