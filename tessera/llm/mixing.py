@@ -5,6 +5,11 @@ order of the source's documents, one random offset is added, and a document is e
 boundary that the sum crosses at it. The order is by size, so any stretch of it has the mean size of its
 neighbours and the words taken come near the target whichever offset is drawn.
 
+A document that alone holds more than one in HEAVY of its source's words would decide by its boundary whether the target is
+met. Such documents, at most HEAVY of a source, are expected a whole number of times, so that any offset crosses as many
+boundaries at them: from the largest on, the number that brings the words so far nearest to their share. All others of
+the source share what is left to the target evenly.
+
 The prefix sums are made in two levels: of blocks of the order (a size class and a hash bucket within it),
 then within each block, so that no source is ever in one task.
 """
@@ -20,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, joined, quoted, stage, texts_of, word_spans
 
-#: Documents of one block of the order, about.
+#: Documents of one block of the order, about; and the share of a source's words, as one in so many, that makes a document heavy.
 BLOCK_ROWS = 50_000
+HEAVY = 256
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,6 +60,18 @@ def _offset(seed: int, source: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(source, F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
+def _whole_copies(sizes: Column, rate: Column, most: float) -> Column:
+    """Of heavy documents' sizes, largest first: words (their sum), taken, and copies, the whole number of each."""
+
+    def step(so_far: Column, size: Column) -> Column:
+        words = so_far["words"] + size
+        n = F.least(F.greatest(F.floor((rate * words - so_far["taken"]) / size + 0.5), F.lit(0)), F.floor(F.lit(float(most))))
+        return F.struct(words.alias("words"), (so_far["taken"] + n * size).alias("taken"), F.concat(so_far["copies"], F.array(n)).alias("copies"))
+
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("copies"))
+    return F.aggregate(sizes, start, step)
+
+
 def _sized(keep_text: bool):
     """Adds size, the number of words of _text; _text goes unless it is kept."""
 
@@ -108,7 +126,16 @@ def copies(
     sizes = narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = source_targets(sizes, weights, share, most)
     sources = sources.select(F.col("_source").alias("_src"), "source_size", "target", "n_docs", _offset(seed, F.col("_source")).alias("_offset"))
-    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    heavy = (F.col("size") > 0) & (F.col("size") * HEAVY >= F.col("source_size"))
+    sources = stage(sources.withColumn("_rate", rate), "sources")
+    large = narrow.join(sources, F.col("_source").eqNullSafe(F.col("_src"))).where(heavy)
+    large = large.groupBy(F.col("_source").alias("_ls")).agg(F.sort_array(F.collect_list("size"), asc=False).alias("_sizes"))
+    sources = sources.join(large, F.col("_src").eqNullSafe(F.col("_ls")), "left").drop("_ls")
+    sources = sources.withColumn("_h", _whole_copies(F.coalesce("_sizes", F.array().cast("array<bigint>")), F.col("_rate"), most)).drop("_sizes")
+    others = F.col("source_size") - F.col("_h.words")
+    left = F.least(F.greatest((F.col("target") - F.col("_h.taken")) / others, F.lit(0.0)), F.lit(float(most)))
+    sources = sources.withColumn("_e", F.when(others > 0, left).otherwise(F.col("_rate"))).withColumn("_whole", F.col("_h.copies")).drop("_h", "_rate")
     # Eight classes an octave; the buckets within a class follow the source's number of documents.
     size_class = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
     bucket = F.pmod(F.shiftright("_mix", 20), F.ceil(F.col("n_docs") / BLOCK_ROWS)).cast("int")
@@ -116,22 +143,27 @@ def copies(
     sources = stage(sources, "sources")
 
     def ranked_of(rows: DataFrame) -> DataFrame:
-        out = rows.join(sources, F.col("_source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_e", expected)
+        out = rows.join(sources, F.col("_source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_heavy", heavy)
         return out.withColumn("_class", size_class).withColumn("_bucket", bucket)
 
     ranked = ranked_of(base)
-    blocks = ranked_of(narrow).groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("_n"))
+    blocks = ranked_of(narrow).where(~F.col("_heavy")).groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("_n"))
     along = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         F.col("_source").alias("_bs"), F.col("_class").alias("_bc"), F.col("_bucket").alias("_bb"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before")
     )
     at = F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_class") == F.col("_bc")) & (F.col("_bucket") == F.col("_bb"))
     within = Window.partitionBy("_source", "_class", "_bucket").orderBy("size", "_mix", F.col("doc_id").asc_nulls_last())
-    placed = ranked.join(blocks, at).withColumn("_at", F.col("_before") + F.row_number().over(within))
-    # Expected copies are the same for all of a source, so their prefix sum is a product, free of summing errors.
+    placed = ranked.where(~F.col("_heavy")).join(blocks, at).withColumn("_at", F.col("_before") + F.row_number().over(within))
+    # Expected copies are the same for all of these in a source, so their prefix sum is a product, free of summing errors.
     crossed = F.floor(F.col("_at") * F.col("_e") + F.col("_offset")) - F.floor((F.col("_at") - 1) * F.col("_e") + F.col("_offset"))
-    bounded = F.least(crossed, F.floor(F.lit(float(most)))).cast("long")
-    return placed.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", bounded.alias("copies"), *[f"_c{i}" for i in range(len(carry))])
+    placed = placed.withColumn("_n", F.least(crossed, F.floor(F.lit(float(most)))).cast("long"))
+    # A whole number of expected copies crosses as many boundaries, wherever it begins.
+    first = Window.partitionBy("_source").orderBy(F.desc("size"), "_mix", F.col("doc_id").asc_nulls_last())
+    whole = ranked.where("_heavy").withColumn("_n", F.element_at("_whole", F.row_number().over(first)))
+    names = ["doc_id", "_source", "size", "source_size", "target", "_n", *[f"_c{i}" for i in range(len(carry))]]
+    placed = placed.select(*names).unionByName(whole.select(*names)).withColumnRenamed("_n", "copies")
+    return placed.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", "copies", *[f"_c{i}" for i in range(len(carry))])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
