@@ -3,12 +3,12 @@
 1. Passages that recur are confirmed: a task counts the windows of the fragments that share an anchor (passages.py
    says what these are), each weighted with its copies, and joins consecutive recurring ones to passages.
 2. The passages are dealt to shards by anchor, and each shard is compiled into an automaton over word numbers.
-3. All documents stream through the automata: every place of every document where the anchor of a passage stands
-   is sent to that anchor's shard, so a document meets only the shards that can hold a passage of it. What the
-   automata report is what goes; the counts of the first step only say which passages they are made of. Places with
-   the same words come one after the other, and are looked up once.
+3. All documents stream through the automata: what stands at every place of every document where the anchor of a passage
+   is found is sent to that anchor's shard, so a document meets only the shards that can hold a passage of it. Places
+   with the same words are one fragment, which streams once, and what is found in it holds for all its places. What
+   the automata report is what goes; the counts of the first step only say which passages they are made of.
 
-A shard that many documents stream through is compiled in several tasks, which share them out.
+A shard through which much streams is compiled in several tasks, which share that out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column, others, quoted, settled, stage, texts_of
-from tessera.llm.passages import Repeats, Unit, cut_places, grouped, keyed, merged, row_tuples, rows_batch
+from tessera.llm.passages import Repeats, Unit, grouped, keyed, merged, row_tuples, rows_batch
 
 #: Words of the passages compiled into one automaton, about: it takes some 60 bytes for each.
 SHARD_WORDS = 100_000
@@ -78,27 +78,14 @@ def _passages(unit: Unit):
     return run
 
 
-def _streamed(unit: Unit):
-    """The words of every place where a known anchor stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ths = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
-            for row, lo, _, _, (anchor, f), data in cut_places(unit, batch, ("_anchor", "_f")):
-                cols = [pa.array(anchor), pa.array(f), pa.array(ids[row]), pa.array(ths[row]), pa.array(lo), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["_anchor", "_f", "_id", "_th", "_lo", "_bytes"])
-
-    return run
-
-
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shard, its passages first: compile these, then stream the others and report where passages stand."""
+    """Rows of a shard, its passages first: compile these, then stream the others and report where in them passages stand."""
     import ahocorasick
 
-    key, passage, numbers, automaton, last, found, out = None, True, {}, None, None, [], []
-    for shard, salt, streamed, i, th, lo, data in row_tuples(batches):
+    key, passage, numbers, automaton, out = None, True, {}, None, []
+    for shard, salt, streamed, anchor, f, data in row_tuples(batches):
         if (shard, salt) != key:
-            key, passage, numbers, last = (shard, salt), True, {}, None
+            key, passage, numbers = (shard, salt), True, {}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         if not streamed:
             automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in data.split(b" ")]))
@@ -106,39 +93,42 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if passage:
             passage = False
             automaton.make_automaton()
-        if data != last:
-            hits = automaton.iter(tuple([numbers.get(w, 0) for w in data.split(b" ")])) if len(automaton) else ()
-            last, found = data, merged([{"s": end + 1 - size, "e": end + 1} for end, size in hits])
-        out.extend((i, th, lo + s, lo + e) for s, e in found)
+        hits = automaton.iter(tuple([numbers.get(w, 0) for w in data.split(b" ")])) if len(automaton) else ()
+        out.extend((anchor, f, s, e) for s, e in merged([{"s": end + 1 - size, "e": end + 1} for end, size in hits]))
         if len(out) >= 20_000:
-            yield rows_batch(out, ["_id", "_th", "s", "e"])
+            yield rows_batch(out, ["_anchor", "_f", "s", "e"])
             out = []
-    yield rows_batch(out, ["_id", "_th", "s", "e"])
+    yield rows_batch(out, ["_anchor", "_f", "s", "e"])
 
 
 def located(repeats: Repeats, window: int) -> DataFrame:
     """For documents with recurring passages: _id, _th and _runs, the runs of words that automata found, unsorted and overlapping."""
+    spark, parts = repeats.base.sparkSession, repeats.parts()
 
     def confirmed() -> DataFrame:
-        parts = repeats.parts()
         cut = parts.join(repeats.ranges(parts, _solver(window)), ["_anchor", "_f"]).select("_anchor", "_off", "_bytes", "_ranges")
         return cut.mapInArrow(_passages(repeats.unit), "_anchor long, _bytes binary, _words long").distinct()
 
-    passages = settled(repeats.base.sparkSession, confirmed, "passages")
+    passages = settled(spark, confirmed, "passages")
     shards = 1 + (passages.agg(F.sum("_words")).first()[0] or 0) // SHARD_WORDS
     shard = lambda a: F.pmod(F.xxhash64(a), F.lit(shards)).alias("_shard")
-    size = F.shiftright("_at", 10).bitwiseAND(F.lit(1023)) - 1 + F.lit(window)
-    places = repeats.again.join(stage(passages.select("_anchor").distinct(), "found"), "_anchor", "left_semi")
-    load = stage(places.groupBy(shard("_anchor")).agg(F.ceil(F.sum(size) / STREAM_WORDS).cast("int").alias("_salts")), "shards")
+    held = parts.join(stage(passages.select("_anchor").distinct(), "found"), "_anchor", "left_semi")
+    load = stage(held.groupBy(shard("_anchor")).agg(F.ceil(F.sum(F.col("_wins") - 1 + F.lit(window)) / STREAM_WORDS).cast("int").alias("_salts")), "shards")
     none = F.lit(0).cast("long")
     known = passages.select(shard("_anchor"), "_bytes").join(load, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    known = known.select("_shard", "_salt", F.lit(False).alias("_streamed"), none.alias("_f"), none.alias("_id"), none.alias("_th"), none.alias("_lo"), "_bytes")
-    stream = repeats.fetched(places.select("_id", "_th", "_at", "_anchor", "_f"), _streamed(repeats.unit), "_anchor long, _f long, _id long, _th long, _lo long, _bytes binary")
-    stream = stream.select("*", shard("_anchor")).join(load, "_shard")
-    stream = stream.select("_shard", F.pmod(F.xxhash64("_id", "_th", "_lo"), "_salts").alias("_salt"), F.lit(True).alias("_streamed"), "_f", "_id", "_th", "_lo", "_bytes")
-    rows = known.unionByName(stream).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_streamed", "_f").drop("_f")
-    found = rows.mapInArrow(_locate, "_id long, _th long, s long, e long")
-    return found.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
+    known = known.select("_shard", "_salt", F.lit(False).alias("_streamed"), none.alias("_anchor"), none.alias("_f"), "_bytes")
+    stream = held.select("_anchor", "_f", "_bytes", shard("_anchor")).join(load, "_shard")
+    stream = stream.select("_shard", F.pmod(F.xxhash64("_anchor", "_f"), "_salts").alias("_salt"), F.lit(True).alias("_streamed"), "_anchor", "_f", "_bytes")
+    rows = known.unionByName(stream).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_streamed")
+
+    def reported() -> DataFrame:
+        found = rows.mapInArrow(_locate, "_anchor long, _f long, s long, e long")
+        return found.groupBy("_anchor", "_f").agg(F.collect_list(F.struct("s", "e")).alias("_found"))
+
+    lo = F.shiftright("_at", 20)
+    runs = F.transform("_found", lambda r: F.struct((lo + r["s"]).alias("s"), (lo + r["e"]).alias("e"))).alias("_runs")
+    places = repeats.again.join(settled(spark, reported, "reported"), ["_anchor", "_f"]).select("_id", "_th", runs)
+    return places.groupBy("_id", "_th").agg(F.flatten(F.collect_set("_runs")).alias("_runs"))
 
 
 def _remove(names: list[str]):
