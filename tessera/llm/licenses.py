@@ -1,7 +1,12 @@
 """Licences in texts: word-bigram Dice coefficient against templates.
 
 Compared are the segments of a text that can be a notice or a licence: each line, each block of several lines without
-a blank one between, and the whole text if it has more than one block. A segment with x distinct bigrams can reach
+a blank one between, the whole text if it has more than one block, and, for each template of 40 bigrams or more, the
+stretches of lines that are made of it: a line counts two for each of its bigrams that the template has, less one for
+each bigram; a stretch is a run of lines of the largest sum (of equal ones the shortest, then the first), and the same
+again to its left and right. All stretches are found in one pass over the lines (Ruzzo and Tompa). Of segments that
+overlap, the one that shares most with its licence stays (bigrams shared times coefficient; of equals the shortest), so
+a notice within a licence, or a licence that resembles a longer one, gives way to it. A segment with x distinct bigrams can reach
 a coefficient c only with templates of between x * c / (2 - c) and x * (2 - c) / c; templates outside these bounds
 are never compared.
 
@@ -13,7 +18,7 @@ bigrams has no template. This is counted for all segments of a batch at once.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
 from pathlib import Path
 
@@ -96,33 +101,86 @@ def _grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, range_hash(hashes, at, at + 2) if len(at) else np.zeros(0, np.uint64)
 
 
+def stretches(values: list[int]) -> list[tuple[int, int]]:
+    """The run of largest positive sum, and so on to its left and right, in one pass: first and last place of each, in order."""
+    held: list[tuple[int, int, int, int]] = []  # first, last, sum before, sum with it
+    total = 0
+    for k, v in enumerate(values):
+        total += v
+        if v <= 0:
+            continue
+        now = (k, k, total - v, total)
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= now[2]:
+                j -= 1
+            if j < 0 or held[j][3] >= now[3]:
+                held.append(now)
+                break
+            now = (held[j][0], k, held[j][2], total)
+            del held[j:]
+    return [(a, b) for a, b, _, _ in held]
+
+
+def _hashes(text: str) -> np.ndarray:
+    return _grams(np.frombuffer(text.encode("ascii"), np.uint8))[1]
+
+
+#: Distinct bigrams from which on a template is looked for in stretches of lines.
+LONG = 40
+
+
 class Templates:
     """Templates, which are ASCII texts, ordered by size."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], least: float):
         self.least = least
-        made = sorted(((bigrams(t), name) for name, texts in templates.items() for t in texts), key=lambda x: (len(x[0]), x[1], sorted(x[0])))
-        self.rows = [x for x in made if x[0]]
+        made = sorted(((bigrams(t), name, t) for name, texts in templates.items() for t in texts), key=lambda x: (len(x[0]), x[1], sorted(x[0])))
+        self.rows = [(b, name) for b, name, _ in made if b]
         self.sizes = [len(b) for b, _ in self.rows]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_grams(np.frombuffer(t.encode("ascii"), np.uint8))[1] for texts in templates.values() for t in texts)]))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(t) for texts in templates.values() for t in texts)]))
+        #: Templates that are looked for in stretches of lines, which of the known bigrams each has, and how many of them a stretch has at least.
+        long = [(b, t) for b, _, t in made if len(b) >= LONG]
+        self.member = np.array([np.isin(self.known, _hashes(t)) for _, t in long], bool).reshape(len(long), len(self.known))
+        self.needs = np.array([max(1, int(np.ceil(len(b) * least / (2 - least) - 1e-9)) - 2) for b, _ in long], np.int64)
         #: Of the bigrams that a segment shares with the smallest template, two at most are with its start and end.
         self.need = max(0, int(np.ceil(min(self.sizes, default=0) * least / (2 - least) - 1e-9)) - 2)
         self.largest = max(self.sizes, default=0) * (2 - least) / least + 1e-9
 
-    def best(self, segment: str) -> dict[str, float]:
-        """The licence with the highest coefficient, if that reaches the threshold; of equal ones all."""
+    def matches(self, segment: str) -> dict[str, tuple[float, float]]:
+        """The licence with the highest coefficient, if that reaches the threshold, and that coefficient times the bigrams shared; of equal ones all."""
         own = bigrams(segment)
         x, found, c = len(own), {}, self.least
         lo, hi = bisect_left(self.sizes, x * c / (2 - c) - 1e-9), bisect_right(self.sizes, x * (2 - c) / c + 1e-9)
         for b, name in self.rows[lo:hi] if x else ():
-            dice = 2 * len(own & b) / (x + len(b))
+            shared = len(own & b)
+            dice = 2 * shared / (x + len(b))
             if dice >= c:
-                found[name] = max(dice, found.get(name, 0.0))
-        top = max(found.values(), default=0.0)
-        return {name: dice for name, dice in found.items() if dice == top}
+                found[name] = max((dice, shared * dice), found.get(name, (0.0, 0.0)))
+        top = max((dice for dice, _ in found.values()), default=0.0)
+        return {name: x for name, x in found.items() if x[0] == top}
+
+    def best(self, segment: str) -> dict[str, float]:
+        """The licence with the highest coefficient, if that reaches the threshold; of equal ones all."""
+        return {name: dice for name, (dice, _) in self.matches(segment).items()}
+
+    def _stretches(self, line: np.ndarray, which: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int]]:
+        """First and last line of a text's stretches, from the line, number among the known and known or not of each bigram."""
+        places, held = which[hit], line[hit]
+        enough = np.flatnonzero(self.member[:, places].sum(1) >= self.needs)
+        if not len(enough):
+            return
+        lines, at = np.unique(line, return_inverse=True)
+        size, at = np.bincount(at), at[hit]
+        for t in enough.tolist():
+            hits = np.bincount(at[self.member[t, places]], minlength=len(lines))
+            sums = np.append(0, np.cumsum(hits))
+            for a, b in stretches((2 * hits - size).tolist()):
+                if sums[b + 1] - sums[a] >= self.needs[t]:
+                    yield int(lines[a]), int(lines[b])
 
-    def segments(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, bytes]]:
-        """Text, first line and bytes of the segments that can have a template."""
+    def segments(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, bytes]]:
+        """Text, first line, first byte and bytes of the segments that can have a template."""
         for i, j in chunks(texts):
             buf, offsets = joined(texts[i:j])
             starts, grams = _grams(buf)
@@ -155,15 +213,35 @@ class Templates:
                     if x > self.largest or distinct < x * self.least / (2 - self.least) - 1e-9:
                         continue
                 d = int(doc[tops[k]])
-                yield i + d, int(tops[k] - first[d]), buf[s:e].tobytes()
+                yield i + d, int(tops[k] - first[d]), s - int(offsets[d]), buf[s:e].tobytes()
+            edges = np.searchsorted(starts, offsets)
+            least = int(self.needs.min(initial=len(hits) + 1))
+            lasts = np.maximum(edges[1:] - 1, edges[:-1])
+            for d in np.flatnonzero(hits[np.minimum(lasts, len(hits) - 1)] - hits[np.minimum(edges[:-1], len(hits) - 1)] >= least).tolist():
+                w = slice(int(edges[d]), int(lasts[d]))
+                line = np.searchsorted(begins, starts[w], "right") - 1
+                for p, q in set(self._stretches(line, at[w], hit[w])):
+                    yield i + d, p - int(first[d]), int(begins[p] - offsets[d]), buf[begins[p] : ends[q]].tobytes()
 
     def scan(self, texts: list[bytes | None]) -> list[dict[str, tuple[float, int, int]]]:
-        """For each text and licence found: best coefficient, first line of a segment that reaches the threshold, number of such segments."""
+        """For each text and licence found: best coefficient, first line of a segment that has it, number of such segments, which don't overlap."""
+        found: dict[int, dict[tuple[int, int], tuple[float, int, dict[str, tuple[float, float]]]]] = {}
+        for i, line, start, segment in self.segments(texts):
+            span = (start, start + len(segment))
+            if span not in found.get(i, ()) and (names := self.matches(segment.decode("utf-8", "replace"))):
+                found.setdefault(i, {})[span] = (max(w for _, w in names.values()), line, names)
         out: list[dict[str, tuple[float, int, int]]] = [{} for _ in texts]
-        for i, at, segment in self.segments(texts):
-            for name, dice in self.best(segment.decode("utf-8", "replace")).items():
-                was = out[i].get(name, (0.0, at, 0))
-                out[i][name] = (max(dice, was[0]), min(at, was[1]), was[2] + 1)
+        for i, spans in found.items():
+            kept: list[tuple[int, int]] = []
+            for s, e in sorted(spans, key=lambda x: (-spans[x][0], x[1] - x[0], x)):
+                k = bisect_left(kept, (s, e))
+                if k and kept[k - 1][1] > s or k < len(kept) and kept[k][0] < e:
+                    continue
+                insort(kept, (s, e))
+                _, line, names = spans[s, e]
+                for name, (dice, _) in names.items():
+                    was = out[i].get(name, (0.0, line, 0))
+                    out[i][name] = (max(dice, was[0]), min(line, was[1]), was[2] + 1)
         return out
 
 
@@ -184,7 +262,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Licences noticed in each row's whole text: doc_id, license, dice (the best), first_line (from 0), n_segments.
 
     A row for each row of docs and licence; texts without one, null and empty ones give none. Ids may be null or
-    repeat. templates maps names to ASCII texts and goes to every task (the default: notices of one line, and the
+    repeat. n_segments counts segments that don't overlap. templates maps names to ASCII texts and goes to every task (the default: notices of one line, and the
     full texts of widespread licences, 140 kB). Licences that are variants of one another, as the MIT and similar
     ones, go by the closest one.
     """

@@ -272,9 +272,29 @@ def test_licenses(spark, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
-def brute_licenses(text, rows, least=0.8):
-    """All segments of a text against all templates."""
+def brute_stretches(values):
+    """The run of largest positive sum, of equal ones the shortest, then the first; the same to its left and right."""
+    runs = [(-sum(values[a:b]), b - a, a) for a in range(len(values)) for b in range(a + 1, len(values) + 1)]
+    if not runs or min(runs)[0] >= 0:
+        return []
+    _, n, a = min(runs)
+    return brute_stretches(values[:a]) + [(a, a + n - 1)] + [(x + a + n, y + a + n) for x, y in brute_stretches(values[a + n :])]
+
+
+def test_license_stretches():
+    rng = random.Random(2)
+    for _ in range(400):
+        values = [rng.randint(-3, 3) for _ in range(rng.randint(0, 14))]
+        assert licenses.stretches(values) == brute_stretches(values)
+
+
+def brute_licenses(text, known, least=0.8):
+    """All segments of a text against all templates, without bounds; of those that overlap the one that shares most."""
+    import re
+
     lines = text.split("\n")
+    begins = [sum(len(x.encode()) + 1 for x in lines[:i]) for i in range(len(lines) + 1)]
+    span = lambda a, b: (begins[a], begins[b] - 1)
     blocks, now = [], None
     for i, line in enumerate([*lines, ""]):
         if line.strip(" \t\n\x0b\x0c\r"):
@@ -282,20 +302,34 @@ def brute_licenses(text, rows, least=0.8):
         elif now is not None:
             blocks.append((now, i))
             now = None
-    segments = [(i, x) for i, x in enumerate(lines)] + [(a, "\n".join(lines[a:b])) for a, b in blocks if b - a > 1]
-    segments += [(0, text)] if len(blocks) > 1 else []
-    out = {}
-    for at, segment in segments:
-        own = licenses.bigrams(segment)
+    runs = {(i, i + 1) for i in range(len(lines))} | set(blocks) | ({(0, len(lines))} if len(blocks) > 1 else set())
+    words = [(i, w) for i, x in enumerate(lines) for w in re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))]
+    grams = [(i, (v, w)) for (i, v), (_, w) in zip(words, words[1:], strict=False)]
+    full = sorted({i for i, _ in grams})
+    for b, _ in known.rows:
+        # A stretch has so many of the template's bigrams.
+        if len(b) >= licenses.LONG and sum(g in b for _, g in grams) >= len(b) * least / (2 - least) - 2:
+            values = [sum(2 * (g in b) - 1 for k, g in grams if k == i) for i in full]
+            runs |= {(full[x], full[y] + 1) for x, y in licenses.stretches(values) if sum(g in b for k, g in grams if full[x] <= k <= full[y]) >= len(b) * least / (2 - least) - 2}
+    found = []
+    for a, z in runs:
+        own = licenses.bigrams("\n".join(lines[a:z]))
         every = {}
-        for b, name in rows if own else ():
+        for b, name in known.rows if own else ():
             dice = 2 * len(own & b) / (len(own) + len(b))
             if dice >= least:
-                every[name] = max(dice, every.get(name, 0))
-        for name, dice in every.items():
-            if dice == max(every.values()):
-                was = out.get(name, (0.0, at, 0))
-                out[name] = (max(dice, was[0]), min(at, was[1]), was[2] + 1)
+                every[name] = max((dice, len(own & b) * dice), every.get(name, (0, 0)))
+        top = {n: x for n, x in every.items() if x[0] == max(every.values())[0]}
+        if top:
+            s, e = span(a, z)
+            found.append((-max(w for _, w in top.values()), e - s, (s, e), a, top))
+    out, kept = {}, []
+    for _, _, (s, e), a, top in sorted(found, key=lambda x: x[:3]):
+        if all(e <= p or q <= s for p, q in kept):
+            kept.append((s, e))
+            for name, (dice, _) in top.items():
+                was = out.get(name, (0.0, a, 0))
+                out[name] = (max(dice, was[0]), min(a, was[1]), was[2] + 1)
     return out
 
 
@@ -321,9 +355,9 @@ def test_licenses_against_all_templates(spark, rows):
             body = "\n".join("// " + x for x in body.split("\n"))
         texts.append("\n".join([rng.choice(texts[:60])[:400]] * rng.randint(0, 1) + [body] * rng.randint(1, 3) + ["", "Ünd prose é"] * rng.randint(0, 1)))
     texts += [" ".join(["Released under the MIT License."] * 30), "x " * 50_000 + "\nReleased under the MIT License.\n" + "y z " * 50_000, "\n\n \n", "MIT"]
-    assert small.scan([t.encode() for t in texts]) == [brute_licenses(t, small.rows) for t in texts]
+    assert small.scan([t.encode() for t in texts]) == [brute_licenses(t, small) for t in texts]
     whole = [edited(rng, licenses.BODIES[n], 0.03) for n in licenses.BODIES] + [licenses.BODIES["GPL-2.0"] + "\nown code\n" * 40]
-    assert known.scan([t.encode() for t in whole]) == [brute_licenses(t, known.rows) for t in whole]
+    assert known.scan([t.encode() for t in whole]) == [brute_licenses(t, known) for t in whole]
 
 
 def test_license_bodies_are_found(spark):
@@ -343,6 +377,25 @@ def test_license_bodies_are_found(spark):
     assert known.best("A licence of poets, granted free of charge to any reader of this book, provided that it is read aloud.") == {}
 
 
+@pytest.mark.parametrize("share", [0, 0.05])
+def test_license_bodies_within_texts_are_named_right(rows, share):
+    """Each body between paragraphs of prose, as a header of code, and after another one: its own name only."""
+    rng = random.Random(5)
+    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+    prose = [r[1] for r in rows if r[1] and len(r[1]) > 200][:8]
+    between = "\n\n".join(prose)
+    texts, names = [], []
+    for n in licenses.BODIES:
+        body = edited(rng, licenses.BODIES[n], share)
+        texts += [f"{between}\n\n{body}\n\n{between}", f"{between}\n{body}\n{between}", "/*\n" + "\n".join(" * " + x for x in body.split("\n")) + "\n */\nint main() { return 0; }\n" * 40]
+        names += [{n}] * 3
+    pairs = list(zip(licenses.BODIES, list(licenses.BODIES)[3:], strict=False))
+    texts += [f"{between}\n\n{edited(rng, licenses.BODIES[a], share)}\n\n{between}\n\n{edited(rng, licenses.BODIES[b], share)}" for a, b in pairs]
+    names += [set(x) for x in pairs]
+    found = [set(x) for x in known.scan([t.encode() for t in texts])]
+    assert [(i, n, f) for i, (n, f) in enumerate(zip(names, found, strict=True)) if n != f] == []
+
+
 def test_license_size_bounds_lose_nothing():
     known = licenses.Templates(licenses.TEMPLATES, 0.8)
     rng = random.Random(1)
