@@ -2,9 +2,10 @@
 
 The field tags every token (run without ASCII white space) as outside, begin or inside of a secret from its shape,
 the words before it and features of the file, decoded by Viterbi. It is trained here, on token sequences drawn from
-a generator with a fixed seed. A part of the field is fixed: tokens under 8 bytes and those without a digit or a
-capital after a small letter are outside. So shapes and neighbours are looked at for the few others only, and
-emission scores, linear in the features, are made for all of these in a batch at once.
+a generator with a fixed seed. A part of the field is fixed: tokens are outside if they have under 8 bytes, or have
+no digit, no capital after a small letter and under 16 capitals, and hold no cue and follow none within two tokens.
+So shapes and neighbours are looked at for the few others only, and emission scores, linear in the features, are made
+for all of these in a batch at once.
 
 Decoding skips what can't matter: replacing a token's label by "outside" changes two transitions, so where
 "outside" leads the other labels by more than twice the spread of the transition scores, the best path is outside.
@@ -28,8 +29,13 @@ from tessera.llm.common import CHUNK, chunks, joined, others, quoted, texts_of,
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-CUES = (b"passw", b"secret", b"token", b"credential", b"private", b"auth", b"bearer", b"access", b"key")
+CUES = (b"passw", b"passphrase", b"secret", b"token", b"credential", b"private", b"auth", b"bearer", b"access", b"key")
+CUE = re.compile(b"|".join(CUES))
+#: A cue that ends its word, but for marks: after it stands what is told.
+TOLD = re.compile(rb"(?:password|passwd|passphrase|secret|token|credential|bearer|key)s?[^\w\s]*(?=\s)")
 LEAST = 8
+#: Capitals from which on a token without digits or small letters can be a secret.
+CAPITALS = 16
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -63,14 +69,17 @@ for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
     _CLASS[_a:_b] = 5
 _CLASS[list(b"+/_-=.")] = 4
 _CLASS[128:] = 6
+_VOWEL = np.zeros(256, bool)
+_VOWEL[list(b"AEIOUY")] = True
 FEATURES = (
     "bias len12 len16 len20 len32 len64 digits10 digits30 upper20 mixed lower_digits upper_digits digits_only marks_enc marks_odd accents "
-    "changes25 changes45 hexish varied steady assign_own quoted link path date cue_before cue_two_before cue_own assign_before file_cues file_code"
+    "changes25 changes45 hexish varied steady assign_own quoted link path date capitals vowels constant dashed uuid login cue_before cue_two_before cue_own assign_before file_cues file_code cue_dashed cue_uuid "
+    "cue_capitals cue_odd told"
 ).split()
 
 
 def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Flags of the tokens of a buffer from their own bytes."""
+    """Flags of the tokens of a buffer from their own bytes, in the order of FEATURES."""
     kind = _CLASS[buf]
     n = (ends - starts).astype(np.float32)
 
@@ -97,6 +106,8 @@ def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.nda
         enc > 0.05 * n, odd > 0.2 * n, high > 0, changes > 0.25 * n, changes > 0.45 * n, (hexes >= 0.9 * n) & (digit > 0.15 * n),
         per(alt) > 0.85 * n, per(same) > 0.3 * n, (signs > 0) & (n > 4), ((first == 34) | (first == 39)) & (n > 2),
         (ats > 0) | (slashes > 1) & (signs > 0), slashes > 1, (digit > 0.6 * n) & (dashes > 0),
+        (upper >= CAPITALS) & (upper > 0.9 * n), (per(_VOWEL[buf]) > 0.3 * upper) & (upper > 0.7 * n), (per(buf == 95) > 0) & (upper > 0.7 * n) & (digit == 0), (dashes > 2) & (lower > 0.6 * n), (dashes == 4) & (n > 35) & (n < 42) & (hexes + dashes > 30),
+        (ats > 0) & (slashes > 1) & (signs > 1),
     ]
 
 
@@ -105,29 +116,35 @@ def tokens(buf: np.ndarray, low: bytes, offsets: np.ndarray) -> tuple[np.ndarray
     starts, ends = word_spans(buf)
     edges = np.searchsorted(starts, offsets)
     doc_ends = edges[1:]
+    cues = np.zeros(len(starts) + 2, bool)
+    cues[np.searchsorted(starts, np.array([m.start() for m in CUE.finditer(low)], np.int64), "right") - 1] = True
+    cues[len(starts) :] = False
+    # A digit, a capital after a small letter, or many capitals; or a cue there or shortly before, whose document is looked at below.
     long = np.flatnonzero(ends - starts >= LEAST)
-    # A digit, or a capital after a small letter.
     kind = _CLASS[buf]
     mark = kind == 3
     mark[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
     at = np.append(np.flatnonzero(mark), len(buf))
-    own = long[at[np.searchsorted(at, starts[long])] < ends[long]]
+    capital = np.append(np.flatnonzero(kind == 2), np.full(CAPITALS, len(buf)))
+    s, e = starts[long], ends[long]
+    near = cues[long] | cues[long - 1] | cues[long - 2]
+    own = long[near | (at[np.searchsorted(at, s)] < e) | (capital[np.searchsorted(capital, s) + CAPITALS - 1] < e)]
     s, e = starts[own], ends[own]
     doc = np.searchsorted(doc_ends, own, "right")
     begin = np.append(0, doc_ends[:-1])[doc]
     size = np.diff(np.append(0, doc_ends))
     code = np.zeros(len(offsets) - 1, bool)
-    cue = np.zeros((3, len(own)), bool)
+    sums = np.append(0, np.cumsum(cues[: len(starts)]))
+    cued = sums[doc_ends] > sums[doc_ends - size]
+    cue = np.stack([cues[own - back] & (own - back >= begin) for back in range(3)])
+    ends_word = np.zeros(len(cues), bool)
+    ends_word[np.searchsorted(starts, np.array([m.start() for m in TOLD.finditer(low)], np.int64), "right") - 1] = True
+    ends_word[len(starts) :] = False
+    told = np.any([ends_word[own - back] & (own - back >= begin) for back in (1, 2)], 0)
     sign = np.zeros(len(own), bool)
-    cued = np.zeros(len(offsets) - 1, bool)
     for d in np.unique(doc).tolist():
-        cued[d] = any(w in low[offsets[d] : offsets[d + 1]] for w in CUES)
         last = buf[ends[doc_ends[d] - size[d] : doc_ends[d]] - 1]
         code[d] = np.isin(last, list(b";{}()=")).sum() > 0.05 * size[d]
-    for i in np.flatnonzero(cued[doc]).tolist():
-        for back in range(min(3, int(own[i] - begin[i]) + 1)):
-            a, b = starts[own[i] - back], ends[own[i] - back]
-            cue[back, i] = any(w in low[a:b] for w in CUES)
     before = np.flatnonzero(own > begin)
     a, b = starts[own[before] - 1], ends[own[before] - 1]
     final = buf[b - 1]
@@ -138,7 +155,11 @@ def tokens(buf: np.ndarray, low: bytes, offsets: np.ndarray) -> tuple[np.ndarray
     small = np.full(int((width + 1).sum()), 32, np.uint8)
     inside = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
     small[np.repeat(place, width) + inside] = buf[np.repeat(s, width) + inside]
-    cols = [*shapes(small, place, place + width), cue[1], cue[2], cue[0], sign, cued[doc], code[doc]] if len(own) else [np.zeros(0, bool)] * len(FEATURES)
+    if not len(own):
+        return own, s, e, doc, np.zeros((0, len(FEATURES)), np.float32), edges
+    made = dict(zip(FEATURES, shapes(small, place, place + width), strict=False))
+    cols = [*made.values(), cue[1], cue[2], cue[0], sign, cued[doc], code[doc]]
+    cols += [told & made[f] for f in ("dashed", "uuid", "capitals", "marks_odd")] + [told]
     return own, s, e, doc, np.stack(cols, 1).astype(np.float32), edges
 
 
@@ -154,6 +175,7 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda a, b: _draw(rng, low + "aeiourstn" * 3, int(rng.integers(a, b)))
     digits = lambda k: _draw(rng, num, k)
+    uuid = lambda: "-".join(_draw(rng, "0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
     # Tokens with digits or capitals that aren't secrets.
     harmless = [
         lambda: digits(int(rng.integers(8, 13))),
@@ -174,6 +196,14 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
         lambda: word(2, 6).upper() + "-" + digits(int(rng.integers(4, 9))),
         lambda: word(8, 16).capitalize() + word(3, 8).capitalize() + "!!",
         lambda: f"{word(6, 14)}{rng.choice(['###', '***', '%%%', '$$$', '&&&'])}{digits(1)}",
+        uuid,
+        lambda: "-".join(word(2, 8) for _ in range(rng.integers(2, 6))),
+        lambda: f"{word(3, 6)}://{word(4, 10)}:{digits(4)}/{word(3, 9)}",
+        lambda: word(8, 16).upper(),
+        lambda: word(16, 25).upper(),
+        lambda: "_".join([str(rng.choice(["KEY", "TOKEN", "ACCESS", "MAX"])), *(word(3, 9).upper() for _ in range(rng.integers(1, 4)))]),
+        lambda: "-".join([word(3, 9), str(rng.choice(["key", "access", "token"])), word(3, 9), word(3, 12)]),
+        lambda: "-".join(word(3, 9).capitalize() for _ in range(rng.integers(3, 6))),
     ]
     secrets = [
         lambda: _draw(rng, "0123456789abcdef", int(rng.integers(20, 65))),
@@ -183,6 +213,16 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
         lambda: _draw(rng, low + up + num + "+/", int(rng.integers(24, 60))) + "=",
         lambda: ".".join(_draw(rng, low + up + num + "_-", int(rng.integers(16, 40))) for _ in range(3)),
         lambda: _draw(rng, low + up + num, int(rng.integers(20, 49))),
+        lambda: _draw(rng, up, int(rng.integers(18, 40))),
+        lambda: f"{word(4, 9)}://{word(3, 9)}:{_draw(rng, low + up + num, int(rng.integers(8, 20)))}@{word(4, 10)}.{word(2, 6)}:{digits(4)}/{word(3, 9)}",
+        lambda: ":".join(_draw(rng, a, int(rng.integers(10, 26))) for a in (num, low + up + num, low + up + num)),
+    ]
+    # Secrets where a cue stands before, and not told from other things elsewhere.
+    told = [
+        uuid,
+        lambda: "-".join(word(3, 9) for _ in range(rng.integers(4, 8))),
+        lambda: _draw(rng, low + up + num + "!#$%&*@^", int(rng.integers(12, 24))),
+        lambda: _draw(rng, up, int(rng.integers(16, 30))),
     ]
     out: list[str] = []
     tags: list[int] = []
@@ -192,7 +232,7 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
         if r < 0.3:
             w = harmless[rng.integers(0, len(harmless))]()
         elif r < 0.34:
-            w = str(rng.choice(["password", "secret", "key", "token", "private", "access", "auth"]))
+            w = str(rng.choice(["password", "secret", "key", "token", "private", "access", "auth", "authors", "keyboard", "accessing", "private", "tokenizer"]))
         else:
             w = word(1, 14)
         if accents:
@@ -202,8 +242,9 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
         out.append(w)
         tags.append(OUT)
         if rng.random() < 0.07:
-            secret = secrets[rng.integers(0, len(secrets))]()
             lead = rng.integers(0, 5)
+            kinds = [*secrets, *told] if lead < 4 else secrets
+            secret = kinds[rng.integers(0, len(kinds))]()
             if lead == 0:
                 out += [str(rng.choice(["token", "secret", "apikey", "password", "key"])), "="]
                 tags += [OUT, OUT]
@@ -211,8 +252,11 @@ def example(rng: np.random.Generator) -> tuple[list[str], list[int]]:
             elif lead == 1:
                 secret = str(rng.choice(["password=", "secret=", "token:", "API_KEY=", "auth="])) + secret
             elif lead == 2:
-                out.append(str(rng.choice(["Bearer", "key:", "secret:"])))
+                out.append(str(rng.choice(["Bearer", "key:", "secret:", "passphrase:", "password", "token:"])))
                 tags.append(OUT)
+            elif lead == 3:
+                out += [str(rng.choice(["key", "password", "secret", "token", "credential"])), str(rng.choice(["is", "was", "of", "->"]))]
+                tags += [OUT, OUT]
             out.append(secret)
             tags.append(BEGIN)
             if rng.random() < 0.15:
