@@ -124,15 +124,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
-def _opened(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
+def _all_set(bits: bytes, probes: np.ndarray) -> np.ndarray:
+    """Whether all of a row's probes are set in a packed block, which stays packed."""
+    return ((np.frombuffer(bits, np.uint8)[probes >> 3] >> (7 - (probes & 7)).astype(np.uint8)) & 1).astype(bool).all(1)
 
 
 def _suspects(bits, n_blocks: int, min_chars: int):
     """Lines that hit the broadcast blocks of the twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = {b: _opened(x) for b, x in bits.value.items()}
+        blocks = bits.value
         for batch in batches:
             ids, ths, keys = [], [], []
             for i, th, text in zip(column(batch, "_id"), column(batch, "_th"), texts_of(batch, "_text"), strict=True):
@@ -145,7 +146,7 @@ def _suspects(bits, n_blocks: int, min_chars: int):
             for b in np.unique(block):
                 if (again := blocks.get(int(b))) is not None:
                     rows = np.flatnonzero(block == b)
-                    hit[rows] = again[probes[rows]].all(1)
+                    hit[rows] = _all_set(again, probes[rows])
             at = np.flatnonzero(hit).tolist()
             yield _suspect_batch([(ids[x], ths[x], keys[x]) for x in at])
 
@@ -180,11 +181,11 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (block, salts[i]) != key:
                 key, again = (block, salts[i]), None
             if not lines[i]:
-                again, i = _opened(rows.column(6)[i].as_py()), i + 1
+                again, i = rows.column(6)[i].as_py(), i + 1
             if again is not None and i < j:
                 part = rows.slice(i, j - i)
                 _, probes = _bits(part.column(5).to_numpy(zero_copy_only=False).view(np.uint64), 1)
-                yield part.select(["_id", "_th", "hash"]).filter(pa.array(again[probes].all(1)))
+                yield part.select(["_id", "_th", "hash"]).filter(pa.array(_all_set(again, probes)))
 
 
 def _named(min_chars: int):

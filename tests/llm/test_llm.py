@@ -754,6 +754,13 @@ def test_line_dedup_odd(spark, empty):
     )
 
 
+def test_line_filter_is_probed_packed():
+    rng = np.random.default_rng(1)
+    flags = rng.random(4096) < 0.6
+    probes = rng.integers(0, 4096, (500, 4))
+    assert (line_dedup._all_set(np.packbits(flags).tobytes(), probes) == flags[probes].all(1)).all()
+
+
 # --- 9 ---
 
 
