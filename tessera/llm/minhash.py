@@ -402,10 +402,11 @@ def _groups(base: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the document with the smallest id, one row for it."""
+    """The rows of docs without near-duplicates: of each group the document with the smallest id, one row for it: of rows with that id the one whose text has the least hash, so reruns agree."""
     text = F.col(quoted(text_col)).cast("string")
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(text), 3)
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select("_id").distinct()
-    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), F.coalesce(F.col(quoted(id_col)).cast("long"), nameless).alias("_id"))
-    one = rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"])
+    whole = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(whole.alias("_row"), F.coalesce(F.col(quoted(id_col)).cast("long"), nameless).alias("_id"), F.xxhash64(text).alias("_h"))
+    one = rows.join(kept, "_id", "left_semi").groupBy("_id").agg(F.min_by("_row", "_h").alias("_row"))
     return one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -163,6 +163,13 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
 
 
+def test_keep_one_of_rows_with_one_id(spark):
+    """Of different texts under one id the same one stays, however the rows lie."""
+    rows = [(i // 3, f"text {i} with some words of its own number {i * 7}", "en", "s", i) for i in range(60)]
+    kept = [sorted(map(tuple, minhash.keep_one(spark.createDataFrame(x, SCHEMA).repartition(n)).collect())) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == list(range(20))
+
+
 # --- 2 ---
 
 
