@@ -229,7 +229,8 @@ class People(StatefulProcessor):
         before = {p: (n, len(x)) for p, (n, x) in known.items()}
         out = []
         for image in pd.concat(list(rows)).sort_values("image").itertuples(index=False):
-            faces = [(f["face"], f["vector"]) for f in image.faces]
+            ends = np.cumsum(image.sizes)
+            faces = list(zip(image.faces, np.split(np.asarray(image.vectors, float), ends[:-1]), strict=True))
             out += [(*key, image.image, *found) for found in matched(known, faces, *self.rule)]
         for p, (n, x) in known.items():
             if before.get(p) != (n, len(x)):
@@ -248,8 +249,10 @@ def people_of_faces(images: DataFrame, user: str, image: str, faces: str, match:
     or faces are left out.
     """
     whole = images.where(F.col(user).isNotNull() & F.col(image).isNotNull() & (F.size(faces) > 0))
-    entry = F.transform(faces, lambda f: F.struct(f["face"].cast("long").alias("face"), f["vector"].cast("array<double>").alias("vector")))
-    rows = whole.select(F.col(user).cast("long").alias("user"), F.col(image).cast("long").alias("image"), entry.alias("faces"))
+    # Faces go to Python as flat lists: lists of structs that hold lists end the workers on their way to pandas.
+    vectors = F.transform(faces, lambda f: f["vector"].cast("array<double>"))
+    own = {"faces": F.transform(faces, lambda f: f["face"].cast("long")), "sizes": F.transform(vectors, F.size), "vectors": F.flatten(vectors)}
+    rows = whole.select(F.col(user).cast("long").alias("user"), F.col(image).cast("long").alias("image"), *[c.alias(n) for n, c in own.items()])
     out = "user long, image long, face long, person long, similarity double, is_new boolean"
     return rows.groupBy("user").transformWithStateInPandas(People(match, diverse, most, cached), out, "append", "none")
 
