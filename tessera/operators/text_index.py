@@ -27,6 +27,8 @@ from tessera.session import shared_dir
 #: Documents of a block, about, and how many of the best blocks are read for a first threshold.
 BLOCK, FIRST = 128, 16
 CLASSES = tuple(WEIGHTS)
+#: Words that a task turns into arrays at once.
+TOKENS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -40,29 +42,43 @@ class TextIndex:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
+def _sizes(tokens: pa.Array) -> np.ndarray:
+    return pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def pieces(batch: pa.RecordBatch, most: int = TOKENS) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, block, words, ..) in pieces of at most so many words, or of one document that has more."""
+    ends, i = np.cumsum(_sizes(batch.column(2))), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _postings(weights: list[float], classes: list[int]):
     """Rows of (id, block, words, words of each field) to (term, block, id, size, score, places), document by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, blocks, tokens, counts = batch.columns
-            sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = int(sizes.sum())
-            if not n:
-                continue
-            coded = tokens.flatten().dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            field = np.repeat(np.tile(np.arange(len(weights)), len(sizes)), counts.flatten().to_numpy(zero_copy_only=False))
-            order = np.argsort(doc * len(coded.dictionary) + code, kind="stable")
-            key = (doc * len(coded.dictionary) + code)[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            own = doc[order][first]
-            places = pa.ListArray.from_arrays(pa.array(np.r_[first, n], pa.int32()), pa.array((place * 4 + np.array(classes)[field])[order].astype(np.int32)))
-            score = np.add.reduceat(np.array(weights)[field][order], first)
-            at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order][first])), blocks.take(at), ids.take(at), pa.array(sizes[own]), pa.array(score), places], ["term", "block", "id", "size", "score", "places"])
+        for whole in batches:
+            for batch in pieces(whole):
+                ids, blocks, tokens, counts = batch.columns
+                sizes = _sizes(tokens)
+                n = int(sizes.sum())
+                if not n:
+                    continue
+                coded = tokens.flatten().dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                field = np.repeat(np.tile(np.arange(len(weights)), len(sizes)), counts.flatten().to_numpy(zero_copy_only=False))
+                order = np.argsort(doc * len(coded.dictionary) + code, kind="stable")
+                key = (doc * len(coded.dictionary) + code)[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                own = doc[order][first]
+                places = pa.ListArray.from_arrays(pa.array(np.r_[first, n], pa.int32()), pa.array((place * 4 + np.array(classes)[field])[order].astype(np.int32)))
+                score = np.add.reduceat(np.array(weights)[field][order], first)
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order][first])), blocks.take(at), ids.take(at), pa.array(sizes[own]), pa.array(score), places], ["term", "block", "id", "size", "score", "places"])
 
     return run
 
