@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,20 +43,14 @@ def session_counts(events: DataFrame, gap: str, keys: list[str], ts: str = "ts",
 def job_states(events: DataFrame, job: str, required: tuple[str, ...]) -> DataFrame:
     """State of each job as checkpoint events come in, an update for each micro-batch that has some: job, checkpoints, status.
 
-    The state of a job is its checkpoints' flags; a flag once set stays set.
+    The state of a job is its checkpoints' flags; a flag once set stays set. They are a streaming aggregate, so a batch's
+    events of a job are merged before they are shuffled, and no row goes to Python.
     """
-    kind = events.schema[job].dataType.simpleString()
-    flags = ", ".join(f"{c} boolean" for c in CHECKPOINTS)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done = list(state.get) if state.exists else [False] * len(CHECKPOINTS)
-        for pdf in batches:
-            done = [bool(d or pdf[c].fillna(False).astype(bool).any()) for d, c in zip(done, CHECKPOINTS, strict=True)]
-        state.update(tuple(done))
-        complete = all(d for d, c in zip(done, CHECKPOINTS, strict=True) if c in required)
-        yield pd.DataFrame([(*key, *done, "completed" if complete else "pending")], columns=[job, *CHECKPOINTS, "status"])
-
-    return events.groupBy(job).applyInPandasWithState(step, f"{job} {kind}, {flags}, status string", flags, "update", "NoTimeout")
+    flags = events.groupBy(job).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in CHECKPOINTS])
+    complete = F.lit(True)
+    for c in required:
+        complete = complete & F.col(c)
+    return flags.select(job, *CHECKPOINTS, F.when(complete, "completed").otherwise("pending").alias("status"))
 
 
 def as_messages(events: DataFrame, kind: str) -> DataFrame:
