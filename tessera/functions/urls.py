@@ -55,8 +55,8 @@ def normalized(raw: Column) -> Column:
     return F.btrim(out, F.lit("\"'\\ "))
 
 
-def _plain(base: Column, target: Column) -> Column:
-    t = normalized(target)
+def _plain(base: Column, t: Column) -> Column:
+    """The absolute URL of a normalized target, with the dots that it has."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.concat(origin, F.regexp_extract(F.regexp_replace(F.substr(base, F.length(origin) + 1), "[?#].*$", ""), r"^(.*/)", 1))
     folder = F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder)
@@ -84,7 +84,8 @@ def without_dots(url: Column) -> Column:
 
 def resolved_all(base: Column, targets: Column) -> Column:
     """Absolute URLs of an array of targets: absolute and host-relative ones, root paths and sibling paths, by expressions only."""
-    return F.transform(F.transform(targets, lambda t: _plain(base, t)), without_dots)
+    # Step by step, so that what a step makes is made once however often the next one names it.
+    return F.transform(F.transform(F.transform(targets, normalized), lambda t: _plain(base, t)), without_dots)
 
 
 def resolved(base: Column, target: Column) -> Column:
