@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.session import table
 
 NOW = "1998-08-01 00:00:00"
+#: Lines of an order whose tags a task groups.
+TAG_LINES = 250_000
 
 
 def now():
@@ -58,6 +60,9 @@ def asset_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Brands of an order's parts as its tags, once each with the greatest confidence."""
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     named = li.select("l_orderkey", "l_partkey", "l_discount").join(p.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    # Nearly all keys are unique: they are dealt before they are grouped, to as many tasks as the lines ask for.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // TAG_LINES)
+    named = named.select("l_orderkey", "p_brand", "l_discount").repartition(parts, "l_orderkey", "p_brand")
     return named.groupBy(F.col("l_orderkey").alias("asset_id"), F.col("p_brand").alias("name")).agg(F.max("l_discount").alias("confidence"))
 
 
