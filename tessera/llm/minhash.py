@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CHUNK, chunks, joined, lowered, mix64, quoted, range_hash, settled, stage, texts_of, word_hashes
-from tessera.llm.graph import components
+from tessera.llm.graph import components, small
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 26, 5
@@ -41,6 +41,8 @@ PART = 500
 FAMILY = 8 * PART
 #: Shingles that are columns of one matrix.
 COLUMNS = 8192
+#: Documents whose keys and numbers a task writes.
+NUMBERS = 20_000
 #: Documents without an id get one above all others, made from the text.
 NAMELESS = 1 << 62
 
@@ -291,7 +293,7 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    return members.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    return members.join(small(label), "v", "left").withColumn("label", F.coalesce("label", "v"))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -322,9 +324,9 @@ def _by_rare_shingles(family: DataFrame, label: DataFrame, own_sets: DataFrame,
     members = stage(rare_shingles(own_sets.join(family, "v"), percent), "rare")
     named = stage(_labelled(members, label), "named")
     spread = stage(_open(named), "open")
-    small = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(vertices.select("v", "_sig"), "v")
-    small = small.select("key", "v", "label", F.lit(-1).cast("long").alias("family"), "_sig")
-    across = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
+    few = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(vertices.select("v", "_sig"), "v")
+    few = few.select("key", "v", "label", F.lit(-1).cast("long").alias("family"), "_sig")
+    across = few.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
     more = _links(stage(across, "pairs"), texts, size, percent)
     if spread.where(F.col("m") > CROWD).isEmpty():
         return more
@@ -367,20 +369,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _groups(base: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
     sets = stage(base.mapInArrow(_sets(size, seed), "_id long, _n long, _d1 long, _d2 long, _bands binary, _sig binary"), "sets")
-    tops = stage(sets.where("_n > 0").groupBy("_d1", "_d2").agg(F.min("_id").alias("v")), "tops")
-    of = stage(sets.where("_n > 0").select("_id", "_d1", "_d2").join(tops, ["_d1", "_d2"]).select("_id", "v").distinct(), "vertices")
+    # Tables of a few numbers for each document are written by as many tasks as they have rows for.
+    files = 1 + sets.count() // NUMBERS
+    tops = stage(sets.where("_n > 0").groupBy("_d1", "_d2").agg(F.min("_id").alias("v")).coalesce(files), "tops")
+    tops = small(tops)
+    of = stage(sets.where("_n > 0").select("_id", "_d1", "_d2").join(tops, ["_d1", "_d2"]).select("_id", "v").distinct().coalesce(files), "vertices")
     vertices = sets.join(tops, (F.col("_id") == F.col("v")) & (sets["_d1"] == tops["_d1"]) & (sets["_d2"] == tops["_d2"])).select("v", "_bands", "_sig")
     vertices = stage(vertices, "signatures")
     banded = vertices.select("v", "_bands").mapInArrow(_explode, "v long, key long")
-    full = stage(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("v1 < v2").select("key", "c"), "buckets")
+    full = stage(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("v1 < v2").select("key", "c").coalesce(2 * files), "buckets")
     members = stage(banded.join(full, "key"), "members")
     score = members.groupBy("v").agg(F.sum("c").alias("score"))
-    scored = members.join(stage(score, "scores"), "v")
-    hubs = stage(scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("v")).alias("v"))).alias("h")).select("key", (-F.col("h.v")).alias("hub")), "hubs")
+    scored = members.join(stage(score.coalesce(files), "scores"), "v")
+    hubs = stage(scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("v")).alias("v"))).alias("h")).select("key", (-F.col("h.v")).alias("hub")).coalesce(2 * files), "hubs")
     star = members.join(hubs, "key").where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
     # The texts that can be asked for are fetched once; they are joined by sorting at any size, as they are what is large.
     texts = stage(base.join(members.select(F.col("v").alias("_id")).distinct().hint("merge"), "_id", "left_semi"), "texts")
-    links = _links(stage(star, "pairs"), texts, size, percent)
+    links = _links(stage(star.coalesce(2 * files), "pairs"), texts, size, percent)
     # Texts of one id are one document.
     first = of.groupBy("_id").agg(F.min("v").alias("a"))
     links = links.unionByName(of.join(first, "_id").where("v <> a").select("a", F.col("v").alias("b")))
@@ -388,15 +393,15 @@ def _groups(base: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
     named = stage(_labelled(members.drop("c"), label), "named")
     spread = stage(_open(named), "open")
     family = _families_of(named, spread)
-    small = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(family, "v", "left").join(vertices.select("v", "_sig"), "v")
-    small = small.select("key", "v", "label", F.coalesce("family", F.lit(-1)).alias("family"), "_sig")
-    across = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = _links(stage(across, "pairs"), texts, size, percent)
+    few = named.join(spread.where(F.col("m") <= CROWD).select("key"), "key").join(small(family), "v", "left").join(vertices.select("v", "_sig"), "v")
+    few = few.select("key", "v", "label", F.coalesce("family", F.lit(-1)).alias("family"), "_sig")
+    across = few.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
+    more = _links(stage(across.coalesce(2 * files), "pairs"), texts, size, percent)
     if not family.isEmpty():
         more = more.unionByName(_within_families(family, label, links, vertices, texts, size, percent))
     if not more.isEmpty():
         label = stage(components(links.unionByName(more)).withColumnRenamed("component", "label"), "labels")
-    group = of.join(label, "v", "left").groupBy("_id").agg(F.min(F.coalesce("label", "v")).alias("_component"))
+    group = of.join(small(label), "v", "left").groupBy("_id").agg(F.min(F.coalesce("label", "v")).alias("_component"))
     out = sets.select("_id", "_n").join(group, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
     return out.withColumn("kept", F.col("_id") == F.col("_component"))
 
