@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -83,81 +85,90 @@ class Link:
 class LinkQueue(StatefulProcessor):
     """Enqueue, claim, heartbeat, completion and error of links, with retries released when due and stalled work reclaimed.
 
+    A key is a share of the links: a call of Python and of the state store costs far more than a link does, so there are
+    a few of them for a share and none for a link. What a share holds are columns: one row of its links, one of each lot of events.
+
     Event time: events are held until the watermark has passed them, and applied in the order of time and id, so neither
     their order of arrival nor the batches matter; a repeated event (one id and time) counts once. Timed changes bear
     the time at which they were due. Processing time: an event is applied when it comes, at the clock's time.
     """
 
-    def __init__(self, kind: str, event_time: bool = True, stall_ms: int = 15 * 60_000, most: int = 3):
-        self.kind, self.event_time, self.stall, self.most = kind, event_time, stall_ms, most
+    def __init__(self, event_time: bool = True, stall_ms: int = 15 * 60_000, most: int = 3):
+        self.event_time, self.stall, self.most = event_time, stall_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.link = handle.getValueState("link", "status string, attempts int, due long, waits boolean")
-        self.held = handle.getListState("held", "at long, id long, kind string, limited boolean")
-
-    def _state(self) -> Link:
-        if not self.link.exists():
-            return Link()
-        status, attempts, due, waits = self.link.get()
-        return Link(status, int(attempts), None if due is None else int(due), bool(waits))
-
-    def _run(self, key: tuple, events: Iterable[tuple], until: int) -> Iterator[pd.DataFrame]:
-        own, out, last = self._state(), [], None
-        tell = lambda at, change: out.append((*key, pd.Timestamp(at, unit="ms"), change, own.status, own.attempts))
-        for at, id_, kind, limited in events:
-            if (at, id_) == last:
+        self.links = handle.getValueState("links", "link array<string>, status array<string>, attempts array<int>, due array<long>, waits array<boolean>")
+        self.held = handle.getListState("held", "at array<long>, id array<long>, kind array<string>, limited array<boolean>, link array<string>")
+        self.passed: set[tuple] = set()
+
+    def _run(self, events: Iterable[tuple], until: int, later: Iterable[tuple] = ()) -> Iterator[pd.DataFrame]:
+        """Apply events in order and what time alone changes by then; the next timer is for what is due first."""
+        links = {link: Link(*own) for link, *own in zip(*self.links.get(), strict=True)} if self.links.exists() else {}
+        out, last = [], {}
+        for at, id_, kind, limited, link in events:
+            if last.get(link) == (at, id_):
                 continue
-            last = at, id_
-            for due, change in own.timed(at, self.stall, self.most):
-                tell(due, change)
-            if change := own.told(at, kind, bool(limited), self.stall, self.most):
-                tell(at, change)
-        for due, change in own.timed(until, self.stall, self.most):
-            tell(due, change)
-        self.link.update((own.status, own.attempts, own.due, own.waits))
-        if own.due is not None:
-            self.handle.registerTimer(own.due)
+            last[link] = at, id_
+            own = links.setdefault(link, Link())
+            out += [(link, due, change, own.status, own.attempts) for due, change in own.timed(at, self.stall, self.most)]
+            if change := own.told(at, kind, limited, self.stall, self.most):
+                out.append((link, at, change, own.status, own.attempts))
+        for link, own in links.items():
+            out += [(link, due, change, own.status, own.attempts) for due, change in own.timed(until, self.stall, self.most)]
+        known = [(link, x.status, x.attempts, x.due, x.waits) for link, x in links.items() if x.status != "unknown"]
+        if known and (last or out):
+            self.links.update(tuple(map(list, zip(*known, strict=True))))
+        waiting = [x.due for x in links.values() if x.due is not None] + [e[0] for e in later]
+        if waiting:
+            self.handle.registerTimer(min(waiting))
         if out:
             yield pd.DataFrame(out, columns=["link", "at", "change", "status", "attempts"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if key[0] is None:
-            return
-        new = sorted((int(r.at), int(r.id), r.kind, bool(r.limited)) for pdf in rows for r in pdf[["at", "id", "kind", "limited"]].dropna(subset=["at", "id"]).itertuples(index=False))
-        if not new:
+        lots = [pdf.loc[pdf["link"].notna(), ["at", "id", "kind", "limited", "link"]] for pdf in rows]
+        lots = [pdf for pdf in lots if len(pdf)]
+        if not lots:
             return
         if not self.event_time:
             now = timerValues.getCurrentProcessingTimeInMs()
-            yield from self._run(key, [(now, i, kind, limited) for _, i, kind, limited in new], now)
+            new = sorted(e for pdf in lots for e in pdf.itertuples(index=False, name=None))
+            yield from self._run([(now, *e[1:]) for e in new], now)
             return
-        self.held.appendList(new)
-        self.handle.registerTimer(new[0][0])
+        self.held.appendList([tuple(pdf[c].tolist() for c in pdf) for pdf in lots])
+        self.handle.registerTimer(min(int(pdf["at"].min()) for pdf in lots))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # Of a share's timers that expire in one batch the first does it all.
+        if key in self.passed:
+            return
+        self.passed.add(key)
         if not self.event_time:
-            yield from self._run(key, [], timerValues.getCurrentProcessingTimeInMs())
+            yield from self._run([], timerValues.getCurrentProcessingTimeInMs())
             return
         until = timerValues.getCurrentWatermarkInMs()
-        held = sorted((int(a), int(i), k, bool(x)) for a, i, k, x in self.held.get())
-        ready, later = [e for e in held if e[0] <= until], [e for e in held if e[0] > until]
+        held = sorted(e for lot in self.held.get() for e in zip(*lot, strict=True))
+        n = bisect_right(held, until, key=itemgetter(0))
+        ready, later = held[:n], held[n:]
         if ready:
-            self.held.put(later) if later else self.held.clear()
-        if later:
-            self.handle.registerTimer(later[0][0])
-        yield from self._run(key, ready, until)
+            self.held.put([tuple(map(list, zip(*later, strict=True)))]) if later else self.held.clear()
+        yield from self._run(ready, until, later)
 
     def close(self) -> None:
         pass
 
 
-def link_changes(events: DataFrame, link: str, event_time: bool = True, delay: str = "1 hour", stall_minutes: int = 15, most: int = 3) -> DataFrame:
+def link_changes(
+    events: DataFrame, link: str, event_time: bool = True, delay: str = "1 hour", stall_minutes: int = 15, most: int = 3, shares: int = 1024
+) -> DataFrame:
     """What happens to each link: link, at, change, status, attempts. Start it in keyed_state().
 
     events: the link, ts, id, kind (enqueue, claim, beat, done, error) and message. A link that is enqueued again stays as it is
     unless it failed; a claim takes what is pending and doesn't wait; an error waits 35 s, or as a rate limit 180 s doubling
     up to 8 times, and fails at the limit of attempts, as does work without heartbeat for so many minutes.
     In event time, events later than the watermark are left out, and the last ones come when it has passed them.
+    The links are dealt to so many shares by hash; a task takes one share at a time into memory, its links and the events
+    that it holds. The number belongs to the checkpoint: a query that goes on must have the one that it began with.
     """
     ts = F.col("ts").cast("timestamp")
     limited = F.coalesce(F.lower("message").rlike("429|feedback_required|checkpoint|rate limit"), F.lit(False))
@@ -165,10 +176,19 @@ def link_changes(events: DataFrame, link: str, event_time: bool = True, delay: s
     if event_time:
         rows = rows.withWatermark("ts", delay)
     kind = events.schema[link].dataType.simpleString()
-    # Rows without link go in the processor: a filter would be moved ahead of the watermark, which a closing row is to advance.
-    rows = rows.select(F.col(link).alias("link"), "ts", F.unix_millis("ts").alias("at"), F.col("id").cast("long").alias("id"), "kind", limited.alias("limited"))
-    processor = LinkQueue(kind, event_time, stall_minutes * 60_000, most)
-    return rows.groupBy("link").transformWithStateInPandas(processor, f"link {kind}, at timestamp, change string, status string, attempts int", "append", "eventtime" if event_time else "processingtime")
+    # Links go to Python as text and numbers without nulls, which pandas would turn into floats.
+    text = (F.base64(link) if kind == "binary" else F.col(link).cast("string"), lambda c: F.unbase64(c) if kind == "binary" else c.cast(kind))
+    id_ = F.col("id").cast("long")
+    whole = F.col(link).isNotNull() & F.col("ts").isNotNull() & id_.isNotNull()
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    # Rows without link, time or id go in the processor: a filter would be moved ahead of the watermark, which a closing row is to advance.
+    own = [F.when(whole, text[0]).alias("link"), "ts", number(F.unix_millis("ts")).alias("at"), number(id_).alias("id"), F.coalesce("kind", F.lit("")).alias("kind")]
+    rows = rows.select(*own, limited.alias("limited"))
+    share = F.pmod(F.xxhash64("link", F.when(F.col("link").isNull(), F.col("id"))), F.lit(shares)).cast("int")
+    processor = LinkQueue(event_time, stall_minutes * 60_000, most)
+    dealt = rows.withColumn("share", share).groupBy("share")
+    changes = dealt.transformWithStateInPandas(processor, "link string, at long, change string, status string, attempts int", "append", "eventtime" if event_time else "processingtime")
+    return changes.select(text[1](F.col("link")).alias("link"), F.timestamp_millis("at").alias("at"), "change", "status", "attempts")
 
 
 # --- people ---
